@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.llm.common import small_batches
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Labelled texts of one language that a fit may read, about.
-SAMPLE = 1_500
+SAMPLE = 1_000
 #: Families of common languages; any other language is a family by itself.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -45,7 +45,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(d) for d in data], dtype=np.int64)
     b = np.frombuffer(b"".join(data) + b"  ", np.uint8).astype(np.uint32)
     h = b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)
-    return ((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(18)).astype(np.int32), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    return ((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int32), np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
 def features(texts: list[str]) -> Iterator[np.ndarray]:
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         x = np.zeros((len(group), BUCKETS), dtype=np.float32)
         for i, (at, v) in enumerate(zip(group["at"], group["x"], strict=True)):
             x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
-        x = np.sqrt(SCALE) * SCALE * x
+        x *= np.float32(np.sqrt(SCALE) * SCALE)
         w, bias = fit_machine(x, group["y"].to_numpy(np.float64))
         return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "w": [(np.sqrt(SCALE) * SCALE * w).astype(np.float32).tobytes()], "bias": [float(bias)]})
 
