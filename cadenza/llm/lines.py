@@ -20,12 +20,16 @@ NOISE, GUARANTEE = 25, 50
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: document key, line's place among all and among these, hash, words before and in it."""
-    lines = docs.select("doc_id", F.md5("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
-        "doc_id", "key", "pos", F.md5("line").alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("w")
+    """A row for each line with a word: document key, line's place among all and among these, hash, words before and in it.
+
+    Lines of a document meet in one exchange; repeated rows fall together in it.
+    """
+    lines = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc_id", "key", "pos", F.unhex(F.md5("line")).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("w")
     )
-    before = Window.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.filter("w > 0").withColumn("c", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("pos")) - 1)
+    one = lines.filter("w > 0").repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "pos"])
+    doc = Window.partitionBy("doc_id", "key").orderBy("pos")
+    return one.withColumn("c", F.coalesce(F.sum("w").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("i", F.row_number().over(doc) - 1)
 
 
 def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
@@ -33,7 +37,7 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
     near = doc.rangeBetween(0, noise - 1)
     grams = lines.select(
         "doc_id", "key", "i", "c",
-        F.md5(F.array_join(F.collect_list("h").over(near), ",")).alias("g"),
+        F.unhex(F.md5(F.array_join(F.transform(F.collect_list("h").over(near), lambda h: F.lower(F.hex(h))), ","))).alias("g"),
         (F.col("c") + F.sum("w").over(near)).alias("e"),
     ).filter(F.col("e") - F.col("c") >= noise)
     ahead = F.collect_list(F.struct("g", "i", "e")).over(doc.rangeBetween(0, guarantee - noise))
@@ -43,8 +47,7 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
     """``doc_id, key, dropped``: places of the lines that an earlier run repeats."""
-    one = docs.select(F.col("doc_id"), F.col("text").cast("string")).filter("doc_id is not null and text is not null").distinct()
-    lines = stored(numbered(one))
+    lines = stored(numbered(docs.select("doc_id", F.col("text").cast("string")).filter("doc_id is not null and text is not null")))
     marks = fingerprints(lines, noise, guarantee)
     first = marks.groupBy("g").agg(F.min(F.struct("doc_id", "key", "i")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = (
@@ -52,7 +55,7 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
         .filter(F.struct("doc_id", "key", "i") > F.col("f"))
         .select("doc_id", "key", "i", F.col("f.doc_id").alias("e_id"), F.col("f.key").alias("e_key"), F.col("f.i").alias("j"))
     )
-    whole = lines.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "pos", "h"))).alias("a"))
+    whole = lines.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "pos", F.xxhash64("h").alias("h")))).alias("a"))
     own = whole.select("doc_id", "key", F.col("a.h").alias("mine"), F.col("a.pos").alias("place"))
     theirs = whole.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("a.h").alias("other"))
     at = lambda t: F.element_at("mine", t + 1) == F.element_at("other", t + 1 + F.col("j") - F.col("i"))
@@ -76,7 +79,7 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "key", "dropped")])
     gone = repeated_runs(docs, noise, guarantee)
     lines = F.split("text", "\n")
-    keyed = docs.withColumn("key", F.md5("text")).join(gone, ["doc_id", "key"], "left")
+    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(gone, ["doc_id", "key"], "left")
     left = F.filter(lines, lambda _, p: ~F.array_contains("dropped", p))
     return keyed.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long")).withColumn(
         "text", F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
