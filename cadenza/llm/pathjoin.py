@@ -5,15 +5,16 @@ values. In each of ``TREES`` independent trees a node picks one of the
 coordinates (a quarter of the nodes two, so a pair at the threshold is expected
 to stay together in one child), and sends each of its documents to the child
 named by that coordinate's value. Documents of a small node are compared
-exhaustively on their minwise values; what looks close is confirmed on the full
-sets. Equal sets count once.
-
-Candidates come in two passes. The first gives each group of close documents of
-a node a few hubs, linked with the others, so copies are not expanded into
-pairs; the second compares what is still in different components. Nodes beyond
-``NODE`` documents branch on; at ``DEEPEST`` they are cut into blocks that
-share one document, and in the second pass every document outside such a
-node's main component meets all its blocks.
+exhaustively on sketches (the least hash in each of ``BINS`` bins); what looks
+close is confirmed on the full sets. Equal sets count once.
+
+Candidates come in three passes, so that copies are not expanded into pairs.
+The first gives each group of close documents of a node a few hubs, linked with
+the others. The next two look only across the components found: first at each
+document's closest partner, then at all that are left. Nodes beyond ``NODE``
+documents branch on; at ``DEEPEST`` they are cut into blocks that share one
+document, and every document outside such a node's main component then meets
+all its blocks.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.llm.common import small_batches, stored
 
-COORDINATES, TREES, DEPTH, DEEPEST, NODE = 64, 12, 3, 9, 256
-#: Of the minwise values, how far below the threshold a pair still is a candidate: four standard deviations.
-SLACK = 0.2
+COORDINATES, TREES, DEPTH, DEEPEST, NODE = 32, 12, 3, 9, 512
+#: A pair is a candidate unless its sketches are so many standard deviations below the threshold.
+BINS, DEVIATIONS = 256, 4.0
 MASK = (1 << 64) - 1
 
 
@@ -74,8 +75,17 @@ def coefficients() -> tuple[np.ndarray, np.ndarray]:
     return a | np.uint64(1), b
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, a byte of the least in each bin of the hashes' range; 0 for an empty bin."""
+    bins = (values >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins[first]] = mix(values[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def sets(docs: DataFrame, n: int = 2) -> DataFrame:
-    """``doc_id, n_shingles, set_key, minhash``; empty sets have a null key."""
+    """``doc_id, n_shingles, set_key, minhash, sketch``; empty sets have a null key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seeds = WordHashes(), coefficients()
@@ -83,11 +93,11 @@ def sets(docs: DataFrame, n: int = 2) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, hashes, n)
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, minwise(s, seeds).tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "minhash"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, minwise(s, seeds).tobytes() if len(s) else None, sketch(s).tobytes() if len(s) else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "minhash", "sketch"]).astype({"doc_id": "Int64"})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, minhash binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, minhash binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, n: int = 2) -> DataFrame:
@@ -129,7 +139,7 @@ def branch(df: DataFrame, depth: int, trees: int = 0) -> DataFrame:
 
 
 def grouped(reps: DataFrame) -> DataFrame:
-    """``node, rep, minhash`` of all nodes that hold two documents or more; stored.
+    """``node, whole, rep`` of all nodes that hold two documents or more.
 
     ``whole`` names the uncut node where a node is a block of one.
     """
@@ -145,66 +155,92 @@ def grouped(reps: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         if depth < DEEPEST:
-            rows = branch(large.select("node", "rep").join(reps, "rep"), 3)
+            rows = branch(large.select("node", "rep").join(reps.select("rep", "minhash"), "rep"), 3)
         else:
             cut = large.withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / (NODE - 1)).cast("int")))
             hubs = cut.select("node", "block", F.col("hub").alias("rep")).distinct()
             blocks = cut.select("node", "block", "rep").unionByName(hubs).distinct()
             small = small.unionByName(blocks.select(F.xxhash64("node", "block").alias("node"), F.col("node").alias("whole"), "rep"))
-    return stored(small.join(reps, "rep").select("node", "whole", "rep", "minhash"))
-
-
-def pairs_in_nodes(nodes: DataFrame, threshold: float, known: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b. ``known``: only across components (column ``comp``), else by hubs."""
-    least = int(np.ceil((threshold - SLACK) * COORDINATES))
-
-    def of_run(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(rep)
-        if n == 2:
-            if (sig[0] == sig[1]).sum() >= least:
-                yield rep[:1], rep[1:]
-            return
-        close = np.zeros((n, n), dtype=bool)
-        for i in range(n - 1):
-            close[i, i + 1 :] = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least
-        if comp is not None:
-            i, j = np.nonzero(close & (comp[:, None] != comp[None, :]))
-            yield rep[i], rep[j]
-            return
-        close |= close.T
-        left = close.any(axis=1)
-        degree = close.sum(axis=1)
-        while left.any():
-            hub = int(np.argmax(np.where(left, degree, -1)))
-            others = np.flatnonzero(close[hub])
-            yield np.full(len(others), rep[hub]), rep[others]
-            left[others] = left[hub] = False
+    return small
+
+
+def closeness(sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(close, estimate), each n x n above the diagonal, of a node's sketches."""
+    n = len(sig)
+    close, estimate = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=np.float32)
+    full = sig > 0
+    for i in range(n - 1):
+        either = np.maximum((full[i + 1 :] | full[i]).sum(axis=1), 1)
+        estimate[i, i + 1 :] = ((sig[i + 1 :] == sig[i]) & full[i]).sum(axis=1) / either
+        close[i, i + 1 :] = estimate[i, i + 1 :] >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / either)
+    return close, estimate
+
+
+def with_hubs(close: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(document, its hub) for each document with a close one; hubs are those with most close ones, and their own."""
+    close = close | close.T
+    degree = close.sum(axis=1)
+    left = degree > 0
+    while left.any():
+        hub = int(np.argmax(np.where(left, degree, -1)))
+        yield hub, hub
+        left[hub] = False
+        for i in np.flatnonzero(close[hub]):
+            yield int(i), hub
+            left[i] = False
+
+
+def across(close: np.ndarray, estimate: np.ndarray, comp: np.ndarray, best: bool) -> Iterator[tuple[int, int]]:
+    """Close pairs of different components; with ``best`` each document's closest one only."""
+    close = close & (comp[:, None] != comp[None, :])
+    if not best:
+        yield from zip(*np.nonzero(close), strict=True)
+        return
+    both = np.where(close, estimate, -1)
+    both = np.maximum(both, both.T)
+    for i in np.flatnonzero(both.max(axis=1) >= 0):
+        yield i, int(both[i].argmax())
+
+
+def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
+    """Compare each node of ``node, whole, rep, sketch`` (and ``comp``) exhaustively: ``node, whole, rep, other``.
+
+    ``how``: ``hubs``, ``best`` or ``all`` (across components).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        for batch in (*[], *iter_last(batches)):
-            batch, last = batch
+        for batch, last in iter_last(batches):
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            node = batch["node"].to_numpy()
-            edges = np.flatnonzero(np.diff(node)) + 1
-            cuts = np.concatenate([[0], edges, [len(node)]])
+            cuts = [0, *(np.flatnonzero(np.diff(batch["node"].to_numpy())) + 1).tolist(), len(batch)]
             if not last:
                 rest = batch.iloc[cuts[-2] :]
                 cuts = cuts[:-1]
-            rep = batch["rep"].to_numpy()
-            sig = np.frombuffer(b"".join(batch["minhash"]), np.uint32).reshape(len(batch), COORDINATES)
-            comp = batch["comp"].to_numpy() if known else None
-            a, b = [], []
+            sig = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), BINS)
+            comp = None if how == "hubs" else batch["comp"].to_numpy()
+            left, right = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1 and not (known and (comp[lo:hi] == comp[lo]).all()):
-                    for x, y in of_run(rep[lo:hi], sig[lo:hi], comp[lo:hi] if known else None):
-                        a.append(np.minimum(x, y))
-                        b.append(np.maximum(x, y))
-            if a:
-                found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-                yield found[found["a"] != found["b"]]
+                if hi - lo > 1:
+                    close, estimate = closeness(sig[lo:hi], threshold)
+                    if close.any():
+                        for i, j in with_hubs(close) if comp is None else across(close, estimate, comp[lo:hi], how == "best"):
+                            left.append(lo + i)
+                            right.append(lo + j)
+                    if comp is None and not pd.isna(batch["whole"].iloc[lo]):
+                        # Documents of a cut node may have their close ones in other blocks.
+                        left += range(lo, hi)
+                        right += range(lo, hi)
+            if left:
+                found = batch.iloc[left][["node", "whole", "rep"]].reset_index(drop=True)
+                found["other"] = batch["rep"].to_numpy()[right]
+                yield found.drop_duplicates()
+
+    columns = [c for c in ("node", "whole", "rep", "sketch", "comp") if c in nodes.columns]
+    return nodes.select(*columns).repartition("node").sortWithinPartitions("node").mapInPandas(run, "node long, whole long, rep long, other long")
 
-    return nodes.repartition("node").sortWithinPartitions("node").mapInPandas(run, "a long, b long").distinct()
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.filter("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def iter_last(batches: Iterator) -> Iterator[tuple]:
@@ -218,10 +254,8 @@ def iter_last(batches: Iterator) -> Iterator[tuple]:
         yield held, True
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def confirm(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose full sets reach the threshold, in whole numbers of hundredths."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), n))
     hundredths = round(100 * threshold)
 
     @F.pandas_udf("boolean")
@@ -269,6 +303,17 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
+def met_blocks(told: DataFrame) -> DataFrame:
+    """Documents outside the main component of a cut node, in every block of it, with the blocks' own documents."""
+    blocks = told.filter("whole is not null")
+    tally = blocks.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = tally.groupBy("whole").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
+    minor = blocks.join(main, "whole").filter("comp <> main").select("whole", "rep", "comp").distinct()
+    everywhere = minor.join(blocks.select("whole", "node").distinct(), "whole")
+    own = blocks.join(minor.select("whole").distinct(), "whole", "left_semi")
+    return everywhere.select("node", "whole", "rep", "comp").unionByName(own.select("node", "whole", "rep", "comp"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -278,25 +323,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     """
     every = stored(sets(docs, n))
     reps = stored(
-        every.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "minhash")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.minhash").alias("minhash"))
+        every.filter("set_key is not null and doc_id is not null")
+        .groupBy("set_key")
+        .agg(F.min(F.struct("doc_id", "minhash", "sketch")).alias("m"))
+        .select("set_key", F.col("m.doc_id").alias("rep"), "m.minhash", "m.sketch")
     )
-    nodes = grouped(reps.select("rep", "minhash").dropDuplicates(["rep", "minhash"]))
-    links = stored(confirm(stored(pairs_in_nodes(nodes, threshold, False)), docs, n, threshold))
-    first = components(links)
-    told = nodes.join(first.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = told.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-    inner = told.join(mixed.select("node"), "node", "left_semi").select("node", "rep", "minhash", "comp")
-    apart = told.filter("whole is not null")
-    if not apart.isEmpty():
-        tally = apart.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = tally.groupBy("whole").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
-        minor = apart.join(main, "whole").filter("comp <> main").select("whole", "rep", "minhash", "comp").distinct()
-        blocks = apart.select("whole", "node").distinct()
-        inner = inner.unionByName(minor.join(blocks, "whole").join(told.select("node", "rep"), ["node", "rep"], "left_anti").select("node", "rep", "minhash", "comp"))
-        others = apart.join(minor.select("whole").distinct(), "whole", "left_semi").select("node", "rep", "minhash", "comp")
-        inner = inner.unionByName(others).distinct()
-    more = confirm(stored(pairs_in_nodes(inner, threshold, True)), docs, n, threshold)
-    found = components(links.unionByName(more).distinct())
+    sketches = reps.select("rep", "sketch")
+    close = stored(compared(grouped(reps).join(sketches, "rep"), threshold, "hubs"))
+    wanted = close.select(F.col("rep").alias("doc_id")).distinct()
+    full = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), n))
+    links = stored(confirm(pairs_of(close), full, threshold))
+    nodes = close.select("node", "whole", "rep").distinct()
+    for how in ("best", "all"):
+        found = components(links)
+        told = nodes.join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        told = stored(told)
+        mixed = told.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("node")
+        inner = told.join(mixed, "node", "left_semi")
+        if how == "all":
+            inner = inner.unionByName(met_blocks(told)).distinct()
+        more = stored(confirm(pairs_of(compared(inner.join(sketches, "rep"), threshold, how)), full, threshold))
+        links = links.unionByName(more)
+    found = components(links)
     named = reps.select("set_key", "rep").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     return every.join(named, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "doc_id"), F.lit(True)).alias("kept")
