@@ -334,17 +334,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     full = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), n))
     links = stored(confirm(pairs_of(close), full, threshold))
     nodes = close.select("node", "whole", "rep").distinct()
+    found = nodes.select(F.col("rep").alias("v")).distinct().join(components(links), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     for how in ("best", "all"):
-        found = components(links)
-        told = nodes.join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        told = stored(told)
+        found = stored(found)
+        told = stored(nodes.join(found.withColumnRenamed("v", "rep"), "rep"))
         mixed = told.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("node")
         inner = told.join(mixed, "node", "left_semi")
         if how == "all":
             inner = inner.unionByName(met_blocks(told)).distinct()
         more = stored(confirm(pairs_of(compared(inner.join(sketches, "rep"), threshold, how)), full, threshold))
-        links = links.unionByName(more)
-    found = components(links)
+        # Only components are joined from here on, not all links once more.
+        ends = more.join(found.select(F.col("v").alias("a"), F.col("comp").alias("x")), "a").join(found.select(F.col("v").alias("b"), F.col("comp").alias("y")), "b")
+        roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        found = found.join(roots.select(F.col("v").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp"))
     named = reps.select("set_key", "rep").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     return every.join(named, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "doc_id"), F.lit(True)).alias("kept")
