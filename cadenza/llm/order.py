@@ -26,6 +26,8 @@ from cadenza.llm.tokens import encoder
 LENGTH, END_ID, PAD_ID, PER_SHARD, KEY = 2048, 50256, 50256, 4096, 0x5EED
 STRIDE = 2 * LENGTH
 ROUNDS = 4
+#: Offsets are one row of two numbers per input task; up to so many are broadcast, beyond it they are joined by shuffle.
+MOST_PARTS = 500_000
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -88,12 +90,13 @@ def in_training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, per
     counts = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     total = cut.count()
     base = running_offsets(counts, "part")
+    if counts.count() <= MOST_PARTS:
+        base = F.broadcast(base)
 
     @F.pandas_udf("long")
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(), total, key))
 
-    # Part offsets are a row per input task; Spark broadcasts them only below its own bound.
     numbered = cut.join(base, "part").withColumn("sequence", F.col("offset") + F.col("k")).withColumn("slot", slot("sequence"))
     shards = max(1, -(-total // per_shard))
     return (
