@@ -86,12 +86,18 @@ def token_set_ratio(a: list[str], b: list[str]) -> float:
 
 
 def _indel(p: str, q: str) -> float:
-    row = [0] * (len(q) + 1)
-    for c in p:
-        before = 0
-        for j, d in enumerate(q):
-            before, row[j + 1] = row[j + 1], before + 1 if c == d else max(row[j + 1], row[j])
-    return 200.0 * row[-1] / (len(p) + len(q)) if p or q else 100.0
+    """200 * LCS / lengths; the LCS bit-parallel (Hyyrö 2004), one big integer step a character."""
+    if not p and not q:
+        return 100.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(p):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(p)) - 1
+    s = full
+    for c in q:
+        u = s & at.get(c, 0)
+        s = (s + u) | (s - u)
+    return 200.0 * (~s & full).bit_count() / (len(p) + len(q))
 
 
 def resolve_fuzzy(lost: DataFrame, tracks: DataFrame, threshold: float = 82.0) -> DataFrame:
