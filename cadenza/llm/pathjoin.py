@@ -11,7 +11,9 @@ close is confirmed on the full sets. Equal sets count once.
 Candidates come in three passes, so that copies are not expanded into pairs.
 The first gives each group of close documents of a node a few hubs, linked with
 the others. The next two look only across the components found: first at each
-document's closest partner, then at all that are left. Nodes beyond ``NODE``
+document's closest partner, then at all that are left; that last pass compares
+full sets inside the nodes, since sketches let many pairs just below the
+threshold through. Nodes beyond ``NODE``
 documents branch on; at ``DEEPEST`` they are cut into blocks that share one
 document, and every document outside such a node's main component then meets
 all its blocks.
@@ -31,6 +33,8 @@ from cadenza.llm.common import small_batches, stored
 COORDINATES, TREES, DEPTH, DEEPEST, NODE = 32, 12, 3, 9, 512
 #: A pair is a candidate unless its sketches are so many standard deviations below the threshold.
 BINS, DEVIATIONS = 256, 4.0
+#: Nodes hold full sets up to so many shingles; pairs with a longer one go by sketch alone.
+FULL, COLUMNS = 4096, 4096
 MASK = (1 << 64) - 1
 
 
@@ -190,32 +194,88 @@ def with_hubs(close: np.ndarray) -> Iterator[tuple[int, int]]:
             left[i] = False
 
 
-def across(close: np.ndarray, estimate: np.ndarray, comp: np.ndarray, best: bool) -> Iterator[tuple[int, int]]:
-    """Close pairs of different components; with ``best`` each document's closest one only."""
+def across(close: np.ndarray, estimate: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each document with its closest one of another component."""
     close = close & (comp[:, None] != comp[None, :])
-    if not best:
-        yield from zip(*np.nonzero(close), strict=True)
-        return
     both = np.where(close, estimate, -1)
     both = np.maximum(both, both.T)
     for i in np.flatnonzero(both.max(axis=1) >= 0):
         yield i, int(both[i].argmax())
 
 
+def whole_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Batches sorted by node as frames that hold each node whole, with the nodes' bounds."""
+    rest: pd.DataFrame | None = None
+    for batch, last in iter_last(batches):
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        cuts = [0, *(np.flatnonzero(np.diff(batch["node"].to_numpy())) + 1).tolist(), len(batch)]
+        if not last:
+            rest = batch.iloc[cuts[-2] :]
+            cuts = cuts[:-1]
+        yield batch, cuts
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets, by blocks of the shingles that two sets or more hold."""
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = count > 1
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[row[at], column[at] - lo] = 1
+        out += held @ held.T
+    return out
+
+
+def linked_across(nodes: DataFrame, threshold: float) -> DataFrame:
+    """One link a node between each two components of ``node, rep, comp, sketch, set``: ``rep, other``.
+
+    A null ``set`` is a long one: all its pairs that are close by sketch come out.
+    """
+    hundredths = round(100 * threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, cuts in whole_nodes(batches):
+            rep, comp = batch["rep"].to_numpy(), batch["comp"].to_numpy()
+            out = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+                    continue
+                node, c = batch.iloc[lo:hi], comp[lo:hi]
+                held = [np.frombuffer(x or b"", np.uint64) for x in node["set"]]
+                size = np.array([len(x) for x in held], dtype=np.float32)
+                both = overlaps(held)
+                other = np.triu(c[:, None] != c[None, :], 1)
+                known = (size > 0)[:, None] & (size > 0)[None, :]
+                sure = other & known & (100 * both >= hundredths * (size[:, None] + size[None, :] - both))
+                seen = set()
+                for i, j in zip(*np.nonzero(sure), strict=True):
+                    ends = (min(c[i], c[j]), max(c[i], c[j]))
+                    if ends not in seen:
+                        seen.add(ends)
+                        out.append((rep[lo + i], rep[lo + j]))
+                if not known.all():
+                    close, _ = closeness(np.frombuffer(b"".join(node["sketch"]), np.uint8).reshape(hi - lo, BINS), threshold)
+                    out += [(rep[lo + i], rep[lo + j]) for i, j in zip(*np.nonzero(close & other & ~known), strict=True)]
+            yield pd.DataFrame(out, columns=["rep", "other"], dtype="int64")
+
+    return nodes.select("node", "rep", "comp", "sketch", "set").repartition("node").sortWithinPartitions("node").mapInPandas(run, "rep long, other long")
+
+
 def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
     """Compare each node of ``node, whole, rep, sketch`` (and ``comp``) exhaustively: ``node, whole, rep, other``.
 
-    ``how``: ``hubs``, ``best`` or ``all`` (across components).
+    ``how``: ``hubs`` or ``best`` (across components).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for batch, last in iter_last(batches):
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            cuts = [0, *(np.flatnonzero(np.diff(batch["node"].to_numpy())) + 1).tolist(), len(batch)]
-            if not last:
-                rest = batch.iloc[cuts[-2] :]
-                cuts = cuts[:-1]
+        for batch, cuts in whole_nodes(batches):
             sig = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), BINS)
             comp = None if how == "hubs" else batch["comp"].to_numpy()
             left, right = [], []
@@ -223,7 +283,7 @@ def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
                 if hi - lo > 1:
                     close, estimate = closeness(sig[lo:hi], threshold)
                     if close.any():
-                        for i, j in with_hubs(close) if comp is None else across(close, estimate, comp[lo:hi], how == "best"):
+                        for i, j in with_hubs(close) if comp is None else across(close, estimate, comp[lo:hi]):
                             left.append(lo + i)
                             right.append(lo + j)
                     if comp is None and not pd.isna(batch["whole"].iloc[lo]):
@@ -341,8 +401,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
         mixed = told.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("node")
         inner = told.join(mixed, "node", "left_semi")
         if how == "all":
-            inner = inner.unionByName(met_blocks(told)).distinct()
-        more = stored(confirm(pairs_of(compared(inner.join(sketches, "rep"), threshold, how)), full, threshold))
+            inner = stored(inner.unionByName(met_blocks(told)).distinct())
+            # Only documents with some close one across components bring their sets.
+            some = compared(inner.join(sketches, "rep"), threshold, "best").select("node", "rep", "other").withColumn("rep", F.explode(F.array("rep", "other")))
+            brought = inner.select("node", "rep", "comp").join(some.select("node", "rep").distinct(), ["node", "rep"]).join(sketches, "rep")
+            short = full.filter(F.length("set") <= 8 * FULL).select(F.col("doc_id").alias("rep"), "set")
+            pairs = linked_across(brought.join(short, "rep", "left"), threshold)
+        else:
+            pairs = compared(inner.join(sketches, "rep"), threshold, "best")
+        more = stored(confirm(pairs_of(pairs), full, threshold))
         # Only components are joined from here on, not all links once more.
         ends = more.join(found.select(F.col("v").alias("a"), F.col("comp").alias("x")), "a").join(found.select(F.col("v").alias("b"), F.col("comp").alias("y")), "b")
         roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
