@@ -149,8 +149,10 @@ def brute_components(texts, n, threshold=0.8):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
+@pytest.mark.parametrize("full", [pathjoin.FULL, 8])
 @pytest.mark.parametrize("node", [512, 4])
-def test_near_duplicates(spark, docs, empty, monkeypatch, node):
+def test_near_duplicates(spark, docs, empty, monkeypatch, node, full):
+    monkeypatch.setattr(pathjoin, "FULL", full)
     monkeypatch.setattr(pathjoin, "NODE", node)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(120)]
@@ -167,6 +169,16 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, node):
         assert pathjoin.near_duplicates(empty).count() == 0
 
 
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(3)
+    held = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (0, 1, 5, 40, 80, 200)]
+    want = [[len(np.intersect1d(x, y)) if i != j else None for j, y in enumerate(held)] for i, x in enumerate(held)]
+    for columns in (7, 4096):
+        monkeypatch.setattr(pathjoin, "COLUMNS", columns)
+        got = pathjoin.overlaps(held)
+        assert all(got[i][j] == want[i][j] for i in range(6) for j in range(6) if i != j)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["comp"] for r in pathjoin.components(links).collect()}
