@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Words and brackets that never name a song.
@@ -21,6 +24,22 @@ def normalize(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))), F.lit(""))
 
 
+def strip_diacritics(x: Column) -> Column:
+    """Compatible decomposition without combining marks, Hebrew points included; null stays null."""
+
+    @F.pandas_udf("string")
+    def bare(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return bare(x)
+
+
+def safe_name(x: Column, default: str = "track", longest: int = 180) -> Column:
+    """A file name without reserved characters."""
+    clean = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r'[<>:"/\\|?*\x00-\x1F]', "_"))
+    return F.left(F.when(clean == "", default).otherwise(clean), F.lit(longest))
+
+
 def match_key(title: Column, artist: Column) -> Column:
     return F.trim(F.concat_ws(" ", normalize(artist), normalize(title)))
 

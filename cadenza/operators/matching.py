@@ -20,8 +20,8 @@ def side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(x).alias(f"{prefix}_{x}") for x in df.columns])
 
 
-def rank_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int, b: int, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
-    """All long section pairs of two tracks, scored and explained; the best ``top_n`` that are viable."""
+def viable_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int, b: int, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
+    """All long section pairs of two tracks, scored; those that can follow each other."""
     two = side(tracks.filter(F.col("track_id") == a), "a").join(side(tracks.filter(F.col("track_id") == b), "b"), F.lit(True))
     long = sections.filter(F.col("end") - F.col("start") >= tuning.min_section).join(chroma, "vec_id")
     sa, sb = (side(long.filter(F.col("track_id") == x).select("track_id", "idx", "start", "end", "energy", "chroma"), p) for x, p in ((a, "a"), (b, "b")))
@@ -34,11 +34,24 @@ def rank_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int
         F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")).alias("shorter"),
     )
     total = w.tempo * F.col("tempo") + w.key * F.col("key") + w.chroma * F.col("chroma") + w.energy * F.col("energy")
-    ranked = scored.withColumn("total", F.round(total, 9)).filter((F.col("tempo") > 0) & (F.col("total") >= tuning.min_score))
-    best = ranked.orderBy(F.desc("total"), F.desc("shorter"), "a_idx", "b_idx").limit(tuning.top_n)
+    return scored.withColumn("total", F.round(total, 9)).filter((F.col("tempo") > 0) & (F.col("total") >= tuning.min_score))
+
+
+def rank_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int, b: int, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
+    """The best ``top_n`` section pairs of two tracks."""
+    best = viable_pairs(tracks, sections, chroma, a, b, intent, tuning).orderBy(F.desc("total"), F.desc("shorter"), "a_idx", "b_idx").limit(tuning.top_n)
     return best.select("a_idx", "b_idx", *[F.round(x, 6).alias(x) for x in ("tempo", "key", "chroma", "energy", "total")])
 
 
+def mashup_pick(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, labels: DataFrame, a: int, b: int, tuning: Tuning = DEFAULT) -> DataFrame:
+    """The section of ``a`` to sing over one of ``b``: choruses and drops first; the bonus orders, the total stays."""
+    la, lb = (labels.filter(F.col("track_id") == x).select(F.col("idx").alias(f"{p}_idx"), F.col("label").alias(f"{p}_label")) for x, p in ((a, "a"), (b, "b")))
+    both = viable_pairs(tracks, sections, chroma, a, b, "match", tuning).join(la, "a_idx").join(lb, "b_idx")
+    bonus = F.when(F.col("a_label").isin("chorus", "drop"), 0.12).otherwise(0.0) + F.when(F.col("b_label").isin("chorus", "drop", "verse"), 0.05).otherwise(0.0)
+    best = both.withColumn("placed", F.round(F.col("total") + bonus, 9)).orderBy(F.desc("placed"), "a_idx", "b_idx").limit(1)
+    return best.select("a_idx", "b_idx", "a_label", "b_label", F.round("total", 6).alias("total"), F.round("placed", 6).alias("placed"))
+
+
 def set_tempo(tracks: DataFrame, tolerance: float = 0.08) -> DataFrame:
     """The median of the densest tempo cluster; the first candidate by id on ties. Distinct tempi are few, so counts join counts."""
     folded = tracks.filter("bpm > 0").select("track_id", music.fold_tempo(F.col("bpm"))["bpm"].alias("f"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import music, text
-from cadenza.operators import analysis, charts, joins, matching, store
+from cadenza.operators import analysis, charts, joins, levels, matching, segments, store
 from cadenza.sources import views
 from cadenza.streaming import jobs
 
@@ -399,3 +399,83 @@ def pick_middle(spark, d):
 @query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")
 def payload_json(spark, d):
     return views.table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+ALPHA = 0.8
+POLE = f"y AS (SELECT a.clip_id, a.i, sum(b.v * pow({ALPHA}::DOUBLE, a.i - b.i)) * (1 - {ALPHA}::DOUBLE) AS y FROM samples a JOIN samples b ON a.clip_id = b.clip_id AND b.i <= a.i GROUP BY ALL)"
+
+
+@query(f"{POLE} SELECT clip_id, i, round(y, 9) AS smooth FROM y")
+def one_pole(spark, d):
+    return levels.one_pole(views.samples(spark, d), "v", ALPHA).select("clip_id", "i", F.round("smooth", 9).alias("smooth"))
+
+
+@query(v(f""", need AS (SELECT clip_id, i, v, CASE WHEN v = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 0.1::DOUBLE / abs(v)) END AS need FROM samples),
+g AS (SELECT *, min(need) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS g FROM need),
+s AS (SELECT a.clip_id, a.i, a.v, a.need, sum(b.g * pow({ALPHA}::DOUBLE, a.i - b.i)) * (1 - {ALPHA}::DOUBLE) AS s FROM g a JOIN g b ON a.clip_id = b.clip_id AND b.i <= a.i GROUP BY ALL)
+SELECT clip_id, i, round(greatest(-0.1::DOUBLE, least(0.1::DOUBLE, v * least(s, need))), 9) AS v FROM s"""))
+def limiter(spark, d):
+    return levels.limit(views.samples(spark, d), 0.1, 5, ALPHA).select("clip_id", "i", F.round("v", 9).alias("v"))
+
+
+@query(v(""", l AS (SELECT clip_id, max(i) + 1 AS n FROM samples GROUP BY 1), k AS (SELECT clip_id, unnest(range((n - 16) // 2 + 1)) AS k FROM l WHERE n >= 32),
+p AS (SELECT clip_id, k, avg(v * v) AS p FROM k JOIN samples USING (clip_id) WHERE i >= k * 2 AND i < k * 2 + 16 GROUP BY ALL),
+dv AS (SELECT clip_id, k, CASE WHEN p > 0 THEN -0.691::DOUBLE + 10 * log10(p) + 20 ELSE 0 END AS d FROM p),
+c AS (SELECT clip_id, k, greatest(-8::DOUBLE, least(3::DOUBLE, CASE WHEN d > 1.5 THEN 1.5 - d WHEN d < -1.5 THEN -1.5 - d ELSE 0 END)) AS c FROM dv),
+m AS (SELECT clip_id, max(k) AS m FROM c GROUP BY 1),
+t AS (SELECT clip_id, k, o, greatest(0, least(m, k + o)) AS t FROM c JOIN m USING (clip_id), (SELECT unnest([-2, -1, 0, 1, 2]) AS o)),
+s AS (SELECT t.clip_id, t.k, avg(c.c) AS s FROM t JOIN c ON c.clip_id = t.clip_id AND c.k = t.t GROUP BY ALL),
+x AS (SELECT clip_id, i, v, m, greatest(0::DOUBLE, least(m::DOUBLE, (i - 8) / 2.0::DOUBLE)) AS x FROM samples LEFT JOIN m USING (clip_id))
+SELECT x.clip_id, i, round(v * coalesce(pow(10.0::DOUBLE, (lo.s + (x - floor(x)) * (hi.s - lo.s)) / 20), 1), 6) AS v FROM x LEFT JOIN s lo ON lo.clip_id = x.clip_id AND lo.k = floor(x) LEFT JOIN s hi ON hi.clip_id = x.clip_id AND hi.k = least(m, floor(x) + 1)"""))
+def level_ride(spark, d):
+    return levels.level_ride(views.samples(spark, d), -20.0, 16, 2, 5).select("clip_id", "i", F.round("v", 6).alias("v"))
+
+
+@query(v(", n AS (SELECT clip_id, max(i) + 1 AS n FROM samples GROUP BY 1) SELECT clip_id, i, round(v * CASE WHEN i < 8 THEN sin(pi() / 2 * i / 7) ELSE 1 END * CASE WHEN n - 1 - i < 16 THEN sin(pi() / 2 * (n - 1 - i) / 15) ELSE 1 END, 9) + 0.0::DOUBLE AS v FROM samples JOIN n USING (clip_id)"))
+def apply_fades(spark, d):
+    s = views.samples(spark, d)
+    n = s.groupBy("clip_id").agg((F.max("i") + 1).alias("n"))
+    return s.join(n, "clip_id").select("clip_id", "i", F.round(F.col("v") * levels.fade(F.col("i"), F.col("n"), 8, 16), 9).alias("v"))
+
+
+@query(v("SELECT a.track_id, a.idx, count(b.idx) AS n FROM (SELECT * FROM sections JOIN chroma USING (vec_id)) a LEFT JOIN (SELECT * FROM sections JOIN chroma USING (vec_id)) b ON a.track_id = b.track_id AND a.idx <> b.idx AND round(greatest(0.0, least(1.0, list_cosine_similarity(a.chroma, b.chroma))), 9) > 0.92 GROUP BY 1, 2"))
+def section_recurrence(spark, d):
+    return segments.recurrence(views.sections(spark, d), views.chroma(spark, d))
+
+
+@query(v("SELECT track_id, idx, round(coalesce(1 - list_cosine_similarity(chroma, lag(chroma) OVER (PARTITION BY track_id ORDER BY idx)), 0), 6) AS novelty FROM sections JOIN chroma USING (vec_id)"))
+def chroma_novelty(spark, d):
+    s = views.sections(spark, d).join(views.chroma(spark, d), "vec_id")
+    return segments.novelty(s, "track_id", "idx").select("track_id", "idx", F.round("novelty", 6).alias("novelty"))
+
+
+@query(v("SELECT track_id, i, round((accent - avg(accent) OVER w) / CASE WHEN stddev_pop(accent) OVER w < 1e-9 THEN 1 ELSE stddev_pop(accent) OVER w END, 6) AS z FROM beats WINDOW w AS (PARTITION BY track_id)"))
+def feature_zscore(spark, d):
+    return segments.zscored(views.beats(spark, d), ["track_id"], "accent").select("track_id", "i", F.round("z", 6).alias("z"))
+
+
+@query()
+def segment_tracks(spark, d):
+    s = views.sections(spark, d).join(views.chroma(spark, d), "vec_id")
+    beats = s.select("track_id", F.col("idx").alias("i"), F.col("start").alias("t"), F.col("chroma").alias("features"))
+    return segments.segment(beats, s.groupBy("track_id").agg(F.max("end").alias("duration")), 30.0)
+
+
+@query()
+def mashup_pick(spark, d):
+    s = views.sections(spark, d)
+    return matching.mashup_pick(views.tracks(spark, d), s, views.chroma(spark, d), analysis.label_sections(s), 1, 2)
+
+
+@query("SELECT c_custkey AS id, strip_accents('é' || c_name || 'ñ') AS name FROM customer")
+def strip_diacritics(spark, d):
+    return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.strip_diacritics(F.concat(F.lit("é"), "c_name", F.lit("ñ"))).alias("name"))
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(sum(CASE WHEN status <> 'running' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id AS job_id, arg_max(event_type, k) AS stage, arg_max(status, k) AS status, round(arg_max(greatest(0, least(1, value / 500)), k), 6) AS progress, max(k) AS n FROM r WHERE over = 0 GROUP BY 1""")
+def job_machine(spark, d):
+    e = views.table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return jobs.stream_machine(stream, "job_machine")

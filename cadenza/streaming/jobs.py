@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+FINISHED = ("done", "failed", "cancelled")
+RETENTION_MS = 3_600_000
 
 
 def status(stage):
@@ -31,3 +37,34 @@ def stream_states(source: DataFrame, name: str, watermark: str = "10 minutes") -
     query = latest_state(once).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return source.sparkSession.table(name)
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A finished job takes no further events, and is forgotten an hour after its end."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    stage, status_, progress, n, ended = state.get if state.exists else (None, "pending", 0.0, 0, None)
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    for r in rows.itertuples():
+        if status_ in FINISHED:
+            break
+        stage, status_, progress, n = r.stage, r.status, float(r.progress), n + 1
+        ended = int(r.ts.timestamp() * 1000) if status_ in FINISHED else None
+    state.update((stage, status_, progress, n, ended))
+    if ended is not None:
+        state.setTimeoutTimestamp(max(ended, state.getCurrentWatermarkMs()) + RETENTION_MS)
+    yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "status": [status_], "progress": [round(progress, 6)], "n": [n]})
+
+
+def stream_machine(source: DataFrame, name: str, watermark: str = "10 minutes") -> DataFrame:
+    """The state machine over a stream of raw events, run to its end: the last state of each job."""
+    once = job_events(source).withWatermark("ts", watermark).dropDuplicates(["event_id", "ts"])
+    states = once.groupBy("job_id").applyInPandasWithState(
+        _advance, "job_id long, stage string, status string, progress double, n long",
+        "stage string, status string, progress double, n long, ended long", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    query = states.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = source.sparkSession.table(name)
+    return told.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "progress", "n"), "n").alias("s")).select("job_id", "s.*")

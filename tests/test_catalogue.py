@@ -19,7 +19,7 @@ def canon(df):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "part orders supplier lineitem events documents embeddings pages".split():
+    for t in "part orders supplier customer lineitem events documents embeddings pages".split():
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return con
 
