@@ -58,13 +58,19 @@ def energy_curve(beats: DataFrame, m: int = 5) -> DataFrame:
     return scaled.select("track_id", "i", F.round(F.sum("e").over(w) / m, 6).alias("energy"))
 
 
-def label_sections(sections: DataFrame) -> DataFrame:
-    """Labels by place and energy: quiet ends are intro and outro, the loudest drops or choruses, quiet middles bridges."""
+def label_sections(sections: DataFrame, recurrence: DataFrame | None = None) -> DataFrame:
+    """Labels by place and energy: quiet ends are intro and outro, the loudest drops or choruses, quiet middles bridges.
+
+    With ``recurrence`` (``track_id, idx, n``) a section like another is never a drop.
+    """
+    again = F.lit(0) if recurrence is None else F.coalesce("n_alike", F.lit(0))
+    if recurrence is not None:
+        sections = sections.join(recurrence.select("track_id", "idx", F.col("n").alias("n_alike")), ["track_id", "idx"], "left")
     s = sections.groupBy("track_id").agg(F.percentile("energy", 0.5).alias("p50"), F.percentile("energy", 0.7).alias("p70"), F.max("energy").alias("top"), F.count(F.lit(1)).alias("n"))
     e, n = F.col("energy"), F.col("n")
     label = (
         F.when(n == 1, "verse").when((F.col("idx") == 0) & (e <= F.col("p50")), "intro").when((F.col("idx") == n - 1) & (e <= F.col("p50")), "outro")
-        .when(e >= F.when(n > 2, F.col("p70")).otherwise(F.col("p50")), F.when(e >= 0.97 * F.col("top"), "drop").otherwise("chorus"))
+        .when(e >= F.when(n > 2, F.col("p70")).otherwise(F.col("p50")), F.when((e >= 0.97 * F.col("top")) & (again == 0), "drop").otherwise("chorus"))
         .when(e < 0.75 * F.col("p50"), "bridge").otherwise("verse")
     )
     return sections.join(s, "track_id").select("track_id", "idx", label.alias("label"))

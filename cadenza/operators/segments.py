@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cadenza.operators.joins import nearest
+
 
 def recurrence(sections: DataFrame, chroma: DataFrame, near: float = 0.92) -> DataFrame:
     """How many other sections of its track each section resembles; sections of one track join, never tracks."""
@@ -81,12 +83,37 @@ def least_length(edges: Column, least: Column) -> Column:
     return F.when(F.size(edges) <= 2, edges).otherwise(F.concat(kept, F.array(end)))
 
 
-def segment(beats: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
-    """``track_id, idx, start, end`` of each track; ``lengths`` has ``track_id, duration``. ``least`` is at most a third of a track."""
-    wanted = beats.join(lengths.select("track_id", n_segments(F.col("duration")).alias("k")), "track_id")
-    found = boundaries(wanted).groupBy("track_id").agg(F.collect_set("t").alias("ts"))
-    every = lengths.join(found, "track_id", "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<double>")))
+def snapped(found: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """``track_id, t`` of ``found`` moved to the nearest downbeat where that is at most a bar away."""
+    moved = found.join(grids(downbeats), "track_id", "left").withColumn("_near", nearest(F.col("grid"), F.col("t")))
+    return moved.select("track_id", F.when(F.abs(F.col("_near") - F.col("t")) <= F.col("bar"), F.col("_near")).otherwise(F.col("t")).alias("t"))
+
+
+def grids(downbeats: DataFrame) -> DataFrame:
+    """``track_id, grid, bar``: sorted downbeats and the median bar, of two seconds where there are fewer than three."""
+    g = downbeats.groupBy("track_id").agg(F.array_sort(F.collect_list("t")).alias("grid"))
+    gap = F.percentile("gap", 0.5)
+    gaps = downbeats.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("track_id").orderBy("t"))).groupBy("track_id").agg(gap.alias("gap"))
+    return g.join(gaps, "track_id").select("track_id", "grid", F.when(F.size("grid") > 2, F.col("gap")).otherwise(F.lit(2.0)).alias("bar"))
+
+
+def segment(beats: DataFrame, lengths: DataFrame, least: float, downbeats: DataFrame | None = None, bars: int = 4) -> DataFrame:
+    """``track_id, idx, start, end`` of each track; ``lengths`` has ``track_id, duration``.
+
+    With ``downbeats`` bounds lie on them and a section has ``bars`` at least.
+    ``least`` is at most a third of a track. A track of fewer than eight beats is one section.
+    """
+    n = beats.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8")
+    k = F.least(n_segments(F.col("duration")), F.col("n").cast("int") - 1)
+    found = boundaries(beats.join(lengths.filter("duration > 0").join(n, "track_id").select("track_id", k.alias("k")), "track_id"))
+    shortest = F.lit(least)
+    if downbeats is not None:
+        found = snapped(found, downbeats)
+        lengths = lengths.join(grids(downbeats).select("track_id", "bar"), "track_id", "left")
+        shortest = F.greatest(shortest, bars * F.coalesce("bar", F.lit(2.0)))
+    ts = found.groupBy("track_id").agg(F.collect_set("t").alias("ts"))
+    every = lengths.join(ts, "track_id", "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<double>")))
     edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.col("duration").cast("double")), "ts")))
-    kept = every.select("track_id", least_length(edges, F.least(F.lit(least), F.col("duration") / 3)).alias("e"))
+    kept = every.select("track_id", least_length(edges, F.least(shortest, F.col("duration") / 3)).alias("e"))
     pieces = F.transform(F.slice("e", F.lit(1), F.size("e") - 1), lambda x, j: F.struct(x.alias("start"), F.element_at("e", j + 2).alias("end")))
     return kept.select("track_id", F.posexplode(pieces).alias("idx", "s")).select("track_id", "idx", "s.start", "s.end")

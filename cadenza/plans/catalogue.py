@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import music, text
 from cadenza.operators import analysis, charts, joins, levels, matching, segments, store
-from cadenza.sources import views
+from cadenza.sources import views, wav
 from cadenza.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,3 +479,22 @@ def job_machine(spark, d):
     e = views.table(spark, d, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return jobs.stream_machine(stream, "job_machine")
+
+
+ALIKE = "(SELECT a.track_id, a.idx, count(b.idx) AS alike FROM (SELECT * FROM sections JOIN chroma USING (vec_id)) a LEFT JOIN (SELECT * FROM sections JOIN chroma USING (vec_id)) b ON a.track_id = b.track_id AND a.idx <> b.idx AND round(list_cosine_similarity(a.chroma, b.chroma), 9) > 0.92 GROUP BY ALL)"
+
+
+@query(v(f", q AS (SELECT track_id, quantile_cont(energy, 0.5) AS p50, quantile_cont(energy, 0.7) AS p70, max(energy) AS top, count(*) AS n FROM sections GROUP BY 1) SELECT track_id, idx, CASE WHEN n = 1 THEN 'verse' WHEN idx = 0 AND energy <= p50 THEN 'intro' WHEN idx = n - 1 AND energy <= p50 THEN 'outro' WHEN energy >= CASE WHEN n > 2 THEN p70 ELSE p50 END THEN CASE WHEN energy >= 0.97::DOUBLE * top AND coalesce(alike, 0) = 0 THEN 'drop' ELSE 'chorus' END WHEN energy < 0.75::DOUBLE * p50 THEN 'bridge' ELSE 'verse' END AS label FROM sections JOIN q USING (track_id) LEFT JOIN {ALIKE} USING (track_id, idx)"))
+def label_recurring(spark, d):
+    s = views.sections(spark, d)
+    return analysis.label_sections(s, segments.recurrence(s, views.chroma(spark, d)))
+
+
+@query(v(", h AS (SELECT clip_id, i, printf('%04X', (round(greatest(-1, least(1, v)) * 32767)::INT + 65536) % 65536) AS h FROM samples) SELECT clip_id, 1::BIGINT AS part, string_agg(substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY i) AS digits FROM h GROUP BY 1"))
+def wav_data(spark, d):
+    return wav.wav_parts(views.samples(spark, d), 44_100).filter("part > 0").select("clip_id", F.col("part").cast("long").alias("part"), F.hex("bytes").alias("digits"))
+
+
+@query()
+def k_weighted_loudness(spark, d):
+    return levels.loudness(views.samples(spark, d), 160)
