@@ -85,10 +85,10 @@ def resolve_exact(spark, d):
     return charts.resolve_exact(merged(spark, d), views.tracks(spark, d))
 
 
-@query(f"{MERGED}, {LIB} SELECT key, rank FROM merged WHERE key NOT IN (SELECT key FROM lib WHERE track_id % 3 <> 0)")
+@query(f"{MERGED}, {LIB} SELECT key, rank FROM merged WHERE key NOT IN (SELECT {key_of('title', 'artist')} FROM tracks WHERE album <> 'PROMO')")
 def missing_trends(spark, d):
-    t = charts.library_keys(views.tracks(spark, d)).filter("track_id % 3 <> 0")
-    return merged(spark, d).join(t, "key", "left_anti").select("key", "rank")
+    """Charted songs of which the library holds nothing but promos."""
+    return charts.missing(merged(spark, d), views.tracks(spark, d).filter("album <> 'PROMO'")).select("key", "rank")
 
 
 @query(f"{MERGED}, {LIB}, hits AS (SELECT key, rank, track_id // 7 AS track_id FROM merged JOIN lib USING (key)) SELECT key, rank, track_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY rank, key) AS n FROM hits) WHERE n = 1")
@@ -166,20 +166,25 @@ def timecode(spark, d):
     return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.timecode(F.col("o_orderkey") + F.lit(0.25)).alias("code"))
 
 
-PAIRS = "p AS (SELECT a.track_id AS a, b.track_id AS b, a.bpm AS x, b.bpm AS y, a.pitch_class AS pa, b.pitch_class AS pb, a.minor AS ma, b.minor AS mb, least(a.confidence, b.confidence) AS cf FROM tracks a JOIN tracks b ON a.track_id <= 40 AND b.track_id <= 40 AND a.track_id <> b.track_id)"
+PAIRS = "p AS (SELECT a.track_id AS a, b.track_id AS b, a.bpm AS x, b.bpm AS y, a.pitch_class AS pa, b.pitch_class AS pb, a.minor AS ma, b.minor AS mb, least(a.confidence, b.confidence) AS cf FROM tracks a JOIN tracks b ON (a.track_id - 1) // 20 = (b.track_id - 1) // 20 AND a.track_id <> b.track_id)"
 TEMPO = "t AS (SELECT a, b, pa, pb, ma, mb, cf, list_max([CASE WHEN abs(y * q[1] - x) / x <= 0.08::DOUBLE THEN struct_pack(s := (1 - abs(y * q[1] - x) / x / 0.08::DOUBLE) * q[2], o := -q[3], r := q[1], st := x / (y * q[1])) END FOR q IN [[1.0, 1.0, 0.0], [2.0, 0.92, 1.0], [0.5, 0.92, 2.0]]::DOUBLE[][]]) AS m FROM p)"
 
 
-def small_pairs(spark, d):
-    """The grid of forty tracks that shows pair scores; a set never holds more."""
-    t = views.tracks(spark, d).filter("track_id <= 40")
-    return matching.side(t, "a").join(matching.side(t, "b"), F.col("a_track_id") != F.col("b_track_id"))
+#: The whole library, dealt into sets of twenty.
+SET = "(track_id - 1) div 20"
+
+
+def set_pairs(spark, d):
+    """Each two tracks of one set."""
+    t = views.tracks(spark, d)
+    a, b = (matching.side(t, p).withColumn("set_id", F.expr(SET.replace("track_id", f"{p}_track_id"))) for p in "ab")
+    return a.join(b, "set_id").filter("a_track_id <> b_track_id")
 
 
 @query(f"{PAIRS}, {TEMPO} SELECT a, b, round(CASE WHEN m.s > 0 THEN m.s ELSE 0 END, 9) AS score, CASE WHEN m.s > 0 THEN m.r ELSE 1.0 END AS ratio, round(CASE WHEN m.s > 0 THEN m.st ELSE 1.0 END, 9) AS stretch FROM t")
 def tempo_compat(spark, d):
     t = music.tempo(F.col("a_bpm"), F.col("b_bpm"))
-    return small_pairs(spark, d).select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), t.alias("t")).select("a", "b", F.round("t.score", 9).alias("score"), "t.ratio", F.round("t.stretch", 9).alias("stretch"))
+    return set_pairs(spark, d).select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), t.alias("t")).select("a", "b", F.round("t.score", 9).alias("score"), "t.ratio", F.round("t.stretch", 9).alias("stretch"))
 
 
 @query(v("SELECT a.track_id AS a, count(DISTINCT b.track_id) AS n FROM tracks a, tracks b, (SELECT unnest([1.0, 2.0, 0.5]::DOUBLE[]) AS r) WHERE abs(b.bpm * r - a.bpm) <= 0.02::DOUBLE * a.bpm GROUP BY 1"))
@@ -226,7 +231,7 @@ k AS (SELECT a, b, any_value(cf) AS cf, max(struct_pack(raw := raw, o := -s, d :
 def key_compat(spark, d):
     c = F.col
     k = music.key_match(c("a_pitch_class"), c("a_minor"), c("b_pitch_class"), c("b_minor"), c("a_confidence"), c("b_confidence"))
-    return small_pairs(spark, d).select(c("a_track_id").alias("a"), c("b_track_id").alias("b"), k.alias("k")).select("a", "b", F.round("k.score", 9).alias("score"), c("k.shift").cast("int").alias("shift"), c("k.distance").cast("int").alias("distance"))
+    return set_pairs(spark, d).select(c("a_track_id").alias("a"), c("b_track_id").alias("b"), k.alias("k")).select("a", "b", F.round("k.score", 9).alias("score"), c("k.shift").cast("int").alias("shift"), c("k.distance").cast("int").alias("distance"))
 
 
 @query(v("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0.0, least(1.0, list_cosine_similarity(a.chroma, b.chroma[11:12] || b.chroma[1:10]))), 6) AS cosine FROM chroma a JOIN chroma b ON b.vec_id = a.vec_id + 1"))
@@ -258,7 +263,7 @@ def track_energy(spark, d):
 
 
 def ordered(spark, d):
-    t = views.tracks(spark, d).filter("track_id <= 200").withColumn("set_id", F.expr("(track_id - 1) div 20"))
+    t = views.tracks(spark, d).withColumn("set_id", F.expr(SET))
     return matching.running_order(t.select("set_id", "track_id", "bpm"), matching.track_energy(views.sections(spark, d)))
 
 

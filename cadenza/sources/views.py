@@ -59,7 +59,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 def chroma(spark: SparkSession, d: str) -> DataFrame:
     raw = F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))
     total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
-    return table(spark, d, "embeddings").filter("vec_id < 500").select("vec_id", F.transform(raw, lambda x: x / total).alias("chroma"))
+    return table(spark, d, "embeddings").filter(total > 0).select("vec_id", F.transform(raw, lambda x: x / total).alias("chroma"))
 
 
 def charts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ tracks AS (SELECT p_partkey AS track_id, p_name AS title, p_brand AS artist, p_t
   (p_partkey // 12) % 2 <> 0 AS minor, (p_partkey * 7919 % 1000) / 1000.0::DOUBLE * 0.227::DOUBLE AS confidence FROM part),
 sections AS (SELECT l_partkey AS track_id, row_number() OVER w - 1 AS idx, sum(l_quantity) OVER w - l_quantity AS start, sum(l_quantity) OVER w AS "end", abs(l_discount) * 10 AS energy, l_orderkey % 500 AS vec_id
   FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
-chroma AS (SELECT vec_id, list_transform(r, lambda x: x / list_sum(r)) AS chroma FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)) AS r FROM embeddings WHERE vec_id < 500)),
+chroma AS (SELECT vec_id, list_transform(r, lambda x: x / list_sum(r)) AS chroma FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)) AS r FROM embeddings) WHERE list_sum(r) > 0),
 plays AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'b' WHEN 'R' THEN 'c' END AS provider, CASE WHEN l_linestatus = 'O' THEN 'IL' ELSE 'global' END AS region, l_partkey AS song, round(sum(l_extendedprice))::BIGINT AS plays FROM lineitem GROUP BY ALL),
 charts AS (SELECT c.*, title, artist FROM (SELECT *, row_number() OVER (PARTITION BY provider, region ORDER BY plays DESC, song) AS rank FROM plays) c JOIN tracks ON track_id = song WHERE rank <= 50),
 beats AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) / 1e6 AS t, value AS accent FROM events),
