@@ -16,11 +16,12 @@ full sets inside the nodes, since sketches let many pairs just below the
 threshold through. Nodes beyond ``NODE``
 documents branch on; at ``DEEPEST`` they are cut into blocks that share one
 document, and every document outside such a node's main component then meets
-all its blocks.
+all its documents, by pairs of bounded parts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -364,14 +365,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def met_blocks(told: DataFrame) -> DataFrame:
-    """Documents outside the main component of a cut node, in every block of it, with the blocks' own documents."""
-    blocks = told.filter("whole is not null")
+    """Documents outside the main component of a cut node meet all its documents, in rows of two parts.
+
+    Both kinds are dealt into parts of about ``NODE``, and each two parts of
+    which one is outside make a node, so no node exceeds ``2 * NODE`` and each
+    such pair of documents meets once; pairs inside the main component need not.
+    """
+    size = max(1, NODE // 2, NODE - 4 * math.isqrt(NODE))  # a hash deals unevenly, by a few standard deviations
+    blocks = told.filter("whole is not null").select("whole", "rep", "comp").distinct()
     tally = blocks.groupBy("whole", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = tally.groupBy("whole").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
-    minor = blocks.join(main, "whole").filter("comp <> main").select("whole", "rep", "comp").distinct()
-    everywhere = minor.join(blocks.select("whole", "node").distinct(), "whole")
-    own = blocks.join(minor.select("whole").distinct(), "whole", "left_semi")
-    return everywhere.select("node", "whole", "rep", "comp").unionByName(own.select("node", "whole", "rep", "comp"))
+    shape = (
+        tally.groupBy("whole")
+        .agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"))
+        .select("whole", F.col("main.comp").alias("main"), F.ceil((F.col("n") - F.col("main.k")) / size).cast("int").alias("minor_parts"), F.ceil(F.col("main.k") / size).cast("int").alias("main_parts"))
+        .filter("minor_parts > 0")
+    )
+    minor = F.col("comp") != F.col("main")
+    deal = lambda parts: F.pmod(F.xxhash64("rep", "whole"), F.col(parts)).cast("int")
+    placed = blocks.join(shape, "whole").withColumn("place", F.when(minor, deal("minor_parts")).otherwise(F.col("minor_parts") + deal("main_parts")))
+    others = F.sequence(F.lit(0), F.when(minor, F.col("minor_parts") + F.col("main_parts")).otherwise(F.col("minor_parts")) - 1)
+    met = placed.select("whole", "rep", "comp", "place", F.explode(others).alias("other"))
+    return met.select(F.xxhash64("whole", F.least("place", "other"), F.greatest("place", "other")).alias("node"), "whole", "rep", "comp")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -403,8 +417,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
         if how == "all":
             inner = stored(inner.unionByName(met_blocks(told)).distinct())
             # Only documents with some close one across components bring their sets.
-            some = compared(inner.join(sketches, "rep"), threshold, "best").select("node", "rep", "other").withColumn("rep", F.explode(F.array("rep", "other")))
-            brought = inner.select("node", "rep", "comp").join(some.select("node", "rep").distinct(), ["node", "rep"]).join(sketches, "rep")
+            # Both ends of a close pair come out as ``rep``, each with its own best one.
+            some = compared(inner.join(sketches, "rep"), threshold, "best").select("node", "rep").distinct()
+            brought = inner.select("node", "rep", "comp").join(some, ["node", "rep"]).join(sketches, "rep")
             short = full.filter(F.length("set") <= 8 * FULL).select(F.col("doc_id").alias("rep"), "set")
             pairs = linked_across(brought.join(short, "rep", "left"), threshold)
         else:

@@ -179,6 +179,37 @@ def test_overlaps(monkeypatch):
         assert all(got[i][j] == want[i][j] for i in range(6) for j in range(6) if i != j)
 
 
+def test_cut_nodes_meet_in_bounded_parts(spark):
+    # Documents of a template: nearly all of them components of their own, in blocks of one cut node.
+    n, blocks = 20_000, 40
+    told = spark.range(n).selectExpr(f"id % {blocks} as node", "7L as whole", "id as rep", "if(id < 2000, 0L, id) as comp")
+    sizes = [r["count"] for r in pathjoin.met_blocks(told).groupBy("node").count().collect()]
+    assert max(sizes) <= 2 * pathjoin.NODE
+    few = told.filter("rep % 10 = 0")
+    met = pathjoin.met_blocks(few).select("node", "rep", "comp").distinct()
+    pairs = met.join(met.toDF("node", "other", "c"), "node").filter("rep < other and comp <> c").select("rep", "other")
+    assert pairs.distinct().count() == 2000 * 1999 // 2 - 200 * 199 // 2
+
+
+def test_template_texts(spark, monkeypatch):
+    # Distinct texts of similarity 0.7 to each other, and two pairs of 0.8 and more between them.
+    monkeypatch.setattr(pathjoin, "NODE", 16)
+    common = " ".join(f"t{i}" for i in range(200))
+    texts = [common + "".join(f" o{d}x{i}" for i in range(43)) for d in range(240)]
+    texts += [texts[3] + " more", texts[200] + " other"]
+    widths, whole = [], pathjoin.met_blocks
+
+    def watched(told):
+        widths.append(whole(told).groupBy("node").count().agg({"count": "max"}).first()[0])
+        return whole(told)
+
+    monkeypatch.setattr(pathjoin, "met_blocks", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in pathjoin.near_duplicates(docs, 2).collect()}
+    assert got == brute_components(list(enumerate(texts)), 2)
+    assert widths and widths[0] <= 4 * pathjoin.NODE < 240 // 2
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["comp"] for r in pathjoin.components(links).collect()}
