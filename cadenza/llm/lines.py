@@ -3,11 +3,13 @@
 Lines without a word play no part and stay. A gram is the shortest run of
 lines, from a given one, of at least ``NOISE`` words; among the grams that lie
 in the ``GUARANTEE`` words from a line, the smallest hash is a fingerprint.
-Each fingerprint is joined with its first occurrence in the order of
-(doc_id, text hash, line), the match is extended line by line both ways, and
-the later run is deleted. So nothing shorter than ``NOISE`` words is deleted,
-every repeated run of ``GUARANTEE`` words has a fingerprint, and each deleted
-line has an equal one earlier.
+Positions of a fingerprint are grouped by their next lines each way, level by
+level within ``GUARANTEE`` words, and all but the first of a group, in the
+order of (doc_id, text hash, line), lose the line of that level. So a run is
+met with all earlier ones, nothing shorter than ``NOISE`` words is deleted,
+and each deleted line has an equal one earlier. A repeated run of
+``GUARANTEE`` words goes whole: its fingerprints leave no line further from one
+of them than the levels reach.
 """
 
 from __future__ import annotations
@@ -49,23 +51,24 @@ def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTE
     """``doc_id, key, dropped``: places of the lines that an earlier run repeats."""
     lines = stored(numbered(docs.select("doc_id", F.col("text").cast("string")).filter("doc_id is not null and text is not null")))
     marks = fingerprints(lines, noise, guarantee)
-    first = marks.groupBy("g").agg(F.min(F.struct("doc_id", "key", "i")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = (
-        marks.join(first, "g")
-        .filter(F.struct("doc_id", "key", "i") > F.col("f"))
-        .select("doc_id", "key", "i", F.col("f.doc_id").alias("e_id"), F.col("f.key").alias("e_key"), F.col("f.i").alias("j"))
-    )
-    whole = lines.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "pos", F.xxhash64("h").alias("h")))).alias("a"))
-    own = whole.select("doc_id", "key", F.col("a.h").alias("mine"), F.col("a.pos").alias("place"))
-    theirs = whole.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("a.h").alias("other"))
-    at = lambda t: F.element_at("mine", t + 1) == F.element_at("other", t + 1 + F.col("j") - F.col("i"))
-    lo, hi = F.greatest(F.lit(0), F.col("i") - F.col("j")), F.least(F.size("mine"), F.size("other") + F.col("i") - F.col("j")) - 1
-    start = F.coalesce(F.array_max(F.filter(F.sequence(lo, F.col("i")), lambda t: ~at(t))) + 1, lo)
-    end = F.coalesce(F.array_min(F.filter(F.sequence(F.col("i"), hi), lambda t: ~at(t))) - 1, hi)
-    # A document's lines go with the list of its matches, not with each.
-    met = later.join(theirs, ["e_id", "e_key"]).join(own, ["doc_id", "key"])
-    runs = met.select("doc_id", "key", F.slice("place", start + 1, end - start + 1).alias("run"))
-    return runs.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("dropped"))
+    often = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    whole = lines.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "pos", "c", F.xxhash64("h").alias("h")))).alias("a"))
+    # A document's lines go with the list of its marks, and are cut to those near by.
+    near = marks.join(often, "g").join(whole, ["doc_id", "key"]).withColumn("own", F.element_at("a", F.col("i").cast("int") + 1))
+    after = F.coalesce(F.try_element_at("a", F.col("i").cast("int") + 2)["c"], F.col("own.c"))
+    right = F.filter("a", lambda x: (x["i"] > F.col("i")) & (x["c"] < F.col("after") + guarantee))
+    left = F.reverse(F.filter("a", lambda x: (x["i"] < F.col("i")) & (x["c"] >= F.col("own.c") - guarantee)))
+    near = near.withColumn("after", after).select("doc_id", "key", "i", "g", "own.pos", right.alias("right"), left.alias("left"))
+
+    def told(side: str, sign: int):
+        return F.transform(side, lambda x, k: F.struct((sign * (k + 1)).cast("int").alias("t"), F.xxhash64(F.slice(F.col(f"{side}.h"), 1, k + 1)).alias("context"), x["pos"].alias("pos")))
+
+    at = F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("context"), F.col("pos")))
+    reach = near.select("doc_id", "key", "i", "g", F.explode(F.concat(at, told("right", 1), told("left", -1))).alias("x")).select("doc_id", "key", "i", "g", "x.*")
+    level = ["g", "t", "context"]
+    first = reach.groupBy(*level).agg(F.min(F.struct("doc_id", "key", "i")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = reach.join(first, level).filter(F.struct("doc_id", "key", "i") > F.col("f"))
+    return later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:

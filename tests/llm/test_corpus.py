@@ -230,6 +230,16 @@ def test_lines(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_lines_of_a_longer_earlier_run(spark):
+    # The first document holds only the middle of a passage that the second one has whole.
+    said = [" ".join(f"p{i}x{j}" for j in range(10)) for i in range(6)]
+    for turn in range(12):
+        passage = [f"{x} v{turn}" for x in said]
+        texts = [(1, "\n".join(["one first", *passage[2:5], "one last"])), (2, "\n".join(["two first", *passage, "two last"])), (3, "\n".join(["three first", *passage, "three last"]))]
+        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert got[3] == "three first\nthree last" and got[1] == texts[0][1]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 24))
