@@ -47,9 +47,11 @@ _D = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: Three number words or digits in a row, a plus first if there is one.
 SPELLED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_D})(?:[\s.,-]+(?:{_D}|[0-9]+)){{2,}}\b", re.IGNORECASE)
 ONE_DIGIT = re.compile(rf"plus[\s-]+|{_D}|[0-9]+", re.IGNORECASE)
-COMMON_DIGITS = ("zero", "one", "two", "three", "five", "zwei", "drei", "deux", "trois", "dos", "tres", "cero", "null")
 #: Bracketed forms stand alone; a bare `at` or `dot` counts only where both make one address.
 BRACKETED = re.compile(r"\s*[\[({<]\s*(?:(at|arroba|@)|(dot|punkt|punto|point|\.))\s*[\])}>]\s*", re.IGNORECASE)
+#: Each rewrite of addresses needs one of these; without the white space before it a bracket is found in one pass.
+BRACKET = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punkt|punto|point|\.)\s*[\])}>]", re.IGNORECASE)
+DOT = re.compile(r"\sdot\s", re.IGNORECASE)
 BARE = re.compile(r"(?<=[A-Za-z0-9])(?:(\s+at\s+)|(\s+dot\s+))(?=[A-Za-z0-9])", re.IGNORECASE)
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:@|\s+at\s+)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 
@@ -145,11 +147,11 @@ def disguised(text: str) -> Rewritten | None:
     if not text.isascii() and DISGUISED.search(text):
         r = Rewritten(text)
         characters(r)
-    low = (r.text if r else text).lower()
-    if sum(w in low for w in COMMON_DIGITS) >= 2 and SPELLED.search(low):
+    if SPELLED.search(r.text if r else text):
         r = r or Rewritten(text)
         spelled(r)
-    if " dot " in low or any(b in low for b in ("(at", "[at", "{at", "<at", "(dot", "[dot", "{dot", "<dot", "( at", "[ at", "(@", "[@", "(.", "[.", "arroba", "punkt", "punto", "point")):
+    now = r.text if r else text
+    if BRACKET.search(now) or ("dot" in now.lower() and DOT.search(now)):
         r = r or Rewritten(text)
         addresses(r)
     return r if r and r.changed else None

@@ -307,6 +307,21 @@ def test_disguises(text, found):
     assert [text[s:e] for s, _, e in pii.spans(text)[1]] == found
 
 
+@pytest.mark.parametrize("word", sorted(pii.DIGITS))
+def test_each_number_word(word):
+    said = " ".join(["plus"] + [word] * 10)
+    assert [said[s:e] for s, _, e in pii.spans(said)[1]] == [said]
+
+
+def test_number_words_and_brackets_alone():
+    forms = ["plus four four seven eight nine six four seven eight six"]
+    forms += [f"john{gap}{o}{pad}{at}{pad}{c}{gap}example.com" for o, c in ("[]", "()", "{}", "<>") for at in ("at", "arroba", "@") for pad in ("", " ", "\t") for gap in ("", " ")]
+    forms += [f"john@example{o}{pad}{dot}{pad}{c}com" for o, c in ("[]", "()", "{}", "<>") for dot in ("dot", "punkt", "punto", "point", ".") for pad in ("", " ", "\n")]
+    forms += ["john at example\tdot\tcom", "john at example\ndot\ncom"]
+    for form in forms:
+        assert [form[s:e] for s, _, e in pii.spans(form)[1]] == [form], form
+
+
 def test_personal_data(docs, empty):
     assert pii.personal_data(docs).count() == len(rows()) and pii.personal_data(empty).count() == 0
 
