@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-SALT_ROWS = 50_000
+SALT_ROWS = 4_096
+#: Arrow batches hold so many rows and bytes at most, in all operators alike: one text may be very long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -37,9 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounded Arrow batches; every operator sets the same, so the order of building plans does not matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def released(rows: Iterator) -> Iterator:
+    """The rows; after them, what the task held goes back to the system, since Python workers outlive their tasks."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def running_offsets(counts: DataFrame, key: str, n: str = "n", within: list[str] | None = None, fan: int = 1024) -> DataFrame:

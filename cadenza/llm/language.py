@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import released, small_batches
 
 BUCKETS = 1 << 13
-#: Labelled texts of one language that a fit may read, about.
-SAMPLE = 1_000
+#: Labelled texts of one language that a fit may read, about; the commonest languages that it learns, at most.
+SAMPLE, MOST_LANGS = 1_000, 64
 #: Families of common languages; any other language is a family by itself.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -30,11 +30,16 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "bg", "sr"),
 }
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 BLANK = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 SCALE = 30.0
 
 
+def has_letter(text: str | None) -> bool:
+    """Any character of Unicode's letter categories."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or not text.isascii() and any(map(str.isalpha, text)))
+
+
 def family(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
@@ -48,25 +53,28 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int32), np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def features(texts: list[str]) -> Iterator[np.ndarray]:
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, the buckets that it has, and their shares of its trigrams."""
     grams, starts = trigrams(texts)
     for s, e in zip(starts, [*starts[1:], len(grams)], strict=True):
-        yield (np.bincount(grams[s:e], minlength=BUCKETS) / (e - s)).astype(np.float32)
+        at, n = np.unique(grams[s:e], return_counts=True)
+        yield at.astype(np.int32), (n / (e - s)).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM (hinge loss) by dual coordinate descent; y in -1, 1; classes weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * c
-    norms = (x * x).sum(axis=1) + 1
-    alpha, w, bias = np.zeros(len(y)), np.zeros(x.shape[1]), 0.0
+def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = BUCKETS, c: float = 1.0, epochs: int = 30) -> tuple[np.ndarray, float]:
+    """Linear SVM (hinge loss, bias among the weights) by dual coordinate descent over sparse rows; y in -1, 1; classes weigh alike."""
+    most = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * c
+    norms = np.array([float(v @ v) + 1 for _, v in rows])
+    alpha, w, bias = np.zeros(len(y)), np.zeros(size), 0.0
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w + bias) - 1
-            new = min(max(alpha[i] - gradient / norms[i], 0), weight[i])
+            at, v = rows[i]
+            gradient = y[i] * (w[at] @ v + bias) - 1
+            new = min(max(alpha[i] - gradient / norms[i], 0), most[i])
             if (step := (new - alpha[i]) * y[i]) != 0:
-                w += step * x[i]
+                w[at] += step * v
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -105,7 +113,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         out, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        real = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        real = [i for i, t in enumerate(texts) if has_letter(t)]
         if not real or not self.langs:
             return out, score
         margins = np.zeros((len(real), len(self.names)))
@@ -138,16 +146,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``doc_id, text, lang`` rows; rows without a language, or a letter in the text, teach nothing.
 
     About ``sample`` rows a language are read, those with the smallest hashes
-    of their id. With one language there is nothing to tell apart.
+    of their id and text, for the ``MOST_LANGS`` commonest languages. With one
+    language there is nothing to tell apart.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     langs = sorted(counts)
     names = machines(langs)
     if not names:
         return Model(langs, [], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
@@ -155,27 +165,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     def roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[bool(LETTER.search(t)) for t in batch["text"]]]
+            batch = batch[[has_letter(t) for t in batch["text"]]]
             out = []
-            for lang, x in zip(batch["lang"], features(list(batch["text"])) if len(batch) else (), strict=True):
-                at = np.flatnonzero(x)
+            for lang, (at, x) in zip(batch["lang"], features(list(batch["text"])) if len(batch) else (), strict=True):
                 for j, (level, a, b) in enumerate(names):
                     own = family(lang) if level == "" else lang if level == family(lang) else None
                     if own in (a, b):
-                        out.append((j, 1 if own == a else -1, at.astype(np.int32).tobytes(), x[at].tobytes()))
+                        out.append((j, 1 if own == a else -1, at.tobytes(), x.tobytes()))
             yield pd.DataFrame(out, columns=["machine", "y", "at", "x"])
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "at", "x"], kind="stable")
-        x = np.zeros((len(group), BUCKETS), dtype=np.float32)
-        for i, (at, v) in enumerate(zip(group["at"], group["x"], strict=True)):
-            x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
-        x *= np.float32(np.sqrt(SCALE) * SCALE)
-        w, bias = fit_machine(x, group["y"].to_numpy(np.float64))
-        return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "w": [(np.sqrt(SCALE) * SCALE * w).astype(np.float32).tobytes()], "bias": [float(bias)]})
+        scale = np.sqrt(SCALE) * SCALE
+        rows = [(np.frombuffer(at, np.int32), np.frombuffer(v, np.float32) * scale) for at, v in zip(group["at"], group["x"], strict=True)]
+        w, bias = fit_machine(rows, group["y"].to_numpy(np.float64))
+        return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "w": [(scale * w).astype(np.float32).tobytes()], "bias": [float(bias)]})
 
     small_batches(spark)
-    fitted = chosen.mapInPandas(roles, "machine int, y int, at binary, x binary").groupBy("machine").applyInPandas(train, "machine int, w binary, bias double").collect()
+    fitted = chosen.mapInPandas(lambda b: released(roles(b)), "machine int, y int, at binary, x binary").groupBy("machine").applyInPandas(train, "machine int, w binary, bias double").collect()
     weights, biases = np.zeros((len(names), BUCKETS), np.float32), np.zeros(len(names))
     for r in fitted:
         weights[r["machine"]], biases[r["machine"]] = np.frombuffer(r["w"], np.float32), r["bias"]
@@ -196,13 +203,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.names, model.weights, model.biases))
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    # Nondeterministic only in name: a filter on the result must not make Spark predict twice.
     def told(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*sent.value)
         for t in texts:
             lang, score = own.predict([x or None for x in t])
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
+    told = F.pandas_udf(told, "lang_pred string, score double").asNondeterministic()
     return docs.withColumn("_told", told(F.col("text").cast("string"))).select(*docs.columns, "_told.lang_pred", "_told.score")
 
 

@@ -14,7 +14,7 @@ of them than the levels reach.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadenza.llm.common import stored
 
@@ -35,40 +35,60 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
+    """``doc_id, key, i, pos, c, w, g``: the line at which each fingerprint begins, and its hash."""
     doc = Window.partitionBy("doc_id", "key").orderBy("c")
     near = doc.rangeBetween(0, noise - 1)
     grams = lines.select(
-        "doc_id", "key", "i", "c",
+        "doc_id", "key", "i", "pos", "c", "w",
         F.unhex(F.md5(F.array_join(F.transform(F.collect_list("h").over(near), lambda h: F.lower(F.hex(h))), ","))).alias("g"),
         (F.col("c") + F.sum("w").over(near)).alias("e"),
     ).filter(F.col("e") - F.col("c") >= noise)
-    ahead = F.collect_list(F.struct("g", "i", "e")).over(doc.rangeBetween(0, guarantee - noise))
+    ahead = F.collect_list(F.struct("g", "i", "e", "pos", "c", "w")).over(doc.rangeBetween(0, guarantee - noise))
     inside = F.filter(ahead, lambda x: (x["i"] == F.col("i")) | (x["e"] <= F.col("c") + guarantee))
-    return grams.select("doc_id", "key", F.array_min(inside).alias("m")).select("doc_id", "key", F.col("m.i").alias("i"), F.col("m.g").alias("g")).distinct()
+    return grams.select("doc_id", "key", F.array_min(inside).alias("m")).select("doc_id", "key", *[F.col(f"m.{x}").alias(x) for x in ("i", "pos", "c", "w", "g")]).distinct()
 
 
 def repeated_runs(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """``doc_id, key, dropped``: places of the lines that an earlier run repeats."""
+    """``doc_id, key, dropped``: sorted places of the lines that an earlier run repeats.
+
+    The lines near a mark come from frames of ``guarantee`` words over the
+    document's lines, with the mark's two ends as rows among them: work and
+    bytes follow the number of lines and marks, however long a document is.
+    """
     lines = stored(numbered(docs.select("doc_id", F.col("text").cast("string")).filter("doc_id is not null and text is not null")))
     marks = fingerprints(lines, noise, guarantee)
     often = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    whole = lines.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("i", "pos", "c", F.xxhash64("h").alias("h")))).alias("a"))
-    # A document's lines go with the list of its marks, and are cut to those near by.
-    near = marks.join(often, "g").join(whole, ["doc_id", "key"]).withColumn("own", F.element_at("a", F.col("i").cast("int") + 1))
-    after = F.coalesce(F.try_element_at("a", F.col("i").cast("int") + 2)["c"], F.col("own.c"))
-    right = F.filter("a", lambda x: (x["i"] > F.col("i")) & (x["c"] < F.col("after") + guarantee))
-    left = F.reverse(F.filter("a", lambda x: (x["i"] < F.col("i")) & (x["c"] >= F.col("own.c") - guarantee)))
-    near = near.withColumn("after", after).select("doc_id", "key", "i", "g", "own.pos", right.alias("right"), left.alias("left"))
+    hot = stored(marks.join(often, "g"))
+    none = lambda kind: F.lit(None).cast(kind)
+    sides = F.array(F.struct(F.lit(1).alias("side"), (F.col("c") + F.col("w")).alias("x")), F.struct(F.lit(-1).alias("side"), F.col("c").alias("x")))
+    ends = hot.select("doc_id", "key", "i", "pos", "g", F.explode(sides).alias("s")).select("doc_id", "key", "s.x", "s.side", "i", "pos", "g", none("struct<c:bigint,pos:int,h:bigint>").alias("line"))
+    held = lines.join(hot.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi")
+    there = held.select("doc_id", "key", F.col("c").alias("x"), none("int").alias("side"), none("int").alias("i"), none("int").alias("pos"), none("binary").alias("g"), F.struct("c", "pos", F.xxhash64("h").alias("h")).alias("line"))
+    doc = Window.partitionBy("doc_id", "key").orderBy("x")
+    frame = lambda lo, hi: F.array_sort(F.collect_list("line").over(doc.rangeBetween(lo, hi)))
+    near = there.unionByName(ends).withColumn("right", frame(0, guarantee - 1)).withColumn("left", F.reverse(frame(-guarantee, -1))).filter("side is not null")
 
     def told(side: str, sign: int):
         return F.transform(side, lambda x, k: F.struct((sign * (k + 1)).cast("int").alias("t"), F.xxhash64(F.slice(F.col(f"{side}.h"), 1, k + 1)).alias("context"), x["pos"].alias("pos")))
 
     at = F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("context"), F.col("pos")))
-    reach = near.select("doc_id", "key", "i", "g", F.explode(F.concat(at, told("right", 1), told("left", -1))).alias("x")).select("doc_id", "key", "i", "g", "x.*")
+    reach = near.select("doc_id", "key", "i", "g", F.explode(F.when(F.col("side") > 0, F.concat(at, told("right", 1))).otherwise(told("left", -1))).alias("x")).select("doc_id", "key", "i", "g", "x.*")
     level = ["g", "t", "context"]
     first = reach.groupBy(*level).agg(F.min(F.struct("doc_id", "key", "i")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = reach.join(first, level).filter(F.struct("doc_id", "key", "i") > F.col("f"))
-    return later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("dropped"))
+    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+
+
+def without(text: str, dropped: str) -> Column:
+    """The lines of ``text`` but for the sorted places ``dropped``: runs between them are cut out, each line copied once."""
+    held = F.array(F.struct(F.split(text, "\n").alias("lines"), F.col(dropped).alias("gone")))
+
+    def kept(x: Column) -> Column:
+        after = F.concat(F.array(F.lit(-1)), x["gone"])
+        until = F.concat(x["gone"], F.array(F.size(x["lines"])))
+        return F.flatten(F.zip_with(after, until, lambda a, b: F.slice(x["lines"], a + 2, b - a - 1)))
+
+    return F.array_join(F.transform(held, kept)[0], "\n")
 
 
 def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
@@ -81,12 +101,10 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE)
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "key", "dropped")])
     gone = repeated_runs(docs, noise, guarantee)
-    lines = F.split("text", "\n")
     keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(gone, ["doc_id", "key"], "left")
-    left = F.filter(lines, lambda _, p: ~F.array_contains("dropped", p))
-    return keyed.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long")).withColumn(
-        "text", F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
-    ).select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    told = keyed.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0))})
+    done = told.withColumn("text", F.when(F.col("n_dropped") > 0, without("text", "dropped")).otherwise(F.col("text")))
+    return done.select(*docs.columns, F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
 
 LINES_SQL = """
@@ -102,13 +120,14 @@ grams AS (SELECT * FROM g0 WHERE e - c >= 25),
 picked AS (SELECT a.doc_id, a.key, a.i AS at, min(struct_pack(g := b.g, i := b.i)) AS m FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.key = b.key
   AND b.c BETWEEN a.c AND a.c + 25 AND (b.i = a.i OR b.e <= a.c + 50) GROUP BY ALL),
 marks AS (SELECT DISTINCT doc_id, key, m.i AS i, m.g AS g FROM picked),
-firsts AS (SELECT g, min(struct_pack(doc_id := doc_id, key := key, i := i)) AS f FROM marks GROUP BY g),
-later AS (SELECT m.doc_id, m.key, m.i, f.doc_id AS e_id, f.key AS e_key, f.i AS j FROM marks m JOIN firsts USING (g)
-  WHERE struct_pack(doc_id := m.doc_id, key := m.key, i := m.i) > f),
+whole AS (SELECT m.*, l.c, l.w FROM marks m JOIN lines l USING (doc_id, key, i)),
+later AS (SELECT m.doc_id, m.key, m.i, m.c, m.w, f.doc_id AS e_id, f.key AS e_key, f.i AS j FROM whole m JOIN marks f USING (g)
+  WHERE struct_pack(doc_id := m.doc_id, key := m.key, i := m.i) > struct_pack(doc_id := f.doc_id, key := f.key, i := f.i)),
 aligned AS (SELECT l.doc_id, l.key, l.i, l.j, l.e_id, l.e_key, x.i AS t, x.pos, coalesce(x.h = y.h, false) AS same FROM later l JOIN lines x ON x.doc_id = l.doc_id AND x.key = l.key
+  AND x.c >= l.c - 50 AND x.c < l.c + l.w + 50
   LEFT JOIN lines y ON y.doc_id = l.e_id AND y.key = l.e_key AND y.i = x.i + l.j - l.i),
 ends AS (SELECT doc_id, key, i, j, e_id, e_key, max(CASE WHEN NOT same AND t < i THEN t END) AS a, min(CASE WHEN NOT same AND t > i THEN t END) AS b FROM aligned GROUP BY ALL),
-gone AS (SELECT DISTINCT x.doc_id, x.key, x.pos FROM ends r JOIN lines x ON x.doc_id = r.doc_id AND x.key = r.key AND x.i > coalesce(r.a, -1) AND x.i < coalesce(r.b, 1000000000)),
+gone AS (SELECT DISTINCT x.doc_id, x.key, x.pos FROM aligned x JOIN ends r USING (doc_id, key, i, j, e_id, e_key) WHERE x.t > coalesce(r.a, -1) AND x.t < coalesce(r.b, 1000000000)),
 lost AS (SELECT doc_id, key, list(pos) AS dropped FROM gone GROUP BY ALL)
 SELECT s.doc_id, CASE WHEN s.text IS NULL THEN 0 ELSE len(string_split(s.text, chr(10))) END::BIGINT AS n_lines, coalesce(len(l.dropped), 0)::BIGINT AS n_dropped,
   CASE WHEN l.dropped IS NULL THEN s.text ELSE array_to_string(list_filter(string_split(s.text, chr(10)), lambda x, p: NOT list_contains(l.dropped, p - 1)), chr(10)) END AS text

@@ -4,27 +4,28 @@ Texts become ids and an end id; each task's stream is cut into sequences of
 ``LENGTH`` ids. Sequences are numbered, and a keyed Feistel permutation with
 cycle-walking over exactly that many numbers gives each its slot in the global
 training order: no sort by random keys, and any slot can be computed alone.
-Slots are range-partitioned into shards of fixed-stride records, so a reader
-finds record ``slot`` at byte ``(slot mod per shard) * stride`` and can resume
-from any slot.
+Slots are range-partitioned, and each shard's task writes a file of fixed-stride
+records, so a reader finds record ``slot`` at byte ``(slot mod per shard) *
+stride`` and can resume from any slot. On their way to the shards records are
+compressed; the files hold plain ids.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import running_offsets, small_batches, stored
+from cadenza.llm.common import released, running_offsets, scratch, small_batches, stored
 from cadenza.llm.tokens import encoder
 
 LENGTH, END_ID, PAD_ID, PER_SHARD, KEY = 2048, 50256, 50256, 4096, 0x5EED
-STRIDE = 2 * LENGTH
 ROUNDS = 4
 #: Offsets are one row of two numbers per input task; up to so many are broadcast, beyond it they are joined by shuffle.
 MOST_PARTS = 500_000
@@ -50,11 +51,14 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """``part, k, n_ids, first_doc, payload``: each task's stream, cut. Only a task's last sequence is padded.
 
-    Ids are stored in two bytes. Null and empty texts give their end id alone.
+    Ids take two bytes; ``payload`` is a compressed record. Null and empty texts
+    give their end id alone, rows without an id are read like all others. The
+    cut follows the table's partitions: the same files and split give the same
+    sequences.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part, pack = encoder(tokenizer), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         rest, owner, k = np.zeros(0, np.uint16), None, 0
         for batch in (*[], *batches, None):
             if batch is None:
@@ -68,7 +72,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
             for i in range(full):
                 piece = stream[i * length : (i + 1) * length]
                 d = int(np.searchsorted(starts, i * length, side="right")) - 1
-                rows.append((part, k, len(piece), docs_at[d] if d >= 0 else owner, np.append(piece, np.full(length - len(piece), PAD_ID, "<u2")).astype("<u2").tobytes()))
+                rows.append((part, k, len(piece), docs_at[d] if d >= 0 else owner, pack.compress(np.append(piece, np.full(length - len(piece), PAD_ID, "<u2")).astype("<u2").tobytes())))
                 k += 1
             d = int(np.searchsorted(starts, full * length, side="right")) - 1
             owner = docs_at[d] if d >= 0 else owner
@@ -77,14 +81,14 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
                 yield pd.DataFrame(rows, columns=["part", "k", "n_ids", "first_doc", "payload"]).astype({"first_doc": "Int64"})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "part long, k long, n_ids int, first_doc long, payload binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lambda b: released(run(b)), "part long, k long, n_ids int, first_doc long, payload binary")
 
 
 def in_training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str | None = None) -> DataFrame:
-    """``slot, shard, byte_offset, sequence, n_ids, first_doc, ids_crc32, payload``, ranged and sorted by slot.
+    """``slot, shard, byte_offset, sequence, n_ids, first_doc, payload``: a shard in one partition, sorted by slot.
 
-    ``payload`` is a record of exactly ``2 * length`` bytes; ``n_ids`` of its
-    ids are real. An empty table gives no rows.
+    ``payload`` is a compressed record of ``length`` ids, ``n_ids`` of which are
+    real. An empty table gives no rows.
     """
     cut = stored(sequences(docs, length, tokenizer))
     counts = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -102,52 +106,62 @@ def in_training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, per
     return (
         numbered.withColumn("shard", F.expr(f"slot div {per_shard}").cast("int"))
         .withColumn("byte_offset", F.col("slot") % per_shard * (2 * length))
-        .repartitionByRange(max(shards, docs.sparkSession.sparkContext.defaultParallelism), "slot")
-        .sortWithinPartitions("slot")
-        .select("slot", "shard", "byte_offset", "sequence", "n_ids", "first_doc", F.crc32("payload").alias("ids_crc32"), "payload")
+        .repartitionByRange(shards, "shard")
+        .sortWithinPartitions("shard", "slot")
+        .select("slot", "shard", "byte_offset", "sequence", "n_ids", "first_doc", "payload")
     )
 
 
 def write_shards(ordered: DataFrame, path: str) -> DataFrame:
-    """Write ``shard-NNNNNN.bin`` files below a folder that executors share; returns ``shard, records, crc32``.
+    """Write ``shard-NNNNNN.bin`` files below ``path``, a folder that executors share or a store's address.
 
-    One task writes a shard: to a name of its own first, then renamed, so a
-    task that is run again leaves the same file and never half of one. A
-    record's place is its slot's; ``path`` is read with ``numpy.memmap``.
+    Returns ``ordered`` with ``ids_crc32`` of each record instead of its
+    payload, for the records that the files hold. One task writes a shard, to a
+    name of its own first and then moved, so a task that is run again leaves the
+    same file and never half of one. The rows are stored: the files are written
+    when this returns.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(path, exist_ok=True)
-        shard, out, n, crc, done = None, None, 0, 0, []
-        mine = f"{TaskContext.get().taskAttemptId()}.tmp"
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        unpack, shard, out = zstandard.ZstdDecompressor(), None, None
+        mine = f"{root}/part-{TaskContext.get().taskAttemptId()}.tmp"
 
         def close() -> None:
             if out is not None:
                 out.close()
-                os.replace(f"{path}/{shard}-{mine}", f"{path}/shard-{shard:06d}.bin")
-                done.append((shard, n, crc))
+                store.move(mine, f"{root}/shard-{shard:06d}.bin")
 
         for batch in batches:
+            crcs = []
             for s, payload in zip(batch["shard"], batch["payload"], strict=True):
                 if s != shard:
                     close()
-                    shard, n, crc = int(s), 0, 0
-                    out = open(f"{path}/{shard}-{mine}", "wb")  # noqa: SIM115
-                out.write(payload)
-                n, crc = n + 1, zlib.crc32(payload, crc)
+                    shard, out = int(s), store.open_output_stream(mine)
+                record = unpack.decompress(payload)
+                out.write(record)
+                crcs.append(zlib.crc32(record))
+            yield batch.drop(columns="payload").assign(ids_crc32=crcs)
         close()
-        yield pd.DataFrame(done, columns=["shard", "records", "crc32"])
 
-    shards = ordered.select("shard").distinct().count()
-    by_shard = ordered.select("shard", "slot", "payload").repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
-    return by_shard.mapInPandas(run, "shard int, records long, crc32 long")
+    small_batches(ordered.sparkSession)
+    return stored(ordered.mapInPandas(lambda b: released(run(b)), "slot long, shard int, byte_offset long, sequence long, n_ids int, first_doc long, ids_crc32 long"))
+
+
+def materialise(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """The shards of ``docs`` below ``path`` (a new shared folder if none is given), and a row for each record, with its ``path``."""
+    path = path or scratch(docs.sparkSession)
+    rows = write_shards(in_training_order(docs, **options), path)
+    return rows.withColumn("path", F.format_string("%s/shard-%06d.bin", F.lit(path), F.col("shard")))
 
 
 def read_from(path: str, slot: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
     """``n`` sequences from ``slot`` on, as written: a resumed reader seeks and reads on."""
+    store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     out = []
     for s in range(slot, slot + n):
-        with open(f"{path}/shard-{s // per_shard:06d}.bin", "rb") as f:
+        with store.open_input_file(f"{root}/shard-{s // per_shard:06d}.bin") as f:
             f.seek(s % per_shard * 2 * length)
             out.append(np.frombuffer(f.read(2 * length), "<u2"))
     return np.stack(out) if out else np.zeros((0, length), np.uint16)

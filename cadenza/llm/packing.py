@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cadenza.llm.common import ranked, small_batches, stored
+from cadenza.llm.common import ranked, released, small_batches, stored
 from cadenza.llm.tokens import encoder
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
@@ -41,7 +41,7 @@ def cut(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lambda b: released(pieces(b)), PIECES)
 
 
 @functools.lru_cache(maxsize=4)
@@ -105,8 +105,9 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int
 def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer: str | None = None) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; an empty table gives no rows.
 
-    Repeated rows are packed each for itself. No sequence holds more than
-    ``window`` ids, and each id lies in exactly one piece.
+    Repeated rows are packed each for itself; a null doc_id stays null. No
+    sequence holds more than ``window`` ids, and each id lies in exactly one
+    piece. Other columns are not returned.
     """
     size = window // unit
     pieces = stored(cut(docs, window, tokenizer)).withColumn("bin", F.ceil(F.col("length") / unit).cast("int"))

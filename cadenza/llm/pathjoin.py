@@ -1,10 +1,10 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Each document is the set of its word shingles, with ``COORDINATES`` minwise
-values. In each of ``TREES`` independent trees a node picks one of the
-coordinates (a quarter of the nodes two, so a pair at the threshold is expected
-to stay together in one child), and sends each of its documents to the child
-named by that coordinate's value. Documents of a small node are compared
+Each document is the set of its word shingles, with ``PER_TREE`` minwise values
+for each of ``TREES`` trees. A tree reads its own values alone, so trees are
+independent: a node picks one of the tree's coordinates (a quarter of the nodes
+two, so a pair at the threshold is expected to stay together in one child), and
+sends each of its documents to the child named by that coordinate's value. Documents of a small node are compared
 exhaustively on sketches (the least hash in each of ``BINS`` bins); what looks
 close is confirmed on the full sets. Equal sets count once.
 
@@ -29,9 +29,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cadenza.llm.common import small_batches, stored
+from cadenza.llm.common import released, small_batches, stored
 
-COORDINATES, TREES, DEPTH, DEEPEST, NODE = 32, 12, 3, 9, 512
+TREES, PER_TREE, DEPTH, DEEPEST, NODE = 12, 16, 3, 9, 512
+COORDINATES = TREES * PER_TREE
+#: A node's number ends in that of its tree.
+TREE = 15
 #: A pair is a candidate unless its sketches are so many standard deviations below the threshold.
 BINS, DEVIATIONS = 256, 4.0
 #: Nodes hold full sets up to so many shingles; pairs with a longer one go by sketch alone.
@@ -48,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -68,16 +71,18 @@ def shingles(text: str | None, hashes: dict, n: int = 2) -> np.ndarray:
 
 
 def minwise(values: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.full(len(seeds[0]), MASK, dtype=np.uint64)
-    for i in range(0, len(values), 4096):
-        out = np.minimum(out, (values[None, i : i + 4096] * seeds[0][:, None] + seeds[1][:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    """16 bits of each coordinate's least value, over permutations of the hashes' lower halves."""
+    low = values.astype(np.uint32)
+    out = np.full(len(seeds[0]), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(low), 512):
+        out = np.minimum(out, (low[None, i : i + 512] * seeds[0][:, None] + seeds[1][:, None]).min(axis=1))
+    return out.astype(np.uint16)
 
 
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
-    a, b = rng.integers(0, MASK, (2, COORDINATES), dtype=np.uint64, endpoint=True)
-    return a | np.uint64(1), b
+    a, b = rng.integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint32)
+    return a | np.uint32(1), b
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ def sets(docs: DataFrame, n: int = 2) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "minhash", "sketch"]).astype({"doc_id": "Int64"})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, minhash binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lambda b: released(run(b)), "doc_id long, n_shingles long, set_key binary, minhash binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, n: int = 2) -> DataFrame:
@@ -111,19 +116,20 @@ def full_sets(docs: DataFrame, n: int = 2) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t, hashes, n).tobytes() for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, set binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(lambda b: released(run(b)), "doc_id long, set binary")
 
 
 def paths(sig: np.ndarray, node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, node) after ``depth`` more levels; sig: minwise values by row, node: a node of each row."""
     rows = np.arange(len(sig))
     for _ in range(depth):
-        pick = mix(node)
-        twice = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(4) == 0)
+        twice = np.flatnonzero((mix(node) >> np.uint64(32)) % np.uint64(4) == 0)
         parts = []
         for r, at, turn in ((rows, node, 0), (rows[twice], node[twice], 1)):
-            c = (mix(at + np.uint64(turn)) % np.uint64(COORDINATES)).astype(np.int64)
-            parts.append((r, mix(mix(at + np.uint64(turn + 7)) ^ (sig[r, c].astype(np.uint64) + np.uint64(COORDINATES) * c.astype(np.uint64)))))
+            tree = at & np.uint64(TREE)
+            c = (tree * np.uint64(PER_TREE) + mix(at + np.uint64((turn + 1) << 8)) % np.uint64(PER_TREE)).astype(np.int64)
+            child = mix(mix(at + np.uint64((turn + 7) << 8)) ^ (sig[r, c].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(16))))
+            parts.append((r, child & np.uint64(MASK ^ TREE) | tree))
         rows, node = (np.concatenate(x) for x in zip(*parts, strict=True))
     return rows, node
 
@@ -133,14 +139,14 @@ def branch(df: DataFrame, depth: int, trees: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch["minhash"]), np.uint32).reshape(len(batch), COORDINATES)
+            sig = np.frombuffer(b"".join(batch["minhash"]), np.uint16).reshape(len(batch), COORDINATES)
             reps = batch["rep"].to_numpy()
-            starts = [mix(np.full(len(sig), 1000 + t, dtype=np.uint64)) for t in range(trees)] or [batch["node"].to_numpy().view(np.uint64)]
+            starts = [mix(np.full(len(sig), 1000 + t, dtype=np.uint64)) & np.uint64(MASK ^ TREE) | np.uint64(t) for t in range(trees)] or [batch["node"].to_numpy().view(np.uint64)]
             for start in starts:
                 rows, node = paths(sig, start, depth)
                 yield pd.DataFrame({"node": node.view(np.int64), "rep": reps[rows]}).drop_duplicates()
 
-    return df.mapInPandas(run, "node long, rep long")
+    return df.mapInPandas(lambda b: released(run(b)), "node long, rep long")
 
 
 def grouped(reps: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def linked_across(nodes: DataFrame, threshold: float) -> DataFrame:
                     out += [(rep[lo + i], rep[lo + j]) for i, j in zip(*np.nonzero(close & other & ~known), strict=True)]
             yield pd.DataFrame(out, columns=["rep", "other"], dtype="int64")
 
-    return nodes.select("node", "rep", "comp", "sketch", "set").repartition("node").sortWithinPartitions("node").mapInPandas(run, "rep long, other long")
+    return nodes.select("node", "rep", "comp", "sketch", "set").repartition("node").sortWithinPartitions("node").mapInPandas(lambda b: released(run(b)), "rep long, other long")
 
 
 def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
@@ -297,7 +303,7 @@ def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
                 yield found.drop_duplicates()
 
     columns = [c for c in ("node", "whole", "rep", "sketch", "comp") if c in nodes.columns]
-    return nodes.select(*columns).repartition("node").sortWithinPartitions("node").mapInPandas(run, "node long, whole long, rep long, other long")
+    return nodes.select(*columns).repartition("node").sortWithinPartitions("node").mapInPandas(lambda b: released(run(b)), "node long, whole long, rep long, other long")
 
 
 def pairs_of(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import released, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -48,12 +48,16 @@ _D = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_D})(?:[\s.,-]+(?:{_D}|[0-9]+)){{2,}}\b", re.IGNORECASE)
 ONE_DIGIT = re.compile(rf"plus[\s-]+|{_D}|[0-9]+", re.IGNORECASE)
 #: Bracketed forms stand alone; a bare `at` or `dot` counts only where both make one address.
-BRACKETED = re.compile(r"\s*[\[({<]\s*(?:(at|arroba|@)|(dot|punkt|punto|point|\.))\s*[\])}>]\s*", re.IGNORECASE)
-#: Each rewrite of addresses needs one of these; without the white space before it a bracket is found in one pass.
-BRACKET = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punkt|punto|point|\.)\s*[\])}>]", re.IGNORECASE)
+#: Possessive runs that begin where a run begins keep every search here in one pass over the text.
+BRACKETED = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:(at|arroba|@)|(dot|punkt|punto|point|\.))\s*+[\])}>]\s*+", re.IGNORECASE)
+#: Each rewrite of addresses needs one of these.
+BRACKET = re.compile(r"[\[({<]\s*+(?:at|arroba|@|dot|punkt|punto|point|\.)\s*+[\])}>]", re.IGNORECASE)
 DOT = re.compile(r"\sdot\s", re.IGNORECASE)
-BARE = re.compile(r"(?<=[A-Za-z0-9])(?:(\s+at\s+)|(\s+dot\s+))(?=[A-Za-z0-9])", re.IGNORECASE)
-ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:@|\s+at\s+)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+BARE = re.compile(r"(?<=[A-Za-z0-9])(?:(\s++at\s++)|(\s++dot\s++))(?=[A-Za-z0-9])", re.IGNORECASE)
+#: A chain of words joined by `dot`, and the host that may follow; a chain without one is passed over whole.
+ADDRESS = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s++dot\s++[A-Za-z0-9._%+-]++)*+((?:\s*+@\s*+|\s++at\s++)[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)?+", re.IGNORECASE
+)
 
 
 def luhn(digits: str) -> bool:
@@ -137,7 +141,7 @@ def addresses(r: Rewritten) -> None:
     r.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(r.text)])
     edits = []
     for m in ADDRESS.finditer(r.text):
-        if re.search(r"\s(?:at|dot)\s", m[0], re.IGNORECASE) and ("@" in m[0] or re.search(r"\sdot\s", m[0], re.IGNORECASE)):
+        if m[1] and re.search(r"\s(?:at|dot)\s", m[0], re.IGNORECASE) and ("@" in m[0] or re.search(r"\sdot\s", m[0], re.IGNORECASE)):
             edits += [(x.start(), x.end(), "@" if x[1] else ".") for x in BARE.finditer(r.text, m.start(), m.end())]
     r.apply(edits)
 
@@ -182,10 +186,11 @@ def joined(found: list[tuple[int, str, int]]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per row: base counts by kind, the digest of base spans, all spans, and how many the disguises added.
+    """Per row: base counts by kind, the digest of base spans, all spans, how many the disguises added, and how many there are.
 
-    Null and empty texts have no spans. Texts are searched whole, in batches of
-    few rows; a repeated row repeats its result.
+    Null and empty texts have no spans. Texts are searched whole, in time in
+    proportion to their length; a repeated row repeats its result, and a null
+    doc_id stays null. Other columns are not returned.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,10 +200,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 base, added = spans(text)
                 every = sorted({*base, *added}, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
                 counts = [sum(k == kind for _, k, _ in base) for kind in KINDS]
-                rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
-            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
+            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]).astype({"doc_id": "Int64"})
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        lambda b: released(run(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     )

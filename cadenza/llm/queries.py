@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import forest, language, lines, masked, order, packing, pathjoin, pii, postings, shards
-from cadenza.llm.common import small_batches, table
+from cadenza.llm.common import table
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.in_training_order(table(spark, sf_dir, "documents"))
+    return order.materialise(table(spark, sf_dir, "documents")).drop("path")
 
 
 def op2_masked_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,6 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     done = shards.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id", shards.size_of().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),

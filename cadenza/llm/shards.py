@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cadenza.llm.common import running_offsets
+from cadenza.llm.common import running_offsets, small_batches
 
-BUCKET_BYTES, SHARDS, SEED = 8 << 20, 8, 20_260_101
+BUCKET_BYTES, BUCKETS_A_TASK, SHARDS, SEED = 8 << 20, 4, 8, 20_260_101
 
 
 def size_of(text: str = "text"):
@@ -25,9 +25,11 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     """All columns of ``docs`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Law ``rows``: row counts of shards are at most one apart. Nulls, ties and
-    repeated rows are records like all others; equal rows share a bucket.
+    repeated rows are records like all others; rows of equal id and text share
+    a bucket, as a record's place follows from its content and the seed alone.
     Columns named like those added are replaced.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("shard", "slot", "_bucket", "_key", "_first")]
     docs = docs.select(*keep)
     totals = docs.agg(F.sum(size_of()).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
@@ -46,7 +48,9 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
         shard = np.searchsorted(edges, place, side="right") - 1
         return mixed.drop(columns=["_key", "_bucket", "_first"]).assign(shard=shard, slot=place - edges[shard])
 
-    placed = scattered.join(offsets.withColumnRenamed("offset", "_first"), "_bucket")
+    # Tasks follow the number of buckets, so each holds a few of them at any size.
+    tasks = max(1, -(-n_buckets // BUCKETS_A_TASK))
+    placed = scattered.repartition(tasks, "_bucket").join(offsets.withColumnRenamed("offset", "_first"), "_bucket")
     return placed.groupBy("_bucket").applyInPandas(fisher_yates, schema)
 
 

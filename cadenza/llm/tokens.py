@@ -26,20 +26,28 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Callable[[str], np.ndarray]:
-    """text -> ids (uint32); ``path``: the tokenizer's json, with the rank file beside it if there is one."""
+@functools.lru_cache(maxsize=1)
+def whole(path: str):
+    """The tokenizer itself; loaded at the first text that needs it, as it takes some 100 MB."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import tiktoken
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> Callable[[str], np.ndarray]:
+    """text -> ids (uint32); ``path``: the tokenizer's json, with the rank file beside it if there is one."""
     path = path or vocabulary("byte_bpe_50k.json")
-    whole = Tokenizer.from_file(path)
-    slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(whole(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks_path):
         return slow
     import public_tokenizers
+    import tiktoken
 
     with open(ranks_path) as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
