@@ -29,7 +29,7 @@ SEGMENT, TREES, BITS, SEED = 16_384, 96, 32, 3
 #: Wanted chance to meet a vector as good as the k-th best one found.
 RECALL = 0.9
 #: The first prefixes are expected to hold so many times ``k`` entries in all trees; bits by which the trees ascend at once.
-FIRST, STEP = 64, 2
+FIRST, STEP = 8, 2
 BLOCK_QUERIES = 8_192
 
 
