@@ -13,6 +13,11 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def rank_score(rank: Column, size: int = DEFAULT.chart_size) -> Column:
     """1 for the first place, falling with the logarithm to 0 at ``size``."""
     return F.when(rank < 1, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.ln(rank.cast("double")) / math.log(size)))
@@ -27,11 +32,13 @@ def tempo(a: Column, b: Column, tolerance: float = DEFAULT.tempo_tolerance, thre
         score = (1 - dev / tolerance) * penalty
         options.append(F.when(dev <= tolerance, F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(ratio).alias("ratio"), (a / (b * ratio)).alias("stretch"), dev.alias("deviation"))))
     best = F.array_max(F.array_compact(F.array(*options)))
-    found = F.when((a > 0) & (b > 0), best)
-    return F.struct(
-        F.coalesce(F.greatest(found["score"], F.lit(0.0)), F.lit(0.0)).alias("score"),
-        F.coalesce(F.when(found["score"] > 0, found["ratio"]), F.lit(1.0)).alias("ratio"),
-        F.coalesce(F.when(found["score"] > 0, found["stretch"]), F.lit(1.0)).alias("stretch"),
+    return bind(
+        F.when((a > 0) & (b > 0), best),
+        lambda found: F.struct(
+            F.coalesce(F.greatest(found["score"], F.lit(0.0)), F.lit(0.0)).alias("score"),
+            F.coalesce(F.when(found["score"] > 0, found["ratio"]), F.lit(1.0)).alias("ratio"),
+            F.coalesce(F.when(found["score"] > 0, found["stretch"]), F.lit(1.0)).alias("stretch"),
+        ),
     )
 
 
@@ -86,8 +93,8 @@ def key_match(pa: Column, ma: Column, pb: Column, mb: Column, ca: Column, cb: Co
         options.append(F.struct((wheel_score(d) - 0.04 * abs(shift)).alias("raw"), F.lit(-i).alias("ord"), F.lit(shift).alias("shift"), d.alias("distance")))
     best = F.array_max(F.array(*options))
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(ca, cb) / floor)) if floor > 0 else F.lit(1.0)
-    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), best["raw"]))
-    return F.struct((weight * raw + (1 - weight) * 0.5).alias("score"), best["shift"].alias("shift"), best["distance"].alias("distance"))
+    raw = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), k["raw"]))
+    return bind(best, lambda k: F.struct((weight * raw(k) + (1 - weight) * 0.5).alias("score"), k["shift"].alias("shift"), k["distance"].alias("distance")))
 
 
 def rotate(a: Column, s: Column) -> Column:
@@ -106,6 +113,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 12) & (F.size(b) == 12) & (norms > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / F.nullif(norms, F.lit(0.0))))).otherwise(0.0)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null for another length than 12 or a zero norm."""
+    norm = F.sqrt(dot(a, a))
+    return bind(norm, lambda n: F.when((F.size(a) == 12) & (n > 0), F.transform(a, lambda x: x / n)))
+
+
+def turned_dot(a: Column, b: Column, s: Column) -> Column:
+    """The cosine of two unit vectors of 12, ``b`` turned ``s`` places right; clipped to 0..1, 0 if one is null."""
+    total = sum((F.get(a, F.lit(i)) * F.get(b, F.pmod(F.lit(i) - s, F.lit(12)).cast("int")) for i in range(1, 12)), F.get(a, F.lit(0)) * F.get(b, F.pmod(-s, F.lit(12)).cast("int")))
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), F.lit(0.0))
+
+
 def energy(a: Column, b: Column, intent: str = "match", tolerance: float = DEFAULT.match_tolerance, target: float = DEFAULT.build_target) -> Column:
     delta = b - a
     error = {"build": F.abs(delta - target) / target, "drop": F.abs(delta + target) / target}.get(intent, F.abs(delta) / tolerance)

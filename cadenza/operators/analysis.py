@@ -10,11 +10,20 @@ KRUMHANSL = ((6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29,
 
 
 def beat_grid(beats: DataFrame) -> DataFrame:
-    """Period and start by a line through (index, time), fitted again without outliers."""
-    first = beats.groupBy("track_id").agg(F.regr_slope("t", "i").alias("p"), F.regr_intercept("t", "i").alias("o"), F.count(F.lit(1)).alias("n")).filter("n >= 8")
-    inside = beats.join(first, "track_id").filter(F.abs(F.col("t") - (F.col("o") + F.col("p") * F.col("i"))) < 0.5 * F.col("p"))
-    again = inside.groupBy("track_id").agg(F.regr_slope("t", "i").alias("p2"), F.count(F.lit(1)).alias("m")).filter("m > 8")
-    return first.join(again, "track_id", "left").select("track_id", F.coalesce("m", F.lit(0)).alias("inliers"), F.round(F.coalesce("p2", "p"), 2).alias("period"))
+    """``track_id, fits, period``: by a line through (index, time), fitted again without outliers.
+
+    Uneven beats (a deviation above 0.12 of the median interval) keep that
+    median, and fewer than eight beats, or no positive interval, give 0.
+    """
+    w = Window.partitionBy("track_id").orderBy("i")
+    gaps = beats.withColumn("_g", F.col("t") - F.lag("t").over(w)).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.median("_g").alias("m"), F.stddev_pop("_g").alias("sd"))
+    told = gaps.select("track_id", "n", "m", F.coalesce((F.col("n") >= 8) & (F.col("m") > 0) & (F.col("sd") <= 0.12 * F.col("m")), F.lit(False)).alias("fits"))
+    even = beats.join(told.filter("fits").select("track_id"), "track_id")
+    line = even.groupBy("track_id").agg(F.regr_slope("t", "i").alias("p"), F.regr_intercept("t", "i").alias("o"))
+    inside = even.join(line, "track_id").filter(F.abs(F.col("t") - (F.col("o") + F.col("p") * F.col("i"))) < 0.5 * F.col("p"))
+    again = inside.groupBy("track_id").agg(F.regr_slope("t", "i").alias("p2"), F.count(F.lit(1)).alias("c")).filter("c > 8")
+    period = F.when((F.col("n") < 8) | (F.coalesce("m", F.lit(0.0)) <= 0), 0.0).when(~F.col("fits"), F.round("m", 6)).otherwise(F.round(F.coalesce("p2", "p"), 6))
+    return told.join(line, "track_id", "left").join(again, "track_id", "left").select("track_id", "fits", period.alias("period"))
 
 
 def downbeats(beats: DataFrame, per_bar: int = 4) -> DataFrame:
@@ -35,18 +44,31 @@ def section_chroma(sections: DataFrame, chroma: DataFrame) -> DataFrame:
 
 
 def key_estimate(mean: DataFrame, profile: tuple = TEMPERLEY) -> DataFrame:
-    """Key by correlation with 24 rotated profiles; majors first on ties; confidence is the margin over all but the relative."""
-    spark = mean.sparkSession
-    rows = [(m * 12 + k, m, k, p, profile[m][(p - k) % 12]) for m in (0, 1) for k in range(12) for p in range(12)]
-    profiles = spark.createDataFrame(rows, "ord int, mode int, tonic int, pitch int, w double")
-    # 288 fixed rows.
-    c = mean.join(F.broadcast(profiles), "pitch").groupBy("track_id", "ord", "mode", "tonic").agg(F.round(F.coalesce(F.corr("v", "w"), F.lit(0.0)), 9).alias("r"))
-    best = c.groupBy("track_id").agg(F.max(F.struct("r", (-F.col("ord")).alias("o"), "mode", "tonic")).alias("b"), (F.max("r") - F.min("r")).alias("spread"))
-    relative = F.when(F.col("b.mode") == 0, (F.col("b.tonic") + 9) % 12).otherwise((F.col("b.tonic") + 3) % 12)
-    others = c.join(best, "track_id").filter((F.col("ord") != -F.col("b.o")) & ~((F.col("tonic") == relative) & (F.col("mode") != F.col("b.mode"))))
-    second = others.groupBy("track_id", "b", "spread").agg(F.max("r").alias("next"))
-    conf = F.coalesce(F.try_divide(F.col("b.r") - F.col("next"), F.col("spread")), F.lit(0.0))
-    return second.select("track_id", F.col("b.tonic").alias("pitch_class"), F.when(F.col("b.mode") == 0, "major").otherwise("minor").alias("mode"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"))
+    """Key by correlation with 24 turned profiles; majors first on ties; confidence is the margin over all but the relative.
+
+    ``mean``: ``track_id, pitch, v``. A track's twelve values meet once, and the
+    profiles are a literal, so there is no join and no further exchange.
+    """
+
+    def standard(values):
+        centre = sum(values) / 12
+        norm = sum((x - centre) ** 2 for x in values) ** 0.5
+        return [(x - centre) / norm for x in values]
+
+    turned = [standard([profile[m][(p - k) % 12] for p in range(12)]) for m in (0, 1) for k in range(12)]
+    rows = F.array(*[F.array(*map(F.lit, r)) for r in turned])
+    c = mean.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pitch", "v"))), lambda x: x["v"]).alias("v"))
+    centre = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / 12
+    flat = c.withColumn("v", F.transform(F.array(centre), lambda m: F.transform("v", lambda x: x - m))[0])
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    dot = lambda r: F.aggregate(F.zip_with(r, F.col("v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = flat.withColumn("n", norm).withColumn("r", F.transform(rows, lambda r, i: F.struct(F.when(F.col("n") > 1e-12, F.round(dot(r) / F.col("n"), 9)).otherwise(0.0).alias("r"), (-i).alias("o"))))
+    best = scored.withColumn("b", F.array_max("r")).withColumn("spread", F.col("b.r") - F.array_min("r")["r"])
+    ord_, mode, tonic = -F.col("b.o"), F.expr("-b.o div 12"), F.expr("-b.o % 12")
+    relative = F.when(mode == 0, (tonic + 9) % 12 + 12).otherwise((tonic + 3) % 12)
+    next_ = F.array_max(F.filter("r", lambda x: (-x["o"] != ord_) & (-x["o"] != relative)))["r"]
+    conf = F.coalesce(F.try_divide(F.col("b.r") - next_, F.col("spread")), F.lit(0.0))
+    return best.select("track_id", tonic.cast("int").alias("pitch_class"), F.when(mode == 0, "major").otherwise("minor").alias("mode"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"))
 
 
 def energy_curve(beats: DataFrame, m: int = 5) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,21 +19,29 @@ def chart_union(charts: list[DataFrame]) -> DataFrame:
 
 
 def merge_trends(charts: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
-    """One row per song: the best entry's names, providers, winning region, score and place."""
+    """One row per song: the best entry's names (and links, if there are any), providers, winning region, score and place.
+
+    A song that charts in IL counts there; otherwise its best place is that of
+    the global charts, or of whatever else it has.
+    """
     keyed = charts.withColumn("key", text.match_key(F.col("title"), F.col("artist"))).filter("key <> ''")
+    said = [c for c in ("title", "artist", "url", "artwork") if c in charts.columns]
     g = keyed.groupBy("key").agg(
-        F.min_by(F.struct("title", "artist"), F.struct("rank", "provider", "region", "song")).alias("best"),
+        F.min_by(F.struct(*said), F.struct("rank", "provider", "region", "song")).alias("best"),
         F.array_sort(F.collect_set("provider")).alias("providers"),
         F.min(F.when(F.col("region") == "IL", F.col("rank"))).alias("il"),
+        F.min(F.when(F.col("region") == "global", F.col("rank"))).alias("world"),
         F.min("rank").alias("any"),
     )
     n = F.size("providers")
-    weight = F.when(F.col("il").isNotNull(), tuning.israel_weight).otherwise(1 - tuning.israel_weight)
-    score = music.rank_score(F.coalesce("il", "any"), tuning.chart_size) * weight * F.when(n > 1, 1 + tuning.agreement_bonus * (n - 1)).otherwise(1.0)
+    weight = F.when(F.col("il").isNotNull(), tuning.israel_weight).when(F.col("world").isNotNull(), tuning.global_weight).otherwise(tuning.other_weight)
+    rank = F.coalesce("il", "world", "any")
+    score = music.rank_score(rank, tuning.chart_size) * weight * F.when(n > 1, 1 + tuning.agreement_bonus * (n - 1)).otherwise(1.0)
     out = g.select(
-        "key", "best.title", "best.artist", F.array_join("providers", ",").alias("providers"), F.when(F.col("il").isNotNull(), "IL").otherwise("global").alias("region"),
-        F.coalesce("il", "any").alias("best_rank"), F.round(score, 9).alias("score"),
+        "key", *[f"best.{c}" for c in said], F.array_join("providers", ",").alias("providers"), F.when(F.col("il").isNotNull(), "IL").otherwise("global").alias("region"),
+        rank.alias("best_rank"), F.round(score, 9).alias("score"),
     )
+    # At most ``max_trends`` rows are numbered.
     top = out.orderBy(F.desc("score"), "key").limit(tuning.max_trends)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "key")))
 
@@ -39,21 +50,35 @@ def provider_status(charts: DataFrame) -> DataFrame:
     return charts.groupBy("provider").pivot("region", ["IL", "global"]).count().select("provider", F.coalesce("IL", F.lit(0)).alias("il"), F.coalesce("global", F.lit(0)).alias("world"))
 
 
-def weighted_sample(merged: DataFrame, n_il: int, n_world: int, seed: int) -> DataFrame:
-    """Without replacement, in two strata: the largest ``ln(u) / weight`` (Efraimidis and Spirakis), u from a hash."""
+def weighted_sample(merged: DataFrame, count: int, ratio: float, seed: int) -> DataFrame:
+    """``count`` songs without replacement, likelier by score, ``ratio`` of them from IL (half to even).
+
+    A short stratum is topped up from the other. A stratum's songs are those of
+    the largest ``ln(u) / weight`` (Efraimidis and Spirakis), u from a hash; the
+    sample is ranked by score.
+    """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    il = F.col("region") == "IL"
     w = Window.partitionBy("region").orderBy(F.desc("draw"), "key")
-    drawn = merged.withColumn("draw", F.round(F.ln(u) / F.greatest("score", F.lit(1e-6)), 6)).withColumn("place", F.row_number().over(w))
-    return drawn.filter(F.col("place") <= F.when(F.col("region") == "IL", n_il).otherwise(n_world)).select("key", "region", "place")
+    drawn = merged.filter(F.col("region").isin("IL", "global")).withColumn("draw", F.round(F.ln(u) / F.greatest("score", F.lit(1e-6)), 6)).withColumn("place", F.row_number().over(w))
+    have = merged.agg(F.count_if(il).alias("n_il"), F.count_if(F.col("region") == "global").alias("n_world"))
+    first = F.least(F.col("n_il"), F.lit(round(count * ratio)))
+    other = F.least(F.col("n_world"), F.lit(count) - first)
+    short = F.greatest(F.lit(0), F.lit(count) - first - other)
+    il_all = F.least(F.col("n_il"), first + short)
+    sizes = have.select(il_all.alias("take_il"), F.when(il_all > first, other).otherwise(F.least(F.col("n_world"), other + short)).alias("take_world"))
+    chosen = drawn.join(F.broadcast(sizes), F.lit(True)).filter(F.col("place") <= F.when(il, F.col("take_il")).otherwise(F.col("take_world")))  # one row
+    # At most ``count`` rows are numbered.
+    return chosen.select("key", "region", "score").withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "key")))
 
 
 def library_keys(tracks: DataFrame) -> DataFrame:
-    """One file per key, the last by id."""
-    return tracks.withColumn("key", text.match_key(F.col("title"), F.col("artist"))).groupBy("key").agg(F.max("track_id").alias("track_id"))
+    """One file per key, the last by id; ``first_id`` is the key's place among the choices."""
+    return tracks.withColumn("key", text.match_key(F.col("title"), F.col("artist"))).groupBy("key").agg(F.max("track_id").alias("track_id"), F.min("track_id").alias("first_id"))
 
 
 def resolve_exact(merged: DataFrame, tracks: DataFrame) -> DataFrame:
-    return merged.join(library_keys(tracks), "key").select("key", "track_id", "rank", F.lit(100.0).alias("match_score"))
+    return merged.join(library_keys(tracks).drop("first_id"), "key").select("key", "track_id", "rank", F.lit(100.0).alias("match_score"))
 
 
 def missing(merged: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -100,19 +125,98 @@ def _indel(p: str, q: str) -> float:
     return 200.0 * (~s & full).bit_count() / (len(p) + len(q))
 
 
-def resolve_fuzzy(lost: DataFrame, tracks: DataFrame, threshold: float = 82.0) -> DataFrame:
-    """The best library key of each trend by token sets, blocked on shared tokens; ties go to the smaller id.
+#: Songs that are looked for at a time: each block is sent to all tasks of the library.
+BLOCK = 1_000
+
+
+def folded(key: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", key) if not unicodedata.combining(c))
+
+
+def bag_bound(bags: np.ndarray, lengths: np.ndarray, bag: np.ndarray, length: int) -> np.ndarray:
+    """What an Indel ratio cannot exceed: a common subsequence has no more of any letter than both sides."""
+    return 200.0 * np.minimum(bags, bag).sum(axis=1) / np.maximum(1, lengths + length)
+
+
+class Choices:
+    """Keys with their tokens and counts of letters (a letter counts under its code modulo 64, which only loosens the bound)."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+        self.tokens = [set(k.split()) for k in keys]
+        plain = [" ".join(sorted(t)) for t in self.tokens]
+        self.lengths = np.array([len(p) for p in plain], dtype=np.int32)
+        self.bags = np.zeros((len(keys), 64), dtype=np.int16)
+        for i, p in enumerate(plain):
+            np.add.at(self.bags[i], [ord(c) % 64 for c in p], 1)
+
+    def best(self, key: str, order: np.ndarray, least: float) -> tuple[float, int]:
+        """(score, choice) of the best choice of ``least`` at least, the first in ``order`` on ties; (-1, -1) if there is none.
+
+        Choices are tried by falling bound, until the bound lies below the best score.
+        """
+        tokens = key.split()
+        own = Choices([key])
+        bound = bag_bound(self.bags, self.lengths, own.bags[0], int(own.lengths[0]))
+        mine = own.tokens[0]
+        # A shared token may raise the ratio to 100 whatever the letters.
+        bound[[i for i, t in enumerate(self.tokens) if not mine.isdisjoint(t)]] = 100.0
+        found, at = -1.0, -1
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < max(least, found):
+                break
+            score = token_set_ratio(tokens, self.keys[i].split())
+            if score >= least and (score > found or score == found and order[i] < order[at]):
+                found, at = score, int(i)
+        return found, at
+
+
+def scored_choices(asked: DataFrame, tracks: DataFrame, least: float) -> DataFrame:
+    """``key, raw, raw_id, bare, bare_id``: each song's best choice as written, and without diacritics; null below ``least``.
 
-    A key without a shared token scores far below the threshold in practice;
-    trends are at most a chart's length, so a token's postings stay short.
+    No pair that reaches ``least`` is lost. Songs go out in blocks of ``BLOCK``,
+    and a batch of the library returns its best choices only.
     """
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(x.split(), y.split()) for x, y in zip(a, b, strict=True)])
-
-    token = lambda k: F.explode(F.array_distinct(F.split(k, " ")))
-    lib = library_keys(tracks).select("track_id", F.col("key").alias("lib_key"), token(F.col("key")).alias("token"))
-    asked = lost.select("key", token(F.col("key")).alias("token"))
-    scored = asked.join(lib, "token").select("key", "lib_key", "track_id").distinct().withColumn("match_score", ratio("key", "lib_key"))
-    w = Window.partitionBy("key").orderBy(F.desc("match_score"), "track_id")
-    return scored.filter(F.col("match_score") >= threshold).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    spark = asked.sparkSession
+    lib = library_keys(tracks).filter("key <> ''")
+    keys = asked.select("key").filter("key <> ''").distinct()
+    n = max(1, -(-keys.count() // BLOCK))
+    out = None
+    for b in range(n):
+        sent = spark.sparkContext.broadcast([r["key"] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == b).collect()])
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ids, order = batch["track_id"].to_numpy(), batch["first_id"].to_numpy()
+                raw, bare = Choices(list(batch["key"])), Choices([folded(k) for k in batch["key"]])
+                rows = []
+                for key in sent.value:
+                    for kind, choices, asked_key in (("raw", raw, key), ("bare", bare, folded(key))):
+                        score, at = choices.best(asked_key, order, least)
+                        if at >= 0:
+                            rows.append((key, kind, score, int(order[at]), int(ids[at])))
+                yield pd.DataFrame(rows, columns=["key", "kind", "score", "first_id", "track_id"])
+
+        part = lib.mapInPandas(run, "key string, kind string, score double, first_id long, track_id long")
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("key", "kind").agg(F.max_by(F.struct("score", "track_id"), F.struct("score", -F.col("first_id"))).alias("b"))
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(f"b.{x}")))
+    return best.groupBy("key").agg(of("raw", "score").alias("raw"), of("raw", "track_id").alias("raw_id"), of("bare", "score").alias("bare"), of("bare", "track_id").alias("bare_id"))
+
+
+def chosen(scored: DataFrame, least: float) -> DataFrame:
+    """``key, track_id, match_score``: the choice as written, else the one without diacritics."""
+    raw = F.col("raw") >= least
+    return scored.select("key", F.when(raw, F.col("raw_id")).otherwise(F.col("bare_id")).alias("track_id"), F.when(raw, F.col("raw")).otherwise(F.col("bare")).alias("match_score")).filter(F.col("match_score") >= least)
+
+
+def resolve_fuzzy(lost: DataFrame, tracks: DataFrame, threshold: float = DEFAULT.fuzzy_threshold) -> DataFrame:
+    """The best library key of each song by token sets, at ``threshold`` or better; ties go to the first file."""
+    return chosen(scored_choices(lost, tracks, threshold), threshold)
+
+
+def near_misses(asked: DataFrame, resolved: DataFrame, tracks: DataFrame, least: float = DEFAULT.near_miss) -> DataFrame:
+    """The songs that found nothing, each with what comes nearest to it (null and 0 if nothing does): ``key, track_id, match_score``."""
+    lost = asked.select("key").distinct().join(resolved.select("key"), "key", "left_anti")
+    near = chosen(scored_choices(lost, tracks, least), least)
+    return lost.join(near, "key", "left").select("key", "track_id", F.coalesce("match_score", F.lit(0.0)).alias("match_score"))

@@ -20,45 +20,117 @@ def side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(x).alias(f"{prefix}_{x}") for x in df.columns])
 
 
-def viable_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int, b: int, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
-    """All long section pairs of two tracks, scored; those that can follow each other."""
-    two = side(tracks.filter(F.col("track_id") == a), "a").join(side(tracks.filter(F.col("track_id") == b), "b"), F.lit(True))
-    long = sections.filter(F.col("end") - F.col("start") >= tuning.min_section).join(chroma, "vec_id")
-    sa, sb = (side(long.filter(F.col("track_id") == x).select("track_id", "idx", "start", "end", "energy", "chroma"), p) for x, p in ((a, "a"), (b, "b")))
+def section_pairs(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: DataFrame, keep: tuple[str, ...] = (), tuning: Tuning = DEFAULT) -> DataFrame:
+    """All pairs of long sections of the track pairs ``a_track_id, b_track_id`` (and columns ``keep``), scored.
+
+    Two levels: tempo and key once per track pair, and pairs of incompatible
+    tempo go before any section is read; chroma and energy once per section
+    pair. ``match`` and ``build`` are the totals for either intent.
+    """
     w = tuning.weights.normalized()
-    both = score_tracks(two, tuning).select("a_track_id", "b_track_id", "tempo", "key").join(sa, "a_track_id").join(sb, "b_track_id")
-    scored = both.select(
-        F.col("a_idx"), F.col("b_idx"), F.col("tempo.score").alias("tempo"), F.col("key.score").alias("key"),
-        music.cosine(F.col("a_chroma"), music.rotate(F.col("b_chroma"), F.col("key.shift"))).alias("chroma"),
-        music.energy(F.col("a_energy"), F.col("b_energy"), intent, tuning.match_tolerance, tuning.build_target).alias("energy"),
-        F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")).alias("shorter"),
-    )
-    total = w.tempo * F.col("tempo") + w.key * F.col("key") + w.chroma * F.col("chroma") + w.energy * F.col("energy")
-    return scored.withColumn("total", F.round(total, 9)).filter((F.col("tempo") > 0) & (F.col("total") >= tuning.min_score))
+    t = tracks.select("track_id", "bpm", "pitch_class", "minor", "confidence")
+    two = pairs.select("a_track_id", "b_track_id", *keep).join(side(t, "a"), "a_track_id").join(side(t, "b"), "b_track_id")
+    scored = score_tracks(two, tuning).filter("tempo.score > 0").select("a_track_id", "b_track_id", *keep, F.col("tempo.score").alias("tempo"), "tempo.ratio", "tempo.stretch", F.col("key.score").alias("key"), "key.shift", "key.distance")
+    long = sections.filter(F.col("end") - F.col("start") >= tuning.min_section).join(chroma, "vec_id")
+    long = long.select("track_id", "idx", "start", "end", "energy", music.unit(F.col("chroma")).alias("unit"))
+    both = scored.join(side(long, "a"), "a_track_id").join(side(long, "b"), "b_track_id")
+    e = lambda intent: music.energy(F.col("a_energy"), F.col("b_energy"), intent, tuning.match_tolerance, tuning.build_target)
+    terms = both.withColumns({
+        "chroma": music.turned_dot(F.col("a_unit"), F.col("b_unit"), F.col("shift")), "energy_match": e("match"), "energy_build": e("build"),
+        "shorter": F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")),
+    }).drop("a_unit", "b_unit")
+    base = w.tempo * F.col("tempo") + w.key * F.col("key") + w.chroma * F.col("chroma")
+    return terms.withColumns({"match": F.round(base + w.energy * F.col("energy_match"), 9), "build": F.round(base + w.energy * F.col("energy_build"), 9)})
+
 
+def best_of(pairs: DataFrame, total: str, keep: tuple[str, ...] = (), n: int = 1) -> DataFrame:
+    """The ``n`` best of each track pair by ``total``, then by the shorter section, then in the sections' order, with ``place``."""
+    order = Window.partitionBy("a_track_id", "b_track_id", *keep).orderBy(F.desc(total), F.desc("shorter"), "a_idx", "b_idx")
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
-def rank_pairs(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, a: int, b: int, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
-    """The best ``top_n`` section pairs of two tracks."""
-    best = viable_pairs(tracks, sections, chroma, a, b, intent, tuning).orderBy(F.desc("total"), F.desc("shorter"), "a_idx", "b_idx").limit(tuning.top_n)
-    return best.select("a_idx", "b_idx", *[F.round(x, 6).alias(x) for x in ("tempo", "key", "chroma", "energy", "total")])
 
+def rank_pairs(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: DataFrame, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
+    """The best ``top_n`` viable section pairs of each track pair; an equal score passes the least one."""
+    viable = section_pairs(pairs, tracks, sections, chroma, tuning=tuning).filter(F.col(intent) >= tuning.min_score)
+    return best_of(viable, intent, n=tuning.top_n).withColumnRenamed(f"energy_{intent}", "energy").withColumnRenamed(intent, "total")
 
-def mashup_pick(tracks: DataFrame, sections: DataFrame, chroma: DataFrame, labels: DataFrame, a: int, b: int, tuning: Tuning = DEFAULT) -> DataFrame:
+
+def mashup_pick(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: DataFrame, labels: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
     """The section of ``a`` to sing over one of ``b``: choruses and drops first; the bonus orders, the total stays."""
-    la, lb = (labels.filter(F.col("track_id") == x).select(F.col("idx").alias(f"{p}_idx"), F.col("label").alias(f"{p}_label")) for x, p in ((a, "a"), (b, "b")))
-    both = viable_pairs(tracks, sections, chroma, a, b, "match", tuning).join(la, "a_idx").join(lb, "b_idx")
+    viable = section_pairs(pairs, tracks, sections, chroma, tuning=tuning).filter(F.col("match") >= tuning.min_score)
+    la, lb = (labels.select(F.col("track_id").alias(f"{p}_track_id"), F.col("idx").alias(f"{p}_idx"), F.col("label").alias(f"{p}_label")) for p in "ab")
+    told = viable.join(la, ["a_track_id", "a_idx"]).join(lb, ["b_track_id", "b_idx"])
     bonus = F.when(F.col("a_label").isin("chorus", "drop"), 0.12).otherwise(0.0) + F.when(F.col("b_label").isin("chorus", "drop", "verse"), 0.05).otherwise(0.0)
-    best = both.withColumn("placed", F.round(F.col("total") + bonus, 9)).orderBy(F.desc("placed"), "a_idx", "b_idx").limit(1)
-    return best.select("a_idx", "b_idx", "a_label", "b_label", F.round("total", 6).alias("total"), F.round("placed", 6).alias("placed"))
+    order = Window.partitionBy("a_track_id", "b_track_id").orderBy(F.desc("placed"), "a_idx", "b_idx")
+    best = told.withColumn("placed", F.round(F.col("match") + bonus, 9)).withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return best.withColumnRenamed("match", "total").drop("n", "build", "energy_build")
+
+
+def explained(pairs: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
+    """``pairs`` with each term's share of ``match`` and the sentences that say why.
+
+    ``pairs`` come from ``section_pairs`` with both tracks' ``label`` and ``bpm``.
+    """
+    w = tuning.weights.normalized()
+    c = F.col
+    ratio = F.when(c("ratio") == 2.0, "double-time").when(c("ratio") == 0.5, "half-time").when(c("ratio") == 1.5, "3:2 polyrhythm").when(F.abs(c("ratio") - 2 / 3) < 1e-9, "2:3 polyrhythm").otherwise("same tempo")
+    steps = F.when(c("distance") == 0, "same key").when(c("distance") == 1, "harmonically compatible").otherwise(F.format_string("%d steps apart on the wheel", "distance"))
+    shifted = F.when(c("shift") == 0, "").otherwise(F.format_string(", shift %+d semitone%s", "shift", F.when(F.abs("shift") == 1, "").otherwise("s")))
+    delta = c("b_energy") - c("a_energy")
+    return pairs.withColumns({f"share_{x}": F.round(getattr(w, x) * c("energy_match" if x == "energy" else x), 4) for x in ("tempo", "key", "chroma", "energy")}).withColumn(
+        "reasons",
+        F.array(
+            F.concat_ws(" -> ", "a_label", "b_label"),
+            F.format_string("tempo: %s, stretch %+.1f%%", ratio, (c("stretch") - 1) * 100),
+            F.concat(F.lit("key: "), steps, shifted),
+            F.format_string("chroma similarity %.2f at %+d semitones", "chroma", "shift"),
+            F.format_string("energy match %+.2f", delta),
+        ),
+    ).withColumn("rejected", F.when(c("match") < tuning.min_score, F.format_string("score %.3f below minimum %.2f", "match", F.lit(tuning.min_score))))
+
+
+#: Folded tempi lie in one octave, so there are some 8,200 buckets of this width; any beyond the octave share bucket -1.
+TEMPO_STEP, FIRST_BUCKET, LAST_BUCKET = 0.01, 8_200, 16_400
+
+
+def cluster_sizes(folded: DataFrame, tolerance: float) -> DataFrame:
+    """``f, first, size``: for each distinct tempo, how many lie within ``tolerance`` of it.
+
+    Buckets wholly inside a tempo's band are counted by prefix sums over the
+    bounded number of buckets; only the buckets about the band's ends are
+    compared tempo by tempo.
+    """
+    at = lambda x: F.floor(x / TEMPO_STEP).cast("long")
+    tally = folded.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("track_id").alias("first"))
+    tally = tally.withColumn("k", F.when(at(F.col("f")).between(FIRST_BUCKET, LAST_BUCKET), at(F.col("f"))).otherwise(-1))
+    every = folded.sparkSession.range(FIRST_BUCKET, LAST_BUCKET + 1).withColumnRenamed("id", "k")
+    sums = every.join(tally.groupBy("k").agg(F.sum("n").alias("n")), "k", "left").withColumn("until", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = F.broadcast(sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "until"))), lambda x: x["until"]).alias("until")))  # one row
+    lo, hi = at(F.col("f") * (1 - tolerance)), at(F.col("f") * (1 + tolerance))
+    asked = tally.select("f", "first", lo.alias("lo"), hi.alias("hi"))
+    before = lambda k: F.when(k < FIRST_BUCKET, 0).otherwise(F.get("until", (F.least(k, F.lit(LAST_BUCKET)) - FIRST_BUCKET).cast("int")))
+    inside = asked.join(prefix, F.lit(True)).select("f", "first", F.greatest(F.lit(0), before(F.col("hi") - 2) - before(F.col("lo") + 1)).alias("n"))
+    ends = F.array_distinct(F.array(F.lit(-1).cast("long"), *[F.col(x) + d for x in ("lo", "hi") for d in (-1, 0, 1)]))
+    # Ends that the whole buckets hold already do not arise: these begin two buckets inside.
+    near = asked.select("f", "first", F.explode(ends).alias("k")).join(tally.select("k", F.col("f").alias("o"), "n"), "k").filter(F.abs(F.col("o") - F.col("f")) / F.col("f") <= tolerance)
+    return inside.unionByName(near.select("f", "first", "n")).groupBy("f", "first").agg(F.sum("n").alias("size"))
 
 
 def set_tempo(tracks: DataFrame, tolerance: float = 0.08) -> DataFrame:
-    """The median of the densest tempo cluster; the first candidate by id on ties. Distinct tempi are few, so counts join counts."""
+    """The median of the densest tempo cluster; the first candidate by id on ties."""
     folded = tracks.filter("bpm > 0").select("track_id", music.fold_tempo(F.col("bpm"))["bpm"].alias("f"))
-    tally = folded.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("track_id").alias("first"))
-    near = tally.alias("c").join(tally.alias("o"), F.abs(F.col("o.f") - F.col("c.f")) / F.col("c.f") <= tolerance)
-    best = near.groupBy(F.col("c.f").alias("f"), F.col("c.first").alias("first")).agg(F.sum("o.n").alias("n")).orderBy(F.desc("n"), "first").limit(1)
-    return folded.alias("x").join(best.alias("b"), F.abs(F.col("x.f") - F.col("b.f")) / F.col("b.f") <= tolerance).agg(F.coalesce(F.round(F.median("x.f"), 6), F.lit(0.0)).alias("tempo"), F.count(F.lit(1)).alias("n"))
+    best = cluster_sizes(folded, tolerance).orderBy(F.desc("size"), "first").limit(1).select(F.col("f").alias("best"))
+    inside = folded.join(F.broadcast(best), F.abs(F.col("f") - F.col("best")) / F.col("best") <= tolerance)  # one row
+    return inside.agg(F.coalesce(F.round(F.median("f"), 6), F.lit(0.0)).alias("tempo"), F.count(F.lit(1)).alias("n"))
+
+
+def set_tempi(tracks: DataFrame, group: str = "set_id", tolerance: float = 0.08) -> DataFrame:
+    """``group, tempo``: the same for each set; a set's tracks, some forty at most, are compared with each other."""
+    folded = tracks.filter("bpm > 0").select(group, "track_id", music.fold_tempo(F.col("bpm"))["bpm"].alias("f"))
+    other = folded.select(group, F.col("f").alias("o"))
+    sizes = folded.join(other, group).filter(F.abs(F.col("o") - F.col("f")) / F.col("f") <= tolerance).groupBy(group, "track_id", "f").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy(group).agg(F.max_by("f", F.struct("n", -F.col("track_id"))).alias("best"))
+    return folded.join(best, group).filter(F.abs(F.col("f") - F.col("best")) / F.col("best") <= tolerance).groupBy(group).agg(F.round(F.median("f"), 6).alias("tempo"))
 
 
 def keep_or_drop(tracks: DataFrame, target: float, most: float = DEFAULT.max_stretch) -> DataFrame:
@@ -79,23 +151,39 @@ def running_order(tracks: DataFrame, energies: DataFrame, group: str = "set_id",
     n = F.size("pool")
     empty = F.struct(F.slice("pool", 1, 0).alias("done"), F.col("pool").alias("left"))
 
+    def priced(acc, target):
+        last = F.try_element_at(acc["done"], F.lit(-1))["bpm"]
+
+        def cost(x):
+            jump = lambda t: F.when(t["score"] > 0, 0.0).otherwise(0.6) + 0.25 * (1 - t["score"])
+            price = F.when(last.isNull(), 0.0).otherwise(music.bind(music.tempo(last, x["bpm"], tuning.tempo_tolerance), jump))
+            return F.struct(F.round(F.abs(x["energy"] - target) + price, 9).alias("c"), x["track_id"].alias("track_id"))
+
+        return F.array_min(F.transform(acc["left"], cost))["track_id"]
+
     def pick(acc, i):
-        last = F.element_at(acc["done"], -1)
-        t = lambda x: music.tempo(last["bpm"], x["bpm"], tuning.tempo_tolerance)["score"]
-        cost = lambda x: F.abs(x["energy"] - music.arc(i.cast("double"), n.cast("double"))) + F.when(F.size(acc["done"]) > 0, F.when(t(x) > 0, 0.0).otherwise(0.6) + 0.25 * (1 - t(x))).otherwise(0.0)
-        best = F.array_min(F.transform(acc["left"], lambda x: F.struct(F.round(cost(x), 9).alias("c"), x["track_id"].alias("track_id"))))["track_id"]
-        chosen = F.filter(acc["left"], lambda x: x["track_id"] == best)
-        return F.struct(F.concat(acc["done"], chosen).alias("done"), F.filter(acc["left"], lambda x: x["track_id"] != best).alias("left"))
+        def moved(best):
+            chosen = F.filter(acc["left"], lambda x: x["track_id"] == best)
+            return F.struct(F.concat(acc["done"], chosen).alias("done"), F.filter(acc["left"], lambda x: x["track_id"] != best).alias("left"))
+
+        return music.bind(priced(acc, music.arc(i.cast("double"), n.cast("double"))), moved)
 
     done = F.aggregate(F.sequence(F.lit(0), n - 1), empty, pick, lambda acc: acc["done"])
     return rows.select(group, F.posexplode(done).alias("slot", "t")).select(group, "slot", "t.track_id")
 
 
-def transitions(order: DataFrame, tracks: DataFrame, group: str = "set_id", tuning: Tuning = DEFAULT) -> DataFrame:
-    """Consecutive tracks with tempo and key terms; the first three quarters build."""
+def plan_set(order: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: DataFrame, group: str = "set_id", tuning: Tuning = DEFAULT) -> DataFrame:
+    """Each join of an order: the best section pair of its intent, else of the other one, else a hard cut.
+
+    The first three quarters of a set build, the rest match. Both intents are
+    scored in one pass over the section pairs.
+    """
     w = Window.partitionBy(group).orderBy("slot")
     n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    steps = order.withColumn("b_track_id", F.lead("track_id").over(w)).withColumn("intent", F.when(F.col("slot") < 0.75 * n, "build").otherwise("match")).filter("b_track_id is not null")
-    joined = steps.withColumnRenamed("track_id", "a_track_id").join(side(tracks, "a"), "a_track_id").join(side(tracks, "b"), "b_track_id")
-    s = score_tracks(joined, tuning)
-    return s.select(group, "slot", "a_track_id", "b_track_id", "intent", F.round("tempo.score", 9).alias("tempo"), F.round("key.score", 9).alias("key"), (F.col("tempo.score") <= 0).alias("hard_cut"))
+    steps = order.withColumn("b_track_id", F.lead("track_id").over(w)).withColumn("wanted", F.when(F.col("slot") < 0.75 * n, "build").otherwise("match")).filter("b_track_id is not null").withColumnRenamed("track_id", "a_track_id")
+    pairs = section_pairs(steps, tracks, sections, chroma, (group, "slot", "wanted"), tuning)
+    either = F.explode(F.array(*[F.struct(F.lit(x).alias("intent"), F.col(x).alias("total")) for x in ("build", "match")]))
+    viable = pairs.select(group, "slot", "wanted", "a_idx", "b_idx", "a_start", "b_start", "shorter", "tempo", "key", "shift", "chroma", either.alias("e")).select("*", "e.intent", "e.total").filter(F.col("total") >= tuning.min_score)
+    first = Window.partitionBy(group, "slot").orderBy(F.when(F.col("intent") == F.col("wanted"), 0).otherwise(1), F.desc("total"), F.desc("shorter"), "a_idx", "b_idx")
+    best = viable.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "e", "wanted", "shorter")
+    return steps.join(best, [group, "slot"], "left").withColumn("hard_cut", F.col("intent").isNull())

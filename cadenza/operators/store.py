@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; without one, a temporary folder on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def upsert_latest(rows: DataFrame, key: str, at: list[str]) -> DataFrame:

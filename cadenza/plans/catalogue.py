@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from cadenza.functions import music, text
 from cadenza.operators import analysis, charts, joins, levels, matching, segments, store
+from cadenza.plans.registry import ORACLES, QUERIES, query, v
 from cadenza.sources import views, wav
 from cadenza.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql if sql.lstrip().startswith(("WITH", "SELECT")) else f"WITH {views.SQL.strip()}, {sql}"
-        return f
-
-    return add
-
-
-def v(sql: str) -> str:
-    """A select over the views; further views come first, after a comma."""
-    return f"WITH {views.SQL.strip()}{sql if sql.startswith(',') else ' ' + sql}"
-
-
 def norm(x: str) -> str:
     x = f"regexp_replace(coalesce({x}, ''), '[\\(\\[\\{{][^\\)\\]\\}}]*[\\)\\]\\}}]', ' ', 'g')"
     x = f"regexp_replace({x}, '\\b(official|video|audio|lyrics?|lyric|hd|4k|remaster(ed)?|feat\\.?|ft\\.?|prod\\.?|explicit|radio edit|full|clip|music)\\b', ' ', 'gi')"
@@ -44,7 +24,7 @@ def key_of(title: str, artist: str) -> str:
 MERGED = f"""keyed AS (SELECT *, {key_of('title', 'artist')} AS key FROM charts),
 grouped AS (SELECT key, arg_min(struct_pack(t := title, a := artist), struct_pack(a := rank, b := provider, c := region, d := song)) AS best, list_sort(list_distinct(list(provider))) AS ps, min(CASE WHEN region = 'IL' THEN rank END) AS il, min(rank) AS r FROM keyed WHERE key <> '' GROUP BY key),
 scored AS (SELECT key, best.t AS title, best.a AS artist, array_to_string(ps, ',') AS providers, CASE WHEN il IS NOT NULL THEN 'IL' ELSE 'global' END AS region, coalesce(il, r) AS best_rank,
-  round(greatest(0.0::DOUBLE, 1 - ln(coalesce(il, r)::DOUBLE) / ln(50.0::DOUBLE)) * CASE WHEN il IS NOT NULL THEN 0.7::DOUBLE ELSE 1 - 0.7::DOUBLE END * CASE WHEN len(ps) > 1 THEN 1 + 0.15::DOUBLE * (len(ps) - 1) ELSE 1.0 END, 9) AS score FROM grouped),
+  round(greatest(0.0::DOUBLE, 1 - ln(coalesce(il, r)::DOUBLE) / ln(50.0::DOUBLE)) * CASE WHEN il IS NOT NULL THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * CASE WHEN len(ps) > 1 THEN 1 + 0.15::DOUBLE * (len(ps) - 1) ELSE 1.0 END, 9) AS score FROM grouped),
 merged AS (SELECT *, row_number() OVER (ORDER BY score DESC, key)::INT AS rank FROM scored ORDER BY score DESC, key LIMIT 200)"""
 LIB = f"lib AS (SELECT {key_of('title', 'artist')} AS key, max(track_id) AS track_id FROM tracks GROUP BY 1)"
 
@@ -74,10 +54,14 @@ def rank_score(spark, d):
     return views.charts(spark, d).select("provider", "region", "song", F.round(music.rank_score(F.col("rank")), 9).alias("score"))
 
 
-@query(f"""{MERGED}, draws AS (SELECT key, region, round(ln((('0x' || substr(md5('7:' || key), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / greatest(score, 1e-6), 6) AS draw FROM merged),
-placed AS (SELECT key, region, row_number() OVER (PARTITION BY region ORDER BY draw DESC, key)::INT AS place FROM draws) SELECT * FROM placed WHERE place <= CASE WHEN region = 'IL' THEN 7 ELSE 3 END""")
+@query(f"""{MERGED}, draws AS (SELECT key, region, score, round(ln((('0x' || substr(md5('7:' || key), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / greatest(score, 1e-6), 6) AS draw FROM merged),
+placed AS (SELECT key, region, score, row_number() OVER (PARTITION BY region ORDER BY draw DESC, key) AS k FROM draws),
+h AS (SELECT count(*) FILTER (region = 'IL') AS il, count(*) FILTER (region = 'global') AS gl FROM merged),
+w AS (SELECT least(il, round_even(25 * 0.7, 0)::INT) AS wi, least(gl, 25 - least(il, round_even(25 * 0.7, 0)::INT)) AS wg, il, gl FROM h),
+z AS (SELECT CASE WHEN il > wi THEN least(il, wi + 25 - wi - wg) ELSE wi END AS ti, CASE WHEN il > wi OR gl <= wg THEN wg ELSE least(gl, wg + 25 - wi - wg) END AS tg FROM w)
+SELECT key, region, row_number() OVER (ORDER BY score DESC, key)::INT AS place FROM placed, z WHERE k <= CASE WHEN region = 'IL' THEN ti ELSE tg END""")
 def weighted_sample(spark, d):
-    return charts.weighted_sample(merged(spark, d), 7, 3, 7)
+    return charts.weighted_sample(merged(spark, d), 25, 0.7, 7).select("key", "region", "place")
 
 
 @query(f"{MERGED}, {LIB} SELECT key, track_id, rank, 100.0::DOUBLE AS match_score FROM merged JOIN lib USING (key)")
@@ -103,23 +87,11 @@ def coverage(spark, d):
     return charts.coverage(charts.resolve_exact(m, t), charts.missing(m, t))
 
 
-@query()
-def resolve_fuzzy(spark, d):
-    t = views.tracks(spark, d)
-    noisy = merged(spark, d).withColumn("key", F.concat(F.col("key"), F.lit(" x")))
-    return charts.resolve_fuzzy(noisy, t)
-
-
 @query(v("SELECT track_id, artist || ' - ' || title AS label, bpm, CASE WHEN bpm > 0 THEN round(60 / bpm, 9) ELSE 0.0 END AS beat FROM tracks"))
 def scan_library(spark, d):
     return views.tracks(spark, d).select("track_id", F.concat_ws(" - ", "artist", "title").alias("label"), "bpm", F.when(F.col("bpm") > 0, F.round(60 / F.col("bpm"), 9)).otherwise(0.0).alias("beat"))
 
 
-@query(v("SELECT track_id, row_number() OVER (ORDER BY artist, title, track_id) AS place FROM tracks"))
-def list_tracks(spark, d):
-    return views.tracks(spark, d).select("track_id", F.row_number().over(Window.orderBy("artist", "title", "track_id")).alias("place"))
-
-
 @query("SELECT l.o_custkey AS key, l.o_orderkey AS seq, l.o_orderstatus AS payload FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) l WHERE n = 1")
 def upsert_latest(spark, d):
     o = views.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("payload"))
@@ -154,13 +126,6 @@ def classify_sample(spark, d):
     return views.table(spark, d, "pages").select("page_id", text.classify(F.col("url")).alias("kind"))
 
 
-@query("SELECT o_orderkey AS id, (o_orderkey % 4) * 3600.0 + (o_custkey % 60) * 60 + o_orderkey % 60 AS seconds FROM orders")
-def parse_duration(spark, d):
-    o = views.table(spark, d, "orders")
-    x = F.concat_ws(":", F.col("o_orderkey") % 4, F.lpad((F.col("o_custkey") % 60).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
-    return o.select(F.col("o_orderkey").alias("id"), text.seconds(x).alias("seconds"))
-
-
 @query("SELECT o_orderkey AS id, printf('%02d:%05.2f', (o_orderkey // 60)::BIGINT, (o_orderkey % 60)::DOUBLE + 0.25::DOUBLE) AS code FROM orders")
 def timecode(spark, d):
     return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.timecode(F.col("o_orderkey") + F.lit(0.25)).alias("code"))
@@ -249,9 +214,38 @@ def energy_compat(spark, d):
     return s.select("track_id", "idx", e("match").alias("m"), e("build").alias("b"), e("drop").alias("dr"))
 
 
-@query()
+#: Neighbours of each set, in the library's order.
+NEXT = "nx AS (SELECT a.track_id AS a, b.track_id AS b FROM tracks a JOIN tracks b ON b.track_id = a.track_id + 1 AND (a.track_id - 1) // 20 = (b.track_id - 1) // 20)"
+
+
+def scored_sql(pairs: str) -> str:
+    """Section pairs of ``pairs(a, b)`` with all terms; from tempo and key tables over the same pairs."""
+    return f"""p AS (SELECT {pairs}.a, {pairs}.b, x.bpm AS x, y.bpm AS y, x.pitch_class AS pa, y.pitch_class AS pb, x.minor AS ma, y.minor AS mb, least(x.confidence, y.confidence) AS cf FROM {pairs} JOIN tracks x ON x.track_id = a JOIN tracks y ON y.track_id = b),
+{TEMPO}, {KEYS},
+tk AS (SELECT t.a, t.b, t.m.s AS tempo, t.m.r AS ratio, t.m.st AS stretch, least(1, k.cf / 0.11::DOUBLE) * greatest(0.0::DOUBLE, least(1.0::DOUBLE, k.m.raw)) + (1 - least(1, k.cf / 0.11::DOUBLE)) * 0.5::DOUBLE AS key, (-k.m.o)::INT AS shift, k.m.d::INT AS distance FROM (SELECT t.a, t.b, t.m FROM t) t JOIN k ON k.a = t.a AND k.b = t.b WHERE t.m.s > 0),
+long AS (SELECT track_id, idx, start, "end", energy, chroma FROM sections JOIN chroma USING (vec_id) WHERE "end" - start >= 8),
+sp0 AS (SELECT tk.*, u.idx AS a_idx, w.idx AS b_idx, u.start AS a_start, w.start AS b_start, least(u."end" - u.start, w."end" - w.start) AS shorter, u.energy AS ea, w.energy AS eb,
+  greatest(0.0, least(1.0, list_cosine_similarity(u.chroma, w.chroma[13 - (shift + 12) % 12:12] || w.chroma[1:12 - (shift + 12) % 12]))) AS chroma
+  FROM tk JOIN long u ON u.track_id = tk.a JOIN long w ON w.track_id = tk.b),
+sp1 AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - abs(eb - ea) / 0.15::DOUBLE)) AS em, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - abs(eb - ea - 0.25::DOUBLE) / 0.25::DOUBLE)) AS eu FROM sp0),
+sp AS (SELECT *, round(0.30::DOUBLE * tempo + 0.25::DOUBLE * key + 0.30::DOUBLE * chroma + 0.15::DOUBLE * em, 9) AS match, round(0.30::DOUBLE * tempo + 0.25::DOUBLE * key + 0.30::DOUBLE * chroma + 0.15::DOUBLE * eu, 9) AS build FROM sp1)"""
+
+
+def neighbours(spark, d):
+    t = views.tracks(spark, d).select("track_id")
+    b = t.select(F.col("track_id").alias("b_track_id"), (F.col("track_id") - 1).alias("a_track_id"))
+    return t.withColumnRenamed("track_id", "a_track_id").join(b, "a_track_id").filter(f"{SET.replace('track_id', 'a_track_id')} = {SET.replace('track_id', 'b_track_id')}")
+
+
+def music_tables(spark, d):
+    return views.tracks(spark, d), views.sections(spark, d), views.chroma(spark, d)
+
+
+@query(v(f", {NEXT}, {scored_sql('nx')}, r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY match DESC, shorter DESC, a_idx, b_idx)::INT AS place FROM sp WHERE match >= 0.45) SELECT a, b, place, a_idx, b_idx, round(tempo, 6) AS tempo, round(key, 6) AS key, round(chroma, 6) AS chroma, round(em, 6) AS energy, round(match, 6) AS total FROM r WHERE place <= 20"))
 def rank_pairs(spark, d):
-    return matching.rank_pairs(views.tracks(spark, d), views.sections(spark, d), views.chroma(spark, d), 1, 2)
+    """The best section pairs of all neighbours."""
+    got = matching.rank_pairs(neighbours(spark, d), *music_tables(spark, d))
+    return got.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), "place", "a_idx", "b_idx", *[F.round(x, 6).alias(x) for x in ("tempo", "key", "chroma", "energy", "total")])
 
 
 ENERGY = "en AS (SELECT track_id, round(0.6::DOUBLE * max(energy) + 0.4::DOUBLE * avg(energy), 9) AS energy FROM sections GROUP BY 1)"
@@ -267,14 +261,29 @@ def ordered(spark, d):
     return matching.running_order(t.select("set_id", "track_id", "bpm"), matching.track_energy(views.sections(spark, d)))
 
 
-@query()
+SCORE = "greatest(0.0::DOUBLE, CASE WHEN abs({y} - {x}) / {x} <= 0.08::DOUBLE THEN 1 - abs({y} - {x}) / {x} / 0.08::DOUBLE ELSE 0 END, CASE WHEN abs({y} * 2 - {x}) / {x} <= 0.08::DOUBLE THEN (1 - abs({y} * 2 - {x}) / {x} / 0.08::DOUBLE) * 0.92::DOUBLE ELSE 0 END, CASE WHEN abs({y} * 0.5::DOUBLE - {x}) / {x} <= 0.08::DOUBLE THEN (1 - abs({y} * 0.5::DOUBLE - {x}) / {x} / 0.08::DOUBLE) * 0.92::DOUBLE ELSE 0 END)"
+ARC = "CASE WHEN n <= 1 THEN 0.6 WHEN slot / (n - 1)::DOUBLE <= 0.75 THEN 0.45 + slot / (n - 1)::DOUBLE / 0.75 * 0.5 ELSE 0.95 - (slot / (n - 1)::DOUBLE - 0.75) / 0.25 * 0.35 END"
+_S = SCORE.format(x="last", y="c.bpm")
+ORDER = f"""{ENERGY},
+pool AS (SELECT (track_id - 1) // 20 AS set_id, list(struct_pack(id := track_id, bpm := bpm, e := energy) ORDER BY track_id) AS tail, count(*) AS n FROM tracks JOIN en USING (track_id) GROUP BY 1),
+rec AS (SELECT set_id, n, 0 AS slot, tail, NULL::DOUBLE AS last, NULL::BIGINT AS track_id FROM pool
+  UNION ALL SELECT set_id, n, slot + 1, list_filter(tail, lambda c: c.id <> b.id), b.bpm, b.id FROM (SELECT *, list_min(list_transform(tail, lambda c: struct_pack(c := round(abs(c.e - ({ARC})) + CASE WHEN last IS NULL THEN 0 ELSE CASE WHEN {_S} > 0 THEN 0 ELSE 0.6 END + 0.25 * (1 - {_S}) END, 9), id := c.id, bpm := c.bpm))) AS b FROM rec WHERE slot < n)),
+ordered AS (SELECT set_id, (slot - 1)::INT AS slot, track_id FROM rec WHERE slot > 0)"""
+
+
+@query(v(f", {ORDER} SELECT * FROM ordered").replace("WITH", "WITH RECURSIVE", 1))
 def order_energy_flow(spark, d):
     return ordered(spark, d)
 
 
-@query()
+@query(v(f""", {ORDER}, st AS (SELECT set_id, slot, track_id AS a, lead(track_id) OVER w AS b, CASE WHEN slot < 0.75 * count(*) OVER (PARTITION BY set_id) THEN 'build' ELSE 'match' END AS wanted FROM ordered WINDOW w AS (PARTITION BY set_id ORDER BY slot)),
+js AS (SELECT * FROM st WHERE b IS NOT NULL), {scored_sql('js')},
+ei AS (SELECT js.set_id, js.slot, js.wanted, sp.*, unnest([struct_pack(i := 'build', v := build), struct_pack(i := 'match', v := match)]) AS e FROM js JOIN sp ON sp.a = js.a AND sp.b = js.b),
+vi AS (SELECT *, row_number() OVER (PARTITION BY set_id, slot ORDER BY CASE WHEN e.i = wanted THEN 0 ELSE 1 END, e.v DESC, shorter DESC, a_idx, b_idx) AS k FROM ei WHERE e.v >= 0.45)
+SELECT js.set_id, js.slot, js.a, js.b, coalesce(e.i, '') AS intent, coalesce(a_idx, -1) AS a_idx, coalesce(b_idx, -1) AS b_idx, coalesce(round(e.v, 6), 0.0) AS score, e.i IS NULL AS hard_cut FROM js LEFT JOIN (SELECT * FROM vi WHERE k = 1) z ON z.set_id = js.set_id AND z.slot = js.slot""").replace("WITH", "WITH RECURSIVE", 1))
 def plan_set(spark, d):
-    return matching.transitions(ordered(spark, d), views.tracks(spark, d))
+    got = matching.plan_set(ordered(spark, d), *music_tables(spark, d))
+    return got.select("set_id", "slot", F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), F.coalesce("intent", F.lit("")).alias("intent"), F.coalesce("a_idx", F.lit(-1)).alias("a_idx"), F.coalesce("b_idx", F.lit(-1)).alias("b_idx"), F.coalesce(F.round("total", 6), F.lit(0.0)).alias("score"), "hard_cut")
 
 
 @query("SELECT i, n, round(CASE WHEN n <= 1 THEN 0.6 WHEN i / (n - 1)::DOUBLE <= 0.75 THEN 0.45 + i / (n - 1)::DOUBLE / 0.75 * 0.5 ELSE 0.95 - (i / (n - 1)::DOUBLE - 0.75) / 0.25 * 0.35 END, 6) AS target FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT unnest(range(1, 17)) AS n))")
@@ -288,11 +297,6 @@ def infer_downbeats(spark, d):
     return analysis.downbeats(views.beats(spark, d))
 
 
-@query(v(", f AS (SELECT track_id, regr_slope(t, i) AS p, regr_intercept(t, i) AS o FROM beats GROUP BY 1 HAVING count(*) >= 8), g AS (SELECT b.track_id, regr_slope(t, i) AS p2, count(*) AS m FROM beats b JOIN f USING (track_id) WHERE abs(t - (o + p * i)) < 0.5 * p GROUP BY 1 HAVING count(*) > 8) SELECT track_id, coalesce(m, 0) AS inliers, round(coalesce(p2, p), 2) AS period FROM f LEFT JOIN g USING (track_id)"))
-def beat_grid_fit(spark, d):
-    return analysis.beat_grid(views.beats(spark, d))
-
-
 @query(v("SELECT track_id, round(median(x), 6) AS median, round(stddev_pop(x), 4) AS sd FROM (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY i) AS x FROM beats) GROUP BY 1"))
 def beat_intervals(spark, d):
     return analysis.intervals(views.beats(spark, d))
@@ -325,14 +329,6 @@ def label_sections(spark, d):
     return analysis.label_sections(views.sections(spark, d))
 
 
-@query(v(", w AS (SELECT track_id, min(t) AS t0 FROM beats GROUP BY 1) SELECT w.track_id, k, count(t) AS n, round(coalesce(avg(accent), 0), 6) AS energy FROM w, (SELECT unnest(range(4)) AS k) LEFT JOIN beats b ON b.track_id = w.track_id AND t >= t0 + k * 604800 AND t < t0 + (k + 1) * 604800 GROUP BY ALL"))
-def energy_between(spark, d):
-    b = views.beats(spark, d)
-    spans = b.groupBy("track_id").agg(F.min("t").alias("t0")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).select("track_id", "k", (F.col("t0") + F.col("k") * 604800).alias("lo"), (F.col("t0") + (F.col("k") + 1) * 604800).alias("hi"))
-    hits = joins.range_join(b, spans, "t", "lo", "hi", ["track_id"], 604800.0).groupBy("track_id", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accent"), 6).alias("energy"))
-    return spans.join(hits, ["track_id", "k"], "left").select("track_id", "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("energy", F.lit(0.0)).alias("energy"))
-
-
 @query(v(", k AS (SELECT track_id, min(t) AS t FROM beats GROUP BY 1 UNION ALL SELECT k.track_id, (SELECT min(b.t) FROM beats b WHERE b.track_id = k.track_id AND b.t - k.t >= 259200) FROM k WHERE k.t IS NOT NULL) SELECT track_id, t FROM k WHERE t IS NOT NULL").replace("WITH", "WITH RECURSIVE", 1))
 def hype_place(spark, d):
     return analysis.fold_min_gap(views.beats(spark, d), "track_id", "t", 259200.0)
@@ -384,8 +380,8 @@ def job_latest_state(spark, d):
 @query(ORACLES["job_latest_state"])
 def job_stream(spark, d):
     e = views.table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return jobs.stream_states(stream, "job_states")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    return jobs.stream_states(stream)
 
 
 @query("SELECT o_custkey AS artist, o_orderkey AS item FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -466,10 +462,21 @@ def segment_tracks(spark, d):
     return segments.segment(beats, s.groupBy("track_id").agg(F.max("end").alias("duration")), 30.0)
 
 
-@query()
-def mashup_pick(spark, d):
+LABELS = "lq AS (SELECT track_id, quantile_cont(energy, 0.5) AS p50, quantile_cont(energy, 0.7) AS p70, max(energy) AS top, count(*) AS n FROM sections GROUP BY 1), lab AS (SELECT track_id, idx, CASE WHEN n = 1 THEN 'verse' WHEN idx = 0 AND energy <= p50 THEN 'intro' WHEN idx = n - 1 AND energy <= p50 THEN 'outro' WHEN energy >= CASE WHEN n > 2 THEN p70 ELSE p50 END THEN CASE WHEN energy >= 0.97::DOUBLE * top THEN 'drop' ELSE 'chorus' END WHEN energy < 0.75::DOUBLE * p50 THEN 'bridge' ELSE 'verse' END AS label FROM sections JOIN lq USING (track_id))"
+PICKED = f"""{NEXT}, {scored_sql('nx')}, {LABELS},
+mp0 AS (SELECT sp.*, la.label AS a_label, lb.label AS b_label, round(match + CASE WHEN la.label IN ('chorus', 'drop') THEN 0.12 ELSE 0 END + CASE WHEN lb.label IN ('chorus', 'drop', 'verse') THEN 0.05 ELSE 0 END, 9) AS placed FROM sp JOIN lab la ON la.track_id = a AND la.idx = a_idx JOIN lab lb ON lb.track_id = b AND lb.idx = b_idx WHERE match >= 0.45),
+mp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY placed DESC, a_idx, b_idx) AS k FROM mp0) WHERE k = 1)"""
+
+
+def picked(spark, d):
     s = views.sections(spark, d)
-    return matching.mashup_pick(views.tracks(spark, d), s, views.chroma(spark, d), analysis.label_sections(s), 1, 2)
+    return matching.mashup_pick(neighbours(spark, d), *music_tables(spark, d), analysis.label_sections(s))
+
+
+@query(v(f", {PICKED} SELECT a, b, a_idx, b_idx, a_label, b_label, round(match, 6) AS total, round(placed, 6) AS placed FROM mp"))
+def mashup_pick(spark, d):
+    """For all neighbours."""
+    return picked(spark, d).select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), "a_idx", "b_idx", "a_label", "b_label", F.round("total", 6).alias("total"), F.round("placed", 6).alias("placed"))
 
 
 @query("SELECT c_custkey AS id, strip_accents('é' || c_name || 'ñ') AS name FROM customer")
@@ -482,8 +489,8 @@ r AS (SELECT *, row_number() OVER w AS k, coalesce(sum(CASE WHEN status <> 'runn
 SELECT user_id AS job_id, arg_max(event_type, k) AS stage, arg_max(status, k) AS status, round(arg_max(greatest(0, least(1, value / 500)), k), 6) AS progress, max(k) AS n FROM r WHERE over = 0 GROUP BY 1""")
 def job_machine(spark, d):
     e = views.table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return jobs.stream_machine(stream, "job_machine")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    return jobs.stream_machine(stream)
 
 
 ALIKE = "(SELECT a.track_id, a.idx, count(b.idx) AS alike FROM (SELECT * FROM sections JOIN chroma USING (vec_id)) a LEFT JOIN (SELECT * FROM sections JOIN chroma USING (vec_id)) b ON a.track_id = b.track_id AND a.idx <> b.idx AND round(list_cosine_similarity(a.chroma, b.chroma), 9) > 0.92 GROUP BY ALL)"
@@ -503,3 +510,7 @@ def wav_data(spark, d):
 @query()
 def k_weighted_loudness(spark, d):
     return levels.loudness(views.samples(spark, d), 160)
+
+
+# The other modules register theirs.
+from cadenza.plans import library, sets, sound  # noqa: E402, F401

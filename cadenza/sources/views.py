@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 AUDIO = ("mp3", "wav", "flac", "m4a", "aac", "ogg", "opus", "wma", "aiff")
-CHART_A = "tracks struct<track: array<struct<name: string, artist: struct<name: string>, url: string>>>, error int, message string"
-CHART_B = "feed struct<country: string, results: array<struct<name: string, artistName: string, url: string>>>"
-CHART_C = "items array<struct<snippet: struct<title: string, channelTitle: string>>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,28 +13,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scan_audio(spark: SparkSession, path: str) -> DataFrame:
     """Audio files below ``path``: id, path, fingerprint of size and both ends, size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(path)
     wanted = files.filter(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(*AUDIO))
     mib = 1 << 20
     ends = F.concat(F.encode(F.col("length").cast("string"), "utf-8"), F.substring("content", 1, mib), F.when(F.col("length") > 2 * mib, F.substring("content", -mib, mib)).otherwise(F.lit(b"")))
-    return wanted.select(F.substring(F.sha2("path", 256), 1, 16).alias("id"), "path", F.substring(F.sha2(ends, 256), 1, 32).alias("file_hash"), "length")
+    # A local file is known by its plain path, as other programs would name it.
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return wanted.select(F.substring(F.sha2(plain, 256), 1, 16).alias("id"), plain.alias("path"), F.substring(F.sha2(ends, 256), 1, 32).alias("file_hash"), "length")
 
 
-def chart_rows(raw: DataFrame, provider: str, payload: str = "payload", region: str = "region") -> DataFrame:
-    """Rows of a provider's JSON; ranks count entries before blank ones go."""
+def as_list(payload: Column, path: str, kind: str) -> Column:
+    """The list at a JSON path; a single object counts as a list of one, as some providers send it."""
+    raw = F.get_json_object(payload, path)
+    listed = F.when(F.substring(F.ltrim(raw), 1, 1) == "[", raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    return F.from_json(listed, kind)
+
+
+def chart_rows(raw: DataFrame, provider: str, payload: str = "payload", region: str = "region", limit: int = 50) -> DataFrame:
+    """Rows of a provider's JSON; ranks count entries before blank ones go. An ``error`` in it is an error when rows are read."""
+    x = F.col(payload)
     if provider == "a":
-        j = F.from_json(payload, CHART_A)["tracks"]["track"]
-        entry = lambda x: F.struct(x["name"].alias("title"), x["artist"]["name"].alias("artist"))
+        message = F.concat(F.lit("chart error: "), F.coalesce(F.get_json_object(x, "$.message"), F.get_json_object(x, "$.error")))
+        x = F.when(F.get_json_object(x, "$.error").isNotNull(), F.raise_error(message).cast("string")).otherwise(x)
+        j = as_list(x, "$.tracks.track", "array<struct<name: string, artist: struct<name: string>, url: string>>")
+        entry = lambda e: F.struct(e["name"].alias("title"), e["artist"]["name"].alias("artist"), e["url"].alias("url"))
     elif provider == "b":
-        j = F.from_json(payload, CHART_B)["feed"]["results"]
-        entry = lambda x: F.struct(x["name"].alias("title"), x["artistName"].alias("artist"))
+        # A page of this provider holds 10 to 100 entries.
+        j = F.slice(as_list(x, "$.feed.results", "array<struct<name: string, artistName: string, url: string>>"), 1, max(10, min(100, limit)))
+        entry = lambda e: F.struct(e["name"].alias("title"), e["artistName"].alias("artist"), e["url"].alias("url"))
     else:
         from cadenza.functions.text import split_title
 
-        j = F.from_json(payload, CHART_C)["items"]
-        entry = lambda x: F.struct(split_title(x["snippet"]["title"], x["snippet"]["channelTitle"]).alias("s"))["s"]
+        j = as_list(x, "$.items", "array<struct<snippet: struct<title: string, channelTitle: string>>>")
+        entry = lambda e: F.struct(split_title(e["snippet"]["title"], e["snippet"]["channelTitle"])["title"].alias("title"), split_title(e["snippet"]["title"], e["snippet"]["channelTitle"])["artist"].alias("artist"), F.lit("").alias("url"))
     rows = raw.select(F.col(region).alias("region"), F.posexplode(F.transform(j, entry)).alias("pos", "e"))
-    return rows.select("e.title", "e.artist", (F.col("pos") + 1).alias("rank"), "region", F.lit(provider).alias("provider")).filter((F.trim("title") != "") & (F.trim("artist") != ""))
+    named = rows.select("e.title", "e.artist", "e.url", (F.col("pos") + 1).alias("rank"), "region", F.lit(provider).alias("provider")).filter(F.trim("title") != "")
+    return named if provider == "c" else named.filter(F.trim("artist") != "")
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +62,10 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
 def sections(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     end = F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.broadcast(table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n")))  # one row
     return table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("track_id"), (F.row_number().over(w) - 1).alias("idx"), (end - F.col("l_quantity")).alias("start"), end.alias("end"), (F.abs("l_discount") * 10).alias("energy"), (F.col("l_orderkey") % 500).alias("vec_id"),
-    )
+        F.col("l_partkey").alias("track_id"), (F.row_number().over(w) - 1).alias("idx"), (end - F.col("l_quantity")).alias("start"), end.alias("end"), (F.abs("l_discount") * 10).alias("energy"), F.col("l_orderkey").alias("_o"),
+    ).join(n, F.lit(True)).select("track_id", "idx", "start", "end", "energy", (F.col("_o") % F.col("n")).alias("vec_id"))
 
 
 def chroma(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +96,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 SQL = """
 tracks AS (SELECT p_partkey AS track_id, p_name AS title, p_brand AS artist, p_type AS album, 70 + (p_partkey * 37 % 1200) / 10.0::DOUBLE AS bpm, (p_partkey % 12)::INT AS pitch_class,
   (p_partkey // 12) % 2 <> 0 AS minor, (p_partkey * 7919 % 1000) / 1000.0::DOUBLE * 0.227::DOUBLE AS confidence FROM part),
-sections AS (SELECT l_partkey AS track_id, row_number() OVER w - 1 AS idx, sum(l_quantity) OVER w - l_quantity AS start, sum(l_quantity) OVER w AS "end", abs(l_discount) * 10 AS energy, l_orderkey % 500 AS vec_id
+sections AS (SELECT l_partkey AS track_id, row_number() OVER w - 1 AS idx, sum(l_quantity) OVER w - l_quantity AS start, sum(l_quantity) OVER w AS "end", abs(l_discount) * 10 AS energy, l_orderkey % (SELECT count(*) FROM embeddings) AS vec_id
   FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
 chroma AS (SELECT vec_id, list_transform(r, lambda x: x / list_sum(r)) AS chroma FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)) AS r FROM embeddings) WHERE list_sum(r) > 0),
 plays AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'b' WHEN 'R' THEN 'c' END AS provider, CASE WHEN l_linestatus = 'O' THEN 'IL' ELSE 'global' END AS region, l_partkey AS song, round(sum(l_extendedprice))::BIGINT AS plays FROM lineitem GROUP BY ALL),
