@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Words and brackets that never name a song.
 NOISE = r"(?i)\b(official|video|audio|lyrics?|lyric|hd|4k|remaster(ed)?|feat\.?|ft\.?|prod\.?|explicit|radio edit|full|clip|music)\b"
@@ -25,7 +26,7 @@ KINDS = ("riser", "impact", "airhorn", "shout", "sweep")
 ALIASES = (("build", "riser"), ("uplifter", "riser"), ("up", "riser"), ("hit", "impact"), ("boom", "impact"), ("downlifter", "sweep"), ("horn", "airhorn"), ("vox", "shout"), ("voice", "shout"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -43,7 +44,7 @@ def normalize(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 

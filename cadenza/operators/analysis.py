@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cadenza.operators.joins import range_join
+
 # Key profiles from C, major then minor.
 TEMPERLEY = ((5.0, 2.0, 3.5, 2.0, 4.5, 4.0, 2.0, 4.5, 2.0, 3.5, 1.5, 4.0), (5.0, 2.0, 3.5, 4.5, 2.0, 4.0, 2.0, 4.5, 3.5, 2.0, 1.5, 4.0))
 KRUMHANSL = ((6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88), (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17))
@@ -32,6 +34,31 @@ def downbeats(beats: DataFrame, per_bar: int = 4) -> DataFrame:
     return phase.groupBy("track_id").agg(F.max(F.struct("accent", (-F.col("phase")).alias("p"))).alias("m")).select("track_id", (-F.col("m.p")).alias("phase"), F.col("m.accent").alias("accent"))
 
 
+def accents(beats: DataFrame, parts: dict[str, float]) -> DataFrame:
+    """``accent``: the weighted sum of the columns ``parts``, each as a share of its track's peak; a flat one counts nothing.
+
+    Onset, low band and twice the harmonic novelty are what tells bar one.
+    """
+    track = Window.partitionBy("track_id")
+    share = lambda c: F.when(F.max(c).over(track) > 0, F.col(c) / F.max(c).over(track)).otherwise(F.col(c))
+    terms = [weight * share(c) for c, weight in parts.items()]
+    return beats.withColumn("accent", sum(terms[1:], terms[0]))
+
+
+def mean_chroma(sections: DataFrame, frames: DataFrame, width: float) -> DataFrame:
+    """``track_id, idx, chroma``: the mean over the frames inside each section, with sum one; uniform where there are none.
+
+    ``sections``: ``track_id, idx, start, end``; ``frames``: ``track_id, t, chroma``.
+    """
+    inside = range_join(frames, sections.select("track_id", "idx", "start", "end"), "t", "start", "end", ["track_id"], width)
+    means = [F.avg(F.get("chroma", F.lit(i))).alias(f"c{i}") for i in range(12)]
+    held = inside.groupBy("track_id", "idx").agg(*means)
+    total = sum((F.col(f"c{i}") for i in range(1, 12)), F.col("c0"))
+    shares = F.when(total > 0, F.array(*[F.col(f"c{i}") / F.nullif(total, F.lit(0.0)) for i in range(12)]))
+    uniform = F.array(*[F.lit(1.0 / 12)] * 12)
+    return sections.select("track_id", "idx").join(held.select("track_id", "idx", shares.alias("chroma")), ["track_id", "idx"], "left").select("track_id", "idx", F.coalesce("chroma", uniform).alias("chroma"))
+
+
 def intervals(beats: DataFrame) -> DataFrame:
     w = Window.partitionBy("track_id").orderBy("i")
     return beats.withColumn("d", F.col("t") - F.lag("t").over(w)).groupBy("track_id").agg(F.round(F.median("d"), 6).alias("median"), F.round(F.stddev_pop("d"), 4).alias("sd"))
@@ -72,12 +99,13 @@ def key_estimate(mean: DataFrame, profile: tuple = TEMPERLEY) -> DataFrame:
 
 
 def energy_curve(beats: DataFrame, m: int = 5) -> DataFrame:
-    """Accents scaled from the 2nd to the 98th percentile to 0..1, then a moving mean over ``m`` (zeros beyond the ends)."""
-    p = beats.groupBy("track_id").agg(F.percentile("accent", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    """Accents scaled from the 2nd to the 98th percentile to 0..1, then a moving mean over ``m`` (zeros beyond the ends); a track of ``m`` or fewer stays as it is."""
+    p = beats.groupBy("track_id").agg(F.percentile("accent", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.count(F.lit(1)).alias("n"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     scaled = beats.join(p, "track_id").withColumn("e", F.when(hi - lo < 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("accent") - lo) / F.nullif(hi - lo, F.lit(0.0))))))
     w = Window.partitionBy("track_id").orderBy("i").rowsBetween(-(m // 2), (m - 1) // 2)
-    return scaled.select("track_id", "i", F.round(F.sum("e").over(w) / m, 6).alias("energy"))
+    smooth = F.when((F.col("n") > m) & F.lit(m > 1), F.sum("e").over(w) / m).otherwise(F.col("e"))
+    return scaled.select("track_id", "i", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), smooth)), 6).alias("energy"))
 
 
 def label_sections(sections: DataFrame, recurrence: DataFrame | None = None) -> DataFrame:
@@ -115,9 +143,13 @@ def truncate(clips: DataFrame, cut: float) -> DataFrame:
 
 
 def gated_loudness(samples: DataFrame, block: int = 16, hop: int = 4) -> DataFrame:
-    """Mean power of full hopping blocks above -70, then above the mean less 10; silence is minus infinity."""
+    """Mean power of full hopping blocks above -70, then above the mean less 10; silence is minus infinity.
+
+    With a column ``ch`` the channels' powers add up.
+    """
     starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - block + 1) / hop)).cast("int"), F.expr(f"i div {hop}").cast("int"))
-    b = samples.withColumn("b", F.explode(starts)).groupBy("clip_id", "b").agg(F.avg(F.col("v") * F.col("v")).alias("p"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == block)
+    channels = F.max("ch") + 1 if "ch" in samples.columns else F.max(F.lit(1))
+    b = samples.withColumn("b", F.explode(starts)).groupBy("clip_id", "b").agg((F.sum(F.col("v") * F.col("v")) / block).alias("p"), F.count(F.lit(1)).alias("n"), channels.alias("c")).filter(F.col("n") == block * F.col("c"))
     db = lambda p: F.when(p > 0, -0.691 + 10 * F.log10(p))
     loud = b.filter(db(F.col("p")) > -70)
     mean = loud.groupBy("clip_id").agg(F.avg("p").alias("m"))

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cadenza.functions.music import gain_db
 from cadenza.operators.analysis import gated_loudness
+from cadenza.operators.sound import peak, target_gain
 
 #: What is left of a sample's weight where the one-pole filter forgets it.
 FORGOTTEN = 1e-15
@@ -149,5 +151,29 @@ def k_weight(samples: DataFrame, rate: float, group: tuple[str, ...] = ("clip_id
 
 
 def loudness(samples: DataFrame, rate: int) -> DataFrame:
-    """Gated loudness of K-weighted clips: blocks of 400 ms, a new one each 100 ms."""
-    return gated_loudness(k_weight(samples, rate), 4 * (rate // 10), rate // 10)
+    """Gated loudness of K-weighted clips: blocks of 400 ms, a new one each 100 ms; a column ``ch`` tells channels apart."""
+    group = ("clip_id", "ch") if "ch" in samples.columns else ("clip_id",)
+    return gated_loudness(k_weight(samples, rate, group), 4 * (rate // 10), rate // 10)
+
+
+def mastered(samples: DataFrame, rate: int, target: float, ceiling_db: float, release: float = 0.12, ride: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(samples, report): clips at their target loudness, with levels ridden and peaks below the ceiling.
+
+    The report has, by clip: loudness before and after, the gain, the peak, what
+    the limiter took, and the ride's largest change; silent clips stay silent.
+    """
+    before = loudness(samples, rate).select("clip_id", "lufs")
+    gains = before.withColumn("gain", target_gain(F.col("lufs"), target))
+    level = samples.join(gains.select("clip_id", "gain"), "clip_id").select("clip_id", "i", (F.col("v") * F.col("gain")).alias("v"))
+    hop = max(1, rate // 4)
+    ridden = level_ride(level, target, 8 * hop, hop, 5) if ride else level
+    ceiling = 10 ** (ceiling_db / 20)
+    done = limit(ridden, ceiling, max(1, rate // 200), math.exp(-1 / max(1.0, release * rate)))
+    change = F.abs(20 * F.log10(F.abs(F.col("v") / F.col("_was"))))
+    moved = ridden.join(level.withColumnRenamed("v", "_was"), ["clip_id", "i"]).filter("v <> 0 and _was <> 0").groupBy("clip_id").agg(F.max(change).alias("ride_db"))
+    shown = lambda x: F.when(F.abs(x) < float("inf"), F.round(x, 2))
+    told = gains.join(loudness(done, rate).select("clip_id", F.col("lufs").alias("after")), "clip_id").join(peak(ridden).select("clip_id", F.col("peak_db").alias("unlimited")), "clip_id").join(peak(done).select("clip_id", "peak_db"), "clip_id").join(moved, "clip_id", "left")
+    return done, told.select(
+        "clip_id", shown(F.col("lufs")).alias("input_lufs"), F.round(gain_db(F.col("gain")), 2).alias("gain_db"), shown(F.col("after")).alias("output_lufs"), shown(F.col("peak_db")).alias("peak_db"),
+        F.round(F.greatest(F.lit(0.0), F.coalesce(shown(F.col("unlimited")) - shown(F.col("peak_db")), F.lit(0.0))), 2).alias("limiter_db"), F.round(F.coalesce("ride_db", F.lit(0.0)), 2).alias("ride_db"),
+    )

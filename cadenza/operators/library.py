@@ -149,11 +149,10 @@ def check_options(**options) -> dict:
 
 
 def one_row(df: DataFrame, what: str) -> DataFrame:
-    """The row that was asked for; reading an empty answer is an error."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    empty = df.sparkSession.range(1).join(df.limit(1).select(F.lit(1).alias("_there")), F.lit(True), "left").filter("_there is null")
-    failed = empty.select(F.raise_error(F.lit(f"{what}: not found")).cast("boolean").alias("_ok")).filter("_ok")
-    return df.withColumn("_n", n).filter("_n >= 1").drop("_n").join(failed, F.lit(True), "left_anti")
+    """The rows that were asked for; none at all is an error."""
+    if df.isEmpty():
+        raise LookupError(f"{what}: not found")
+    return df
 
 
 def fx_settings(spark: SparkSession, style: str, overrides: dict | None = None) -> dict:

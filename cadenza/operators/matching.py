@@ -138,8 +138,16 @@ def keep_or_drop(tracks: DataFrame, target: float, most: float = DEFAULT.max_str
     return tracks.select("track_id", F.round(s["rate"], 9).alias("rate"), F.round(s["deviation"], 9).alias("deviation")).withColumn("kept", F.col("deviation") <= most)
 
 
-def track_energy(sections: DataFrame) -> DataFrame:
-    return sections.groupBy("track_id").agg(F.round(0.6 * F.max("energy") + 0.4 * F.avg("energy"), 9).alias("energy"))
+def track_energy(sections: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """How hard each track hits: 0.6 of its loudest section and 0.4 of their mean.
+
+    With ``curves`` (``track_id, mean``: a row per track, the mean null where
+    there is no curve) a track without sections has its curve's mean, or 0.5.
+    """
+    told = sections.groupBy("track_id").agg(F.round(0.6 * F.max("energy") + 0.4 * F.avg("energy"), 9).alias("energy"))
+    if curves is None:
+        return told
+    return curves.join(told, "track_id", "left").select("track_id", F.coalesce("energy", "mean", F.lit(0.5)).alias("energy"))
 
 
 def running_order(tracks: DataFrame, energies: DataFrame, group: str = "set_id", tuning: Tuning = DEFAULT) -> DataFrame:

@@ -484,9 +484,11 @@ def strip_diacritics(spark, d):
     return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.strip_diacritics(F.concat(F.lit("é"), "c_name", F.lit("ñ"))).alias("name"))
 
 
-@query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
-r AS (SELECT *, row_number() OVER w AS k, coalesce(sum(CASE WHEN status <> 'running' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id AS job_id, arg_max(event_type, k) AS stage, arg_max(status, k) AS status, round(arg_max(greatest(0, least(1, value / 500)), k), 6) AS progress, max(k) AS n FROM r WHERE over = 0 GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, event_type AS stage, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, greatest(0, least(1, value / 500)) AS progress, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT job_id, k, stage, status, progress, tm, 1::BIGINT AS n FROM e WHERE k = 1
+  UNION ALL SELECT e.job_id, e.k, CASE WHEN held THEN r.stage ELSE e.stage END, CASE WHEN held THEN r.status ELSE e.status END, CASE WHEN held THEN r.progress ELSE e.progress END, CASE WHEN held THEN r.tm ELSE e.tm END, CASE WHEN held THEN r.n WHEN r.status = 'running' THEN r.n + 1 ELSE 1 END
+  FROM (SELECT e.job_id, e.k, e.stage, e.status, e.progress, e.tm, r.status <> 'running' AND e.tm // 1000 - r.tm // 1000 < 3600000 AS held, r AS r FROM e JOIN r ON r.job_id = e.job_id AND e.k = r.k + 1) e)
+SELECT job_id, stage, status, round(progress, 6) AS progress, n FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS z FROM r) WHERE z = 1""")
 def job_machine(spark, d):
     e = views.table(spark, d, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)

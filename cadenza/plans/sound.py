@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import music
-from cadenza.operators import sound
+from cadenza.operators import analysis, levels, matching, sound
 from cadenza.plans.registry import query, v
 from cadenza.sources import views, wav
 from cadenza.streaming import jobs
@@ -103,3 +103,40 @@ def shown_jobs(spark, d):
 @query("SELECT p_partkey AS id, round(pow(10.0::DOUBLE, (p_partkey % 40 - 30) / 20.0), 9) AS gain FROM part")
 def gains(spark, d):
     return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(music.db_gain((F.col("p_partkey") % 40 - 30).cast("double")), 9).alias("gain"))
+
+
+@query(v(""", p AS (SELECT track_id, i, t, accent AS onset, 500 - accent AS low, abs(accent - coalesce(lag(accent) OVER (PARTITION BY track_id ORDER BY i), accent)) AS change FROM beats),
+a AS (SELECT track_id, i, onset / max(onset) OVER w + low / max(low) OVER w + 2 * change / max(change) OVER w AS a FROM p WINDOW w AS (PARTITION BY track_id)),
+f AS (SELECT track_id, i % 4 AS phase, round(avg(a), 9) AS accent FROM a GROUP BY 1, 2) SELECT track_id, phase, accent FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY accent DESC, phase) AS k FROM f) WHERE k = 1"""))
+def bar_phase(spark, d):
+    """The phase of bar one, from onset, low band and harmonic change together."""
+    from pyspark.sql import Window
+
+    before = F.lag("accent").over(Window.partitionBy("track_id").orderBy("i"))
+    b = views.beats(spark, d).withColumns({"onset": F.col("accent"), "low": 500 - F.col("accent"), "change": F.abs(F.col("accent") - F.coalesce(before, F.col("accent")))})
+    return analysis.downbeats(analysis.accents(b, {"onset": 1.0, "low": 1.0, "change": 2.0}))
+
+
+@query(v(""", fr AS (SELECT track_id, start AS t, chroma FROM sections JOIN chroma USING (vec_id) WHERE start < 400), se AS (SELECT track_id, k AS idx, k * 90.0::DOUBLE AS lo, (k + 1) * 90.0::DOUBLE AS hi FROM (SELECT DISTINCT track_id FROM sections), (SELECT unnest(range(6)) AS k)),
+lg AS (SELECT se.track_id, idx, unnest(range(12)) AS p, unnest(chroma) AS c FROM se JOIN fr ON fr.track_id = se.track_id AND t >= lo AND t < hi), m AS (SELECT track_id, idx, p, avg(c) AS c FROM lg GROUP BY ALL), n AS (SELECT track_id, idx, p, c / sum(c) OVER (PARTITION BY track_id, idx) AS c FROM m)
+SELECT se.track_id, se.idx, p.p AS pitch, round(coalesce(n.c, 1 / 12.0::DOUBLE), 6) AS share FROM se CROSS JOIN (SELECT unnest(range(12)) AS p) p LEFT JOIN n ON n.track_id = se.track_id AND n.idx = se.idx AND n.p = p.p"""))
+def section_chroma_means(spark, d):
+    """Mean chroma of each ninety seconds of a track; the last ones have no frames."""
+    frames = views.sections(spark, d).join(views.chroma(spark, d), "vec_id").filter("start < 400").select("track_id", F.col("start").alias("t"), "chroma")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
+    spans = views.sections(spark, d).select("track_id").distinct().withColumn("idx", k).withColumns({"start": F.col("idx") * 90.0, "end": (F.col("idx") + 1) * 90.0})
+    got = analysis.mean_chroma(spans, frames, 90.0)
+    return got.select("track_id", "idx", F.posexplode("chroma").alias("pitch", "v")).select("track_id", "idx", F.col("pitch").cast("long").alias("pitch"), F.round("v", 6).alias("share"))
+
+
+@query(v(", cu AS (SELECT track_id, CASE WHEN track_id % 2 = 0 THEN bpm / 200 END AS mean FROM tracks), se AS (SELECT * FROM sections WHERE track_id % 3 <> 0), en AS (SELECT track_id, round(0.6::DOUBLE * max(energy) + 0.4::DOUBLE * avg(energy), 9) AS energy FROM se GROUP BY 1) SELECT track_id, coalesce(energy, mean, 0.5) AS energy FROM cu LEFT JOIN en USING (track_id)"))
+def track_energy_fallback(spark, d):
+    """A third of the tracks have no sections; half of these have no curve either."""
+    curves = views.tracks(spark, d).select("track_id", F.when(F.col("track_id") % 2 == 0, F.col("bpm") / 200).alias("mean"))
+    return matching.track_energy(views.sections(spark, d).filter("track_id % 3 <> 0"), curves)
+
+
+@query()
+def master_report(spark, d):
+    """Each clip brought to its loudness, ridden and limited, with what that took."""
+    return levels.mastered(views.samples(spark, d), 160, -14.0, -1.0)[1]

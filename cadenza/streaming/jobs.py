@@ -74,7 +74,7 @@ def stream_states(source: DataFrame, watermark: str = "10 minutes") -> DataFrame
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A finished job takes no further events, and is forgotten an hour after its end."""
+    """A finished job takes no further events, and is forgotten an hour after its end: then it starts anew."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -82,7 +82,9 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     rows, at = pd.concat(list(frames)).sort_values(["ts", "event_id"]), None
     for r in rows.itertuples():
         if status_ in FINISHED:
-            break
+            if r.ts.timestamp() * 1000 - ended < RETENTION_MS:
+                continue
+            n = 0
         stage, status_, progress, n, at = r.stage, r.status, float(r.progress), n + 1, int(r.ts.timestamp() * 1e6)
         ended = int(r.ts.timestamp() * 1000) if status_ in FINISHED else None
     state.update((stage, status_, progress, n, ended))
