@@ -93,14 +93,27 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Two tables of bounded size reach the driver: the commonest words, and sums for each shared place."""
+    """Three tables of bounded size reach the driver: how many words there are by size of count, the commonest words, and sums for each shared place.
+
+    Listed are all words of a count that at most ``LISTED`` words reach, by
+    eighths of a doubling.
+    """
     counted = stored(count_words(docs))
-    top = counted.orderBy(F.desc("n"), "word").limit(LISTED).collect()
+    eighths = F.floor(8 * F.log2("n"))
+    sizes = {r["e"]: r["kinds"] for r in counted.groupBy(eighths.alias("e")).agg(F.count(F.lit(1)).alias("kinds")).collect()}
+    least, held = None, 0
+    for e in sorted(sizes, reverse=True):
+        held += sizes[e]
+        if held > LISTED:
+            break
+        least = e
+    top = [(bytes(r["word"]), r["n"]) for r in counted.filter(eighths >= least).collect()] if least is not None else []
+    top.sort(key=lambda x: (-x[1], x[0]))
     sums = counted.groupBy((F.crc32("word") % SHARED).alias("place")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     totals, kinds = np.zeros((2, SHARED))
     for r in sums:
         totals[r["place"]], kinds[r["place"]] = r["n"], r["kinds"]
-    return Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=float), totals, kinds)
+    return Vocabulary([w for w, _ in top], np.array([n for _, n in top], dtype=float), totals, kinds)
 
 
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
