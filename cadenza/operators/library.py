@@ -131,6 +131,18 @@ def hashed_unit(seed: int, *parts: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0
 
 
+def hashed_pick(asked: DataFrame, pool: DataFrame, kind: str, key: str, seed: int) -> DataFrame:
+    """For each row of ``asked`` one of the pool's rows of its ``kind``, all alike likely; a kind without any leaves the row out.
+
+    ``pool``: ``kind, name``; the pool's rows of a kind are numbered by name, and a hash of ``key`` names one.
+    """
+    w = Window.partitionBy(kind)
+    numbered = pool.withColumns({"_k": F.row_number().over(w.orderBy("name")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    sizes = numbered.groupBy(kind).agg(F.max("_n").alias("_n"))
+    chosen = asked.join(sizes, kind).withColumn("_k", F.least(F.floor(hashed_unit(seed, key) * F.col("_n")), F.col("_n") - 1).cast("int"))
+    return chosen.drop("_n").join(numbered.drop("_n"), [kind, "_k"]).drop("_k")
+
+
 def library_sample(tracks: DataFrame, size: int, seed: int) -> DataFrame:
     """Twice ``size`` tracks, all alike likely, without replacement: some will be dropped for their tempo."""
     return tracks.orderBy(hashed_unit(seed, "track_id"), "track_id").limit(2 * size)

@@ -92,6 +92,15 @@ def crossfade(i: Column, n: Column) -> Column:
     return F.struct(F.cos(x).alias("out"), F.sin(x).alias("into"))
 
 
+def rendered(samples: DataFrame, clips: DataFrame) -> DataFrame:
+    """Samples as they sound: faded first, then at their clip's gain; ``clips``: ``clip_id, n, fade_in, fade_out`` (in samples) and ``gain_db``."""
+    quarter = lambda at, n: F.sin(F.lit(np.pi / 2) * at / F.nullif(n - 1, F.lit(0)))
+    i, n = F.col("i"), F.col("n")
+    up, down = F.least("fade_in", "n"), F.least("fade_out", "n")
+    gain = F.when((up > 1) & (i < up), quarter(i, up)).otherwise(1.0) * F.when((down > 1) & (n - 1 - i < down), quarter(n - 1 - i, down)).otherwise(1.0)
+    return samples.join(clips, "clip_id").withColumn("v", F.col("v") * gain * music.db_gain(F.col("gain_db"))).select(*samples.columns)
+
+
 def summed(layers: DataFrame) -> DataFrame:
     """The sum of a clip's layers over the samples that all of them have: ``clip_id, layer, i, v`` in, ``clip_id, i, v`` out."""
     n = layers.groupBy("clip_id").agg(F.countDistinct("layer").alias("n"))

@@ -457,9 +457,14 @@ def feature_zscore(spark, d):
 
 @query()
 def segment_tracks(spark, d):
+    """Sections of each track from its beats, on its downbeats, with their labels."""
     s = views.sections(spark, d).join(views.chroma(spark, d), "vec_id")
     beats = s.select("track_id", F.col("idx").alias("i"), F.col("start").alias("t"), F.col("chroma").alias("features"))
-    return segments.segment(beats, s.groupBy("track_id").agg(F.max("end").alias("duration")), 30.0)
+    found = segments.segment(beats, s.groupBy("track_id").agg(F.max("end").alias("duration")), 30.0, beats.filter("i % 4 = 0").select("track_id", "t"))
+    spans = found.select("track_id", "idx", "start", "end")
+    loud = joins.range_join(s.select("track_id", F.col("start").alias("t"), "energy"), spans, "t", "start", "end", ["track_id"], 60.0).groupBy("track_id", "idx").agg(F.avg("energy").alias("energy"))
+    told = found.join(loud, ["track_id", "idx"], "left").withColumn("energy", F.coalesce("energy", F.lit(0.0)))
+    return told.join(analysis.label_sections(told), ["track_id", "idx"])
 
 
 LABELS = "lq AS (SELECT track_id, quantile_cont(energy, 0.5) AS p50, quantile_cont(energy, 0.7) AS p70, max(energy) AS top, count(*) AS n FROM sections GROUP BY 1), lab AS (SELECT track_id, idx, CASE WHEN n = 1 THEN 'verse' WHEN idx = 0 AND energy <= p50 THEN 'intro' WHEN idx = n - 1 AND energy <= p50 THEN 'outro' WHEN energy >= CASE WHEN n > 2 THEN p70 ELSE p50 END THEN CASE WHEN energy >= 0.97::DOUBLE * top THEN 'drop' ELSE 'chorus' END WHEN energy < 0.75::DOUBLE * p50 THEN 'bridge' ELSE 'verse' END AS label FROM sections JOIN lq USING (track_id))"

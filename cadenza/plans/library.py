@@ -260,3 +260,13 @@ def near_misses(spark, d):
     t = views.tracks(spark, d)
     asked_ = noisy(spark, d)
     return charts.near_misses(asked_, charts.resolve_fuzzy(asked_, t), t)
+
+
+@query("""WITH p AS (SELECT p_brand AS kind, p_name || p_partkey AS name FROM part), q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM p),
+a AS (SELECT s_suppkey AS id, 'Brand#' || (s_nationkey % 25 + 1) AS kind FROM supplier), z AS (SELECT DISTINCT kind, n FROM q)
+SELECT a.id, a.kind, q.name FROM a JOIN z USING (kind) JOIN q ON q.kind = a.kind AND q.k = least(floor(((('0x' || substr(md5('3:' || a.id), 1, 8))::BIGINT::DOUBLE + 1) / 4294967296.0) * z.n), z.n - 1)""")
+def sample_picks(spark, d):
+    """One of the samples of a kind for each that asks, by a hash."""
+    pool = views.table(spark, d, "part").select(F.col("p_brand").alias("kind"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"))
+    who = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), (F.col("s_nationkey") % 25 + 1).cast("string")).alias("kind"))
+    return library.hashed_pick(who, pool, "kind", "id", 3)

@@ -228,6 +228,21 @@ def test_channels_add_up(spark):
     assert b - a == pytest.approx(10 * __import__("math").log10(2), abs=1e-5)
 
 
+def test_files_of_clips(spark, tmp_path):
+    import wave
+
+    from cadenza.sources import wav
+
+    samples = spark.createDataFrame([(c, i, (i % 50) / 100) for c in (3, 4) for i in range(70_000)], "clip_id long, i long, v double")
+    got = wav.write_files(wav.wav_parts(samples, 8000), str(tmp_path / "w")).collect()
+    assert {r["clip_id"]: r["bytes"] for r in got} == {3: 140_044, 4: 140_044}
+    with wave.open(str(tmp_path / "w" / "3.wav")) as f:
+        assert (f.getnframes(), f.getframerate()) == (70_000, 8000)
+    told = spark.createDataFrame([(1, 1, 0.0, "00:00.00", "track_in", "נועה", 5), (1, 2, 3.5, "00:03.50", "cue", "drop", 5)], "set_id int, place int, time double, timecode string, kind string, label string, track_id int")
+    text_ = wav.sidecars(told).first()["value"]
+    assert "נועה" in text_ and [e["kind"] for e in json.loads(text_)] == ["track_in", "cue"]
+
+
 def test_bad_wav_gives_no_rows(spark):
     assert sound.decoded(spark.createDataFrame([("x", b"not a wav"), ("y", b"")], "path string, content binary")).count() == 0
 
