@@ -300,6 +300,22 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, node, full):
         assert pathjoin.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("depth", "least"), [(3, 0.995), (6, 0.99), (9, 0.97)])
+def test_trees_meet_pairs_at_the_threshold(depth, least):
+    rng, seeds, met, pairs = np.random.default_rng(depth), pathjoin.coefficients(), 0, 300
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        sig = np.stack([pathjoin.minwise(s, seeds) for s in (x[:180], x[20:])])  # 160 of 200 shared
+        held = [set(), set()]
+        for t in range(pathjoin.TREES):
+            start = pathjoin.mix(np.full(2, 1000 + t, dtype=np.uint64)) & np.uint64(pathjoin.MASK ^ pathjoin.TREE) | np.uint64(t)
+            for row, node in zip(*pathjoin.paths(sig, start, depth), strict=True):
+                held[row].add(int(node))
+        met += not held[0].isdisjoint(held[1])
+    print(depth, met / pairs)
+    assert met / pairs >= least
+
+
 def test_overlaps(monkeypatch):
     rng = np.random.default_rng(3)
     held = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (0, 1, 5, 40, 80, 200)]
