@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.config import DEFAULT, Tuning
@@ -129,8 +130,13 @@ def _indel(p: str, q: str) -> float:
 BLOCK = 1_000
 
 
+#: Marks that a decomposition sets apart, Hebrew points among them.
+MARKS = regex.compile(r"\p{M}+")
+
+
 def folded(key: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", key) if not unicodedata.combining(c))
+    """The key without diacritics."""
+    return key if key.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", key))
 
 
 def bag_bound(bags: np.ndarray, lengths: np.ndarray, bag: np.ndarray, length: int) -> np.ndarray:

@@ -180,9 +180,13 @@ def merged_map(base: Column, overrides: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(given, k)), given)
 
 
+# The lines of a manifest under a file's name.
+MANIFEST = (("artist", "    artist : %s"), ("licence", "    licence: %s"), ("source", "    source : %s"))
+
+
 def licence_lines(tracks: DataFrame) -> DataFrame:
     """``file, lines``: the text that names each file's artist, licence and source."""
-    return tracks.select("file", F.array(F.col("file"), F.format_string("    artist : %s", "artist"), F.format_string("    licence: %s", "licence"), F.format_string("    source : %s", "source"), F.lit("")).alias("lines"))
+    return tracks.select("file", F.array(F.col("file"), *[F.format_string(line, column) for column, line in MANIFEST], F.lit("")).alias("lines"))
 
 
 def download_url(base: str, item: Column, name: Column) -> Column:

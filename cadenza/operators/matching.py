@@ -66,6 +66,14 @@ def mashup_pick(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma
     return best.withColumnRenamed("match", "total").drop("n", "build", "energy_build")
 
 
+# How ratios, steps on the wheel and terms are put in words.
+RATIOS = ((1.0, "same tempo"), (2.0, "double-time"), (0.5, "half-time"), (1.5, "3:2 polyrhythm"), (2 / 3, "2:3 polyrhythm"))
+STEPS = ((0, "same key"), (1, "harmonically compatible"))
+FAR, SHIFTED = "%d steps apart on the wheel", ", shift %+d semitone%s"
+TEMPO_SAID, CHROMA_SAID, ENERGY_SAID = "tempo: %s, stretch %+.1f%%", "chroma similarity %.2f at %+d semitones", "energy match %+.2f"
+TOO_LOW = "score %.3f below minimum %.2f"
+
+
 def explained(pairs: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
     """``pairs`` with each term's share of ``match`` and the sentences that say why.
 
@@ -73,20 +81,22 @@ def explained(pairs: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
     """
     w = tuning.weights.normalized()
     c = F.col
-    ratio = F.when(c("ratio") == 2.0, "double-time").when(c("ratio") == 0.5, "half-time").when(c("ratio") == 1.5, "3:2 polyrhythm").when(F.abs(c("ratio") - 2 / 3) < 1e-9, "2:3 polyrhythm").otherwise("same tempo")
-    steps = F.when(c("distance") == 0, "same key").when(c("distance") == 1, "harmonically compatible").otherwise(F.format_string("%d steps apart on the wheel", "distance"))
-    shifted = F.when(c("shift") == 0, "").otherwise(F.format_string(", shift %+d semitone%s", "shift", F.when(F.abs("shift") == 1, "").otherwise("s")))
-    delta = c("b_energy") - c("a_energy")
-    return pairs.withColumns({f"share_{x}": F.round(getattr(w, x) * c("energy_match" if x == "energy" else x), 4) for x in ("tempo", "key", "chroma", "energy")}).withColumn(
-        "reasons",
-        F.array(
-            F.concat_ws(" -> ", "a_label", "b_label"),
-            F.format_string("tempo: %s, stretch %+.1f%%", ratio, (c("stretch") - 1) * 100),
-            F.concat(F.lit("key: "), steps, shifted),
-            F.format_string("chroma similarity %.2f at %+d semitones", "chroma", "shift"),
-            F.format_string("energy match %+.2f", delta),
-        ),
-    ).withColumn("rejected", F.when(c("match") < tuning.min_score, F.format_string("score %.3f below minimum %.2f", "match", F.lit(tuning.min_score))))
+    ratio, steps = F.lit(RATIOS[0][1]), F.format_string(FAR, "distance")
+    for value, said in RATIOS[1:]:
+        ratio = F.when(F.abs(c("ratio") - value) < 1e-9, said).otherwise(ratio)
+    for value, said in STEPS:
+        steps = F.when(c("distance") == value, said).otherwise(steps)
+    shifted = F.when(c("shift") == 0, "").otherwise(F.format_string(SHIFTED, "shift", F.when(F.abs("shift") == 1, "").otherwise("s")))
+    shares = {f"share_{x}": F.round(getattr(w, x) * c("energy_match" if x == "energy" else x), 4) for x in ("tempo", "key", "chroma", "energy")}
+    reasons = F.array(
+        F.concat_ws(" -> ", "a_label", "b_label"),
+        F.format_string(TEMPO_SAID, ratio, (c("stretch") - 1) * 100),
+        F.concat(F.lit("key: "), steps, shifted),
+        F.format_string(CHROMA_SAID, "chroma", "shift"),
+        F.format_string(ENERGY_SAID, c("b_energy") - c("a_energy")),
+    )
+    low = F.when(F.col("match") < tuning.min_score, F.format_string(TOO_LOW, "match", F.lit(tuning.min_score)))
+    return pairs.withColumns({**shares, "reasons": reasons, "rejected": low})
 
 
 #: Folded tempi lie in one octave, so there are some 8,200 buckets of this width; any beyond the octave share bucket -1.

@@ -11,11 +11,11 @@ from cadenza.operators.joins import nearest
 
 def recurrence(sections: DataFrame, chroma: DataFrame, near: float = 0.92) -> DataFrame:
     """How many other sections of its track each section resembles; sections of one track join, never tracks."""
-    from cadenza.functions.music import cosine
+    from cadenza.functions.music import turned_dot, unit
 
-    s = sections.select("track_id", "idx", "vec_id").join(chroma, "vec_id").select("track_id", "idx", "chroma")
-    o = s.select("track_id", F.col("idx").alias("_idx"), F.col("chroma").alias("_chroma"))
-    alike = s.join(o, "track_id").filter(F.col("idx") != F.col("_idx")).filter(F.round(cosine(F.col("chroma"), F.col("_chroma")), 9) > near)
+    s = sections.select("track_id", "idx", "vec_id").join(chroma.select("vec_id", unit(F.col("chroma")).alias("unit")), "vec_id").select("track_id", "idx", "unit")
+    o = s.select("track_id", F.col("idx").alias("_idx"), F.col("unit").alias("_unit"))
+    alike = s.join(o, "track_id").filter(F.col("idx") != F.col("_idx")).filter(F.round(turned_dot(F.col("unit"), F.col("_unit"), F.lit(0)), 9) > near)
     return s.select("track_id", "idx").join(alike.groupBy("track_id", "idx").agg(F.count(F.lit(1)).alias("n")), ["track_id", "idx"], "left").select("track_id", "idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
