@@ -26,6 +26,18 @@ def tempo_band_join(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     return left.join(right, "_k").filter(F.abs(F.col("b_bpm") * F.col("ratio") - F.col("a_bpm")) <= tolerance * F.col("a_bpm")).drop("_k")
 
 
+def tempo_band_counts(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
+    """``a_id, n``: how many of ``b`` lie in each one's band.
+
+    Distinct tempi are joined, not tracks, so a common tempo costs one row; with
+    a tolerance below a third nothing lies in the bands of two ratios at once.
+    """
+    asked = a.select("a_bpm").distinct()
+    tally = b.groupBy("b_bpm").agg(F.count(F.lit(1)).alias("_n"))
+    counts = tempo_band_join(asked, tally, tolerance).groupBy("a_bpm").agg(F.sum("_n").alias("n"))
+    return a.join(counts, "a_bpm").select("a_id", "n")
+
+
 def nearest(array: Column, x: Column) -> Column:
     """The first nearest element of a sorted array."""
     return F.array_min(F.transform(array, lambda t: F.struct(F.abs(t - x).alias("d"), t.alias("t"))))["t"]

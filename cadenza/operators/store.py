@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -19,6 +19,11 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def now() -> Column:
+    """Seconds since 1970."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
 def upsert_latest(rows: DataFrame, key: str, at: list[str]) -> DataFrame:
     """The last write of each key."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in at])

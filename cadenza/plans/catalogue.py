@@ -156,7 +156,7 @@ def tempo_compat(spark, d):
 def tempo_band_join(spark, d):
     t = views.tracks(spark, d)
     a, b = (t.select(F.col("track_id").alias(f"{p}_id"), F.col("bpm").alias(f"{p}_bpm")) for p in "ab")
-    return joins.tempo_band_join(a, b, 0.02).select(F.col("a_id").alias("a"), "b_id").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return joins.tempo_band_counts(a, b, 0.02).withColumnRenamed("a_id", "a")
 
 
 @query(v("SELECT track_id, CASE WHEN bpm * 4 < 82 THEN bpm * 8 WHEN bpm * 2 < 82 THEN bpm * 4 WHEN bpm < 82 THEN bpm * 2 WHEN bpm > 164 THEN bpm / 2 ELSE bpm END AS folded FROM tracks"))

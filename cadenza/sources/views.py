@@ -11,15 +11,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def scan_audio(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files below ``path``: id, path, fingerprint of size and both ends, size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(path)
+    """Audio files below ``path`` in the order of their paths: id, path, fingerprint of size and both ends, length; none where there is no such folder.
+
+    Files that go or cannot be read while they are scanned are skipped.
+    """
+    if not there(spark, path):
+        return spark.createDataFrame([], "id string, path string, file_hash string, length long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
     wanted = files.filter(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(*AUDIO))
     mib = 1 << 20
     ends = F.concat(F.encode(F.col("length").cast("string"), "utf-8"), F.substring("content", 1, mib), F.when(F.col("length") > 2 * mib, F.substring("content", -mib, mib)).otherwise(F.lit(b"")))
     # A local file is known by its plain path, as other programs would name it.
     plain = F.regexp_replace("path", "^file:/+", "/")
-    return wanted.select(F.substring(F.sha2(plain, 256), 1, 16).alias("id"), plain.alias("path"), F.substring(F.sha2(ends, 256), 1, 32).alias("file_hash"), "length")
+    return wanted.select(F.substring(F.sha2(plain, 256), 1, 16).alias("id"), plain.alias("path"), F.substring(F.sha2(ends, 256), 1, 32).alias("file_hash"), "length").orderBy("path")
 
 
 def as_list(payload: Column, path: str, kind: str) -> Column:

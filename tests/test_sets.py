@@ -243,6 +243,27 @@ def test_files_of_clips(spark, tmp_path):
     assert "נועה" in text_ and [e["kind"] for e in json.loads(text_)] == ["track_in", "cue"]
 
 
+def test_scan_of_a_folder(spark, tmp_path):
+    import hashlib
+    import time
+
+    from cadenza.operators import store
+
+    (tmp_path / "sub").mkdir()
+    big = bytes(range(256)) * 4096 * 3  # beyond two megabytes: only both ends count
+    for name, data in {"b.MP3": b"x" * 10, "sub/a - שיר.wav": big, "sub/c.txt": b"no"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = views.scan_audio(spark, str(tmp_path)).collect()
+    assert [r["path"] for r in got] == sorted(str(tmp_path / n) for n in ("b.MP3", "sub/a - שיר.wav"))
+    for r in got:
+        data = open(r["path"], "rb").read()
+        ends = data[: 1 << 20] + (data[-(1 << 20) :] if len(data) > 2 << 20 else b"")
+        assert r["id"] == hashlib.sha256(r["path"].encode()).hexdigest()[:16]
+        assert r["file_hash"] == hashlib.sha256(str(len(data)).encode() + ends).hexdigest()[:32]
+    assert views.scan_audio(spark, str(tmp_path / "none")).count() == 0
+    assert abs(one(spark, store.now()) - time.time()) < 60
+
+
 def test_bad_wav_gives_no_rows(spark):
     assert sound.decoded(spark.createDataFrame([("x", b"not a wav"), ("y", b"")], "path string, content binary")).count() == 0
 
