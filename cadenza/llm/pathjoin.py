@@ -10,8 +10,8 @@ close is confirmed on the full sets. Equal sets count once.
 
 Candidates come in three passes, so that copies are not expanded into pairs.
 The first gives each group of close documents of a node a few hubs, linked with
-the others. The next two look only across the components found: first at each
-document's closest partner, then at all that are left; that last pass compares
+the others. The next two look only across the components found: first at one link from
+each component of a node to another, then at all that are left; that last pass compares
 full sets inside the nodes, since sketches let many pairs just below the
 threshold through. Nodes beyond ``NODE``
 documents branch on; at ``DEEPEST`` they are cut into blocks that share one
@@ -201,13 +201,14 @@ def with_hubs(close: np.ndarray) -> Iterator[tuple[int, int]]:
             left[i] = False
 
 
-def across(close: np.ndarray, estimate: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Each document with its closest one of another component."""
-    close = close & (comp[:, None] != comp[None, :])
-    both = np.where(close, estimate, -1)
+def closest(close: np.ndarray, estimate: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """One link a component: its document that is closest to another component, and that one there."""
+    both = np.where(close & (comp[:, None] != comp[None, :]), estimate, -1)
     both = np.maximum(both, both.T)
-    for i in np.flatnonzero(both.max(axis=1) >= 0):
-        yield i, int(both[i].argmax())
+    best = both.max(axis=1)
+    for i in dict(zip(comp[np.argsort(best, kind="stable")].tolist(), np.argsort(best, kind="stable").tolist(), strict=True)).values():
+        if best[i] >= 0:
+            yield i, int(both[i].argmax())
 
 
 def whole_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
@@ -278,7 +279,7 @@ def linked_across(nodes: DataFrame, threshold: float) -> DataFrame:
 def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
     """Compare each node of ``node, whole, rep, sketch`` (and ``comp``) exhaustively: ``node, whole, rep, other``.
 
-    ``how``: ``hubs`` or ``best`` (across components).
+    ``how``: ``hubs``, or ``best`` for one link from each component of a node to another.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +291,7 @@ def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
                 if hi - lo > 1:
                     close, estimate = closeness(sig[lo:hi], threshold)
                     if close.any():
-                        for i, j in with_hubs(close) if comp is None else across(close, estimate, comp[lo:hi]):
+                        for i, j in with_hubs(close) if comp is None else closest(close, estimate, comp[lo:hi]):
                             left.append(lo + i)
                             right.append(lo + j)
                     if comp is None and not pd.isna(batch["whole"].iloc[lo]):
@@ -306,6 +307,27 @@ def compared(nodes: DataFrame, threshold: float, how: str) -> DataFrame:
     return nodes.select(*columns).repartition("node").sortWithinPartitions("node").mapInPandas(lambda b: released(run(b)), "node long, whole long, rep long, other long")
 
 
+def marked(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node, rep`` of the documents with a close one of another component in their node; a node's come out of its task as one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, cuts in whole_nodes(batches):
+            sig = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), BINS)
+            comp, rep, node = (batch[c].to_numpy() for c in ("comp", "rep", "node"))
+            out = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    close, _ = closeness(sig[lo:hi], threshold)
+                    close &= comp[lo:hi, None] != comp[None, lo:hi]
+                    some = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
+                    if len(some):
+                        out.append((node[lo], rep[lo + some]))
+            yield pd.DataFrame(out, columns=["node", "reps"])
+
+    found = nodes.select("node", "rep", "comp", "sketch").repartition("node").sortWithinPartitions("node").mapInPandas(lambda b: released(run(b)), "node long, reps array<long>")
+    return found.select("node", F.explode("reps").alias("rep")).distinct()
+
+
 def pairs_of(found: DataFrame) -> DataFrame:
     return found.filter("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
@@ -423,8 +445,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
         if how == "all":
             inner = stored(inner.unionByName(met_blocks(told)).distinct())
             # Only documents with some close one across components bring their sets.
-            # Both ends of a close pair come out as ``rep``, each with its own best one.
-            some = compared(inner.join(sketches, "rep"), threshold, "best").select("node", "rep").distinct()
+            some = marked(inner.join(sketches, "rep"), threshold)
             brought = inner.select("node", "rep", "comp").join(some, ["node", "rep"]).join(sketches, "rep")
             short = full.filter(F.length("set") <= 8 * FULL).select(F.col("doc_id").alias("rep"), "set")
             pairs = linked_across(brought.join(short, "rep", "left"), threshold)
