@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import forest, language, lines, masked, order, packing, pathjoin, pii, postings, shards
+from cadenza.llm import forest, language, lines, masked, negatives, order, packing, pathjoin, pii, postings, shards, tally, whitening
 from cadenza.llm.common import table
 
 
@@ -53,9 +53,24 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is this run's own, so every distinct content is encoded."""
+    return tally.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that leaves a long (from some 10**7 rows on) is null here; the operator's is a decimal."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op2_masked_score, op3_language, op4_decontaminate, op5_near_duplicates, op6_line_dedup, op7_nearest, op8_shards, op9_personal_data, op10_pack)
+    for f in (op1_training_order, op2_masked_score, op3_language, op4_decontaminate, op5_near_duplicates, op6_line_dedup, op7_nearest, op8_shards, op9_personal_data, op10_pack, op11_token_counts, op12_whitening, op13_hard_negatives)
 }
 
 CONTAMINATION_SQL = r"""
@@ -83,4 +98,17 @@ reach AS (SELECT doc_id AS v, doc_id AS root FROM ds UNION SELECT sym.b, root FR
 SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN (SELECT v AS doc_id, min(root) AS component_id FROM reach GROUP BY v) USING (doc_id)
 """
 
-ORACLES = {"op4_decontaminate": CONTAMINATION_SQL, "op5_near_duplicates": NEAR_SQL, "op6_line_dedup": lines.LINES_SQL}
+#: Rows without an id take no part; of rows that share one, the smallest by label and vector.
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+dims AS (SELECT len(v) AS d FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+r AS (SELECT vec_id, min(struct_pack(label := label, x := list_transform(v, lambda c: floor(256 * c::DOUBLE)))) AS s FROM e JOIN dims ON len(v) = d GROUP BY 1),
+rows_ AS (SELECT vec_id, s.label AS label, s.x AS x FROM r),
+sc AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM rows_ a JOIN rows_ b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM sc WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN sc USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES = {"op4_decontaminate": CONTAMINATION_SQL, "op5_near_duplicates": NEAR_SQL, "op6_line_dedup": lines.LINES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
