@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.config import DEFAULT, Tuning
 from cadenza.functions import music, text
+from cadenza.operators.fuzzy import library_keys
 
 
 def chart_union(charts: list[DataFrame]) -> DataFrame:
@@ -73,11 +69,6 @@ def weighted_sample(merged: DataFrame, count: int, ratio: float, seed: int) -> D
     return chosen.select("key", "region", "score").withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "key")))
 
 
-def library_keys(tracks: DataFrame) -> DataFrame:
-    """One file per key, the last by id; ``first_id`` is the key's place among the choices."""
-    return tracks.withColumn("key", text.match_key(F.col("title"), F.col("artist"))).groupBy("key").agg(F.max("track_id").alias("track_id"), F.min("track_id").alias("first_id"))
-
-
 def resolve_exact(merged: DataFrame, tracks: DataFrame) -> DataFrame:
     return merged.join(library_keys(tracks).drop("first_id"), "key").select("key", "track_id", "rank", F.lit(100.0).alias("match_score"))
 
@@ -95,134 +86,3 @@ def claim_once(resolved: DataFrame) -> DataFrame:
 def coverage(resolved: DataFrame, lost: DataFrame) -> DataFrame:
     both = resolved.select(F.lit(1).alias("hit")).unionByName(lost.select(F.lit(0).alias("hit")))
     return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg("hit"), 9), F.lit(0.0)).alias("coverage"))
-
-
-def token_set_ratio(a: list[str], b: list[str]) -> float:
-    """0 to 100 from the sorted token sets; 100 when one holds the other."""
-    x, y = set(a), set(b)
-    if not x or not y:
-        return 0.0
-    common = " ".join(sorted(x & y))
-    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if common and (not left or not right):
-        return 100.0
-    first, second = f"{common} {left}".strip(), f"{common} {right}".strip()
-    pairs = [(first, second)] + ([(common, first), (common, second)] if common else [])
-    return max(_indel(p, q) for p, q in pairs)
-
-
-def _indel(p: str, q: str) -> float:
-    """200 * LCS / lengths; the LCS bit-parallel (Hyyrö 2004), one big integer step a character."""
-    if not p and not q:
-        return 100.0
-    at: dict[str, int] = {}
-    for i, c in enumerate(p):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(p)) - 1
-    s = full
-    for c in q:
-        u = s & at.get(c, 0)
-        s = (s + u) | (s - u)
-    return 200.0 * (~s & full).bit_count() / (len(p) + len(q))
-
-
-#: Songs that are looked for at a time: each block is sent to all tasks of the library.
-BLOCK = 1_000
-
-
-#: Marks that a decomposition sets apart, Hebrew points among them.
-MARKS = regex.compile(r"\p{M}+")
-
-
-def folded(key: str) -> str:
-    """The key without diacritics."""
-    return key if key.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", key))
-
-
-def bag_bound(bags: np.ndarray, lengths: np.ndarray, bag: np.ndarray, length: int) -> np.ndarray:
-    """What an Indel ratio cannot exceed: a common subsequence has no more of any letter than both sides."""
-    return 200.0 * np.minimum(bags, bag).sum(axis=1) / np.maximum(1, lengths + length)
-
-
-class Choices:
-    """Keys with their tokens and counts of letters (a letter counts under its code modulo 64, which only loosens the bound)."""
-
-    def __init__(self, keys: list[str]) -> None:
-        self.keys = keys
-        self.tokens = [set(k.split()) for k in keys]
-        plain = [" ".join(sorted(t)) for t in self.tokens]
-        self.lengths = np.array([len(p) for p in plain], dtype=np.int32)
-        self.bags = np.zeros((len(keys), 64), dtype=np.int16)
-        for i, p in enumerate(plain):
-            np.add.at(self.bags[i], [ord(c) % 64 for c in p], 1)
-
-    def best(self, key: str, order: np.ndarray, least: float) -> tuple[float, int]:
-        """(score, choice) of the best choice of ``least`` at least, the first in ``order`` on ties; (-1, -1) if there is none.
-
-        Choices are tried by falling bound, until the bound lies below the best score.
-        """
-        tokens = key.split()
-        own = Choices([key])
-        bound = bag_bound(self.bags, self.lengths, own.bags[0], int(own.lengths[0]))
-        mine = own.tokens[0]
-        # A shared token may raise the ratio to 100 whatever the letters.
-        bound[[i for i, t in enumerate(self.tokens) if not mine.isdisjoint(t)]] = 100.0
-        found, at = -1.0, -1
-        for i in np.argsort(-bound, kind="stable"):
-            if bound[i] < max(least, found):
-                break
-            score = token_set_ratio(tokens, self.keys[i].split())
-            if score >= least and (score > found or score == found and order[i] < order[at]):
-                found, at = score, int(i)
-        return found, at
-
-
-def scored_choices(asked: DataFrame, tracks: DataFrame, least: float) -> DataFrame:
-    """``key, raw, raw_id, bare, bare_id``: each song's best choice as written, and without diacritics; null below ``least``.
-
-    No pair that reaches ``least`` is lost. Songs go out in blocks of ``BLOCK``,
-    and a batch of the library returns its best choices only.
-    """
-    spark = asked.sparkSession
-    lib = library_keys(tracks).filter("key <> ''")
-    keys = asked.select("key").filter("key <> ''").distinct()
-    n = max(1, -(-keys.count() // BLOCK))
-    out = None
-    for b in range(n):
-        sent = spark.sparkContext.broadcast([r["key"] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == b).collect()])
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ids, order = batch["track_id"].to_numpy(), batch["first_id"].to_numpy()
-                raw, bare = Choices(list(batch["key"])), Choices([folded(k) for k in batch["key"]])
-                rows = []
-                for key in sent.value:
-                    for kind, choices, asked_key in (("raw", raw, key), ("bare", bare, folded(key))):
-                        score, at = choices.best(asked_key, order, least)
-                        if at >= 0:
-                            rows.append((key, kind, score, int(order[at]), int(ids[at])))
-                yield pd.DataFrame(rows, columns=["key", "kind", "score", "first_id", "track_id"])
-
-        part = lib.mapInPandas(run, "key string, kind string, score double, first_id long, track_id long")
-        out = part if out is None else out.unionByName(part)
-    best = out.groupBy("key", "kind").agg(F.max_by(F.struct("score", "track_id"), F.struct("score", -F.col("first_id"))).alias("b"))
-    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(f"b.{x}")))
-    return best.groupBy("key").agg(of("raw", "score").alias("raw"), of("raw", "track_id").alias("raw_id"), of("bare", "score").alias("bare"), of("bare", "track_id").alias("bare_id"))
-
-
-def chosen(scored: DataFrame, least: float) -> DataFrame:
-    """``key, track_id, match_score``: the choice as written, else the one without diacritics."""
-    raw = F.col("raw") >= least
-    return scored.select("key", F.when(raw, F.col("raw_id")).otherwise(F.col("bare_id")).alias("track_id"), F.when(raw, F.col("raw")).otherwise(F.col("bare")).alias("match_score")).filter(F.col("match_score") >= least)
-
-
-def resolve_fuzzy(lost: DataFrame, tracks: DataFrame, threshold: float = DEFAULT.fuzzy_threshold) -> DataFrame:
-    """The best library key of each song by token sets, at ``threshold`` or better; ties go to the first file."""
-    return chosen(scored_choices(lost, tracks, threshold), threshold)
-
-
-def near_misses(asked: DataFrame, resolved: DataFrame, tracks: DataFrame, least: float = DEFAULT.near_miss) -> DataFrame:
-    """The songs that found nothing, each with what comes nearest to it (null and 0 if nothing does): ``key, track_id, match_score``."""
-    lost = asked.select("key").distinct().join(resolved.select("key"), "key", "left_anti")
-    near = chosen(scored_choices(lost, tracks, least), least)
-    return lost.join(near, "key", "left").select("key", "track_id", F.coalesce("match_score", F.lit(0.0)).alias("match_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from cadenza.functions import music, text
-from cadenza.operators import analysis, charts, joins, library, store
+from cadenza.operators import analysis, charts, fuzzy, joins, library, store
 from cadenza.plans.registry import query, v
 from cadenza.sources import views
 
@@ -202,7 +202,7 @@ def outcome_counts(spark, d):
 
 @query(v("SELECT track_id, i, t FROM beats WHERE i % 8 = 0"))
 def decimated_curve(spark, d):
-    from cadenza.operators import sound
+    from cadenza.operators import fuzzy, sound
 
     return sound.decimated(views.beats(spark, d), 8).select("track_id", "i", "t")
 
@@ -251,15 +251,13 @@ def noisy(spark, d):
 
 @query(name="resolve_fuzzy")
 def resolve_fuzzy(spark, d):
-    return charts.resolve_fuzzy(noisy(spark, d), views.tracks(spark, d))
+    return fuzzy.resolve_fuzzy(noisy(spark, d), views.tracks(spark, d))
 
 
 @query()
 def near_misses(spark, d):
     """What the library has that comes nearest to each song it lacks."""
-    t = views.tracks(spark, d)
-    asked_ = noisy(spark, d)
-    return charts.near_misses(asked_, charts.resolve_fuzzy(asked_, t), t)
+    return fuzzy.near_misses(noisy(spark, d), views.tracks(spark, d))
 
 
 @query("""WITH p AS (SELECT p_brand AS kind, p_name || p_partkey AS name FROM part), q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM p),

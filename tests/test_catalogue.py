@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import music, text
-from cadenza.operators import charts, store
+from cadenza.operators import fuzzy, store
 from cadenza.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -55,7 +55,7 @@ def test_text_vectors(spark):
     split = one(spark, text.split_title(F.lit("A - B (Official Video)"), F.lit("C - Topic")))
     assert (split["artist"], split["title"]) == ("A", "B")
     assert one(spark, text.clean_title(F.lit("2001-05 03 - Song"))) == "Song"
-    assert charts.token_set_ratio(["a", "b"], ["b"]) == 100.0 and charts.token_set_ratio([], ["b"]) == 0.0
+    assert fuzzy.token_set_ratio(["a", "b"], ["b"]) == 100.0 and fuzzy.token_set_ratio([], ["b"]) == 0.0
 
 
 def test_append_once(spark):

@@ -18,56 +18,6 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def plain_best(key, keys, least):
-    """(score, first id, id) over all choices, the first on ties."""
-    scored = [(charts.token_set_ratio(key.split(), k.split()), -first, last) for k, (first, last) in keys.items()]
-    top = max(scored, default=(0, 0, None))
-    return top if top[0] >= least else None
-
-
-def test_fuzzy_resolution_loses_nothing(spark):
-    rng = random.Random(3)
-    words = ["beyoncé", "beyonce", "halo", "noa", "kirel", "unicorn", "sia", "u2", "one", "the", "kids", "דנה", "חי"]
-    songs = [(i, " ".join(rng.sample(words, rng.randint(1, 3))), rng.choice(words)) for i in range(80)]
-    tracks = spark.createDataFrame(songs, "track_id long, title string, artist string").repartition(4)
-    asked = ["beyonce", "halo beyoncé", "unicorm noa kirel", "kirel", "xyz qqq", "siá", "the one", "haalo", "דנה חי"]
-    asked += ["".join(c for c in f"{a} {t}".strip() if rng.random() > 0.1) for _, t, a in songs[:25]]
-    lost = spark.createDataFrame([(k,) for k in asked], "key string")
-    keys = {}
-    for i, t, a in songs:
-        k = f"{a} {t}"
-        keys[k] = (keys.get(k, (i, i))[0], i)
-    bare = {}
-    for k, (first, last) in keys.items():
-        f = charts.folded(k)
-        first = min(first, bare[f][0]) if f in bare else first
-        bare[f] = (first, max(last, bare[f][1]) if f in bare else last)
-
-    def plain(key, least):
-        hit = plain_best(key, keys, least) or plain_best(charts.folded(key), bare, least)
-        return (round(hit[0], 6), hit[2]) if hit else None
-
-    resolved = charts.resolve_fuzzy(lost, tracks)
-    got = {r["key"]: (round(r["match_score"], 6), r["track_id"]) for r in resolved.collect()}
-    for key in set(asked):
-        want = plain(key, 82)
-        assert (got.get(key) or (None,))[0] == (want or (None,))[0], key
-        if want and charts.folded(key) == key:
-            assert got[key] == want or key in bare
-    near = {r["key"]: r for r in charts.near_misses(lost, resolved, tracks).collect()}
-    assert set(near) == set(asked) - set(got)
-    for key, r in near.items():
-        want = plain(key, 40)
-        assert round(r["match_score"], 6) == (want[0] if want else 0.0)
-
-
-def test_fuzzy_blocks(spark, monkeypatch):
-    monkeypatch.setattr(charts, "BLOCK", 2)
-    tracks = spark.createDataFrame([(1, "halo", "beyonce")], "track_id long, title string, artist string")
-    lost = spark.createDataFrame([("beyoncé halo",), ("halo",), ("x",), ("beyonse halo",), ("y",)], "key string")
-    assert {r["key"] for r in charts.resolve_fuzzy(lost, tracks).collect()} == {"beyoncé halo", "halo", "beyonse halo"}
-
-
 def test_set_tempo_counts_like_a_loop(spark):
     rng = random.Random(8)
     bpms = [round(rng.uniform(60, 200), 3) for _ in range(300)] + [100.0, 108.0, 92.0, 3.0, 5000.0, 0.0]
