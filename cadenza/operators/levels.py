@@ -36,11 +36,20 @@ def one_pole(df: DataFrame, x: str, alpha: float, out: str = "smooth", group: st
     return own.join(carried, [group, "_block"]).withColumn(out, F.col("_own") + F.col("_carry") * F.pow(F.lit(alpha), at + 1)).drop("_block", "_own", "_carry")
 
 
+def nearby_least(samples: DataFrame, x: str, look: int, out: str, size: int = 1 << 14) -> DataFrame:
+    """The least ``x`` within ``look`` samples of each; a block of samples and a border of its neighbours' meet in a task."""
+    size = max(size, 2 * look)
+    block = F.expr(f"i div {size}")
+    dealt = F.array_compact(F.array(block, F.when(F.col("i") % size < look, block - 1), F.when(F.col("i") % size >= size - look, block + 1)))
+    w = Window.partitionBy("clip_id", "_b").orderBy("i").rowsBetween(-look, look)
+    near = samples.withColumn("_b", F.explode(dealt)).withColumn(out, F.min(x).over(w))
+    return near.filter(F.col("_b") == block).drop("_b")
+
+
 def limit(samples: DataFrame, ceiling: float, look: int, alpha: float) -> DataFrame:
-    """Peaks held below ``ceiling``: least gain within ``look`` samples, smoothed, never above what the sample needs."""
+    """Peaks held below ``ceiling``: least gain within ``look`` samples, smoothed, never above what the sample needs. ``i`` is dense from 0."""
     need = samples.withColumn("_need", F.coalesce(F.least(F.lit(1.0), ceiling / F.nullif(F.abs("v"), F.lit(0.0))), F.lit(1.0)))
-    w = Window.partitionBy("clip_id").orderBy("i").rowsBetween(-look, look)
-    smooth = one_pole(need.withColumn("_g", F.min("_need").over(w)), "_g", alpha, "_s")
+    smooth = one_pole(nearby_least(need, "_need", look, "_g"), "_g", alpha, "_s")
     v = F.col("v") * F.least("_s", "_need")
     return smooth.select("clip_id", "i", F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), v)).alias("v"))
 
