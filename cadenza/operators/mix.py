@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cadenza.config import DEFAULT
 from cadenza.operators import filters, levels, transitions
 from cadenza.operators.sound import target_gain
+from cadenza.operators.store import kept
 
 FADE_SECONDS = 0.05
 
@@ -79,7 +80,7 @@ def joined(clips: DataFrame, samples: DataFrame, rate: int, options: dict[str, d
     if build_bars:
         built = filters.filter_build(ready.select("join_id", "i", "bpm", F.col("gone").alias("v")), ["join_id"], rate, F.col("bpm"), build_bars)
         ready = ready.drop("gone").join(built.withColumnRenamed("v", "gone"), ["join_id", "i"])
-    return transitions.treated(ready, rate, options).select(f"join_id.{group}", "join_id.slot", "i", "gone", "come")
+    return transitions.treated(kept(ready), rate, options).select(f"join_id.{group}", "join_id.slot", "i", "gone", "come")
 
 
 def mixed(clips: DataFrame, audio: DataFrame, rate: int, target: float | None = DEFAULT.target_lufs, options: dict[str, dict] | None = None, build_bars: int = 0, group: str = "set_id") -> DataFrame:
@@ -87,8 +88,10 @@ def mixed(clips: DataFrame, audio: DataFrame, rate: int, target: float | None =
 
     ``clips`` from ``placed``. A clip is trimmed to ``target`` (None leaves it), the
     first one fades in; a join's treated sides take the place of both clips' own sound.
+    Clips, their samples and those of the joins are written to the shared folder.
     """
-    raw = taken(clips, audio, rate, group)
+    clips = kept(clips)
+    raw = kept(taken(clips, audio, rate, group))
     if target is not None:
         raw = raw.join(trims(raw, rate, target, group), [group, "slot"]).select(group, "slot", "i", (F.col("v") * F.col("gain")).alias("v"))
     at = clips.select(group, "slot", "first", "head", "keep", (F.row_number().over(Window.partitionBy(group).orderBy("slot")) == 1).alias("_opens"))
@@ -100,5 +103,5 @@ def mixed(clips: DataFrame, audio: DataFrame, rate: int, target: float | None =
 
 def mastered(mix: DataFrame, rate: int, target: float = DEFAULT.target_lufs, ceiling_db: float = DEFAULT.ceiling_db, group: str = "set_id") -> tuple[DataFrame, DataFrame]:
     """(samples, report) of the sets, as ``levels.mastered`` has them."""
-    done, report = levels.mastered(mix.select(F.col(group).alias("clip_id"), "i", "v"), rate, target, ceiling_db)
+    done, report = levels.mastered(kept(mix).select(F.col(group).alias("clip_id"), "i", "v"), rate, target, ceiling_db)
     return done.withColumnRenamed("clip_id", group), report.withColumnRenamed("clip_id", group)

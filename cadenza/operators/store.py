@@ -19,6 +19,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read back: what is used many times is made once, and survives lost executors."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def now() -> Column:
     """Seconds since 1970."""
     return F.unix_micros(F.current_timestamp()) / 1e6

@@ -65,7 +65,8 @@ def treated(samples: DataFrame, rate: float, options: dict[str, dict] | None = N
     named = samples.withColumn("name", known)
     gains = crossfade(F.col("i"), F.col("n"))
     out = None
-    for name, treat in TREATMENTS.items():
+    asked = {r["name"] for r in named.select("name").distinct().collect()}  # names of treatments only
+    for name, treat in [(n, t) for n, t in TREATMENTS.items() if n in asked or n == DEFAULT]:
         done = treat(named.filter(F.col("name") == name), rate, **OPTIONS[name] | (options or {}).get(name, {}))
         out = done if out is None else out.unionByName(done)
     return out.withColumn("_g", gains).select(*KEYS, "i", (F.col("gone") * F.col("_g.out")).alias("gone"), (F.col("come") * F.col("_g.into")).alias("come"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import music
-from cadenza.operators import analysis, matching, sets
+from cadenza.operators import analysis, create, matching, mix, sets
 from cadenza.plans import catalogue
 from cadenza.plans.registry import query, v
 from cadenza.sources import views
@@ -62,14 +62,14 @@ def counted_grid(bpm, duration):
     return sets.bar_grid(none, none, bpm, duration)
 
 
-def laid(spark, d):
+def laid(spark, d, minutes=MINUTES):
     t, s, c = catalogue.music_tables(spark, d)
     k = kept(spark, d).filter("fate = 'kept'").select("set_id", "track_id", "bpm", "tempo", "rate")
     order = matching.running_order(k.select("set_id", "track_id", "bpm"), matching.track_energy(s))
     joins = matching.plan_set(order, t, s, c)
     length = s.groupBy("track_id").agg(F.max("end").alias("duration"))
     rows = order.join(k, ["set_id", "track_id"]).join(length, "track_id").withColumn("grid", counted_grid(F.col("bpm"), F.col("duration")))
-    return sets.layout(rows, joins, sets.default_start(labelled(spark, d)), MINUTES)
+    return sets.layout(rows, joins, sets.default_start(labelled(spark, d)), minutes)
 
 
 def recursive(sql):
@@ -184,3 +184,73 @@ def pair_explanations(spark, d):
     """Why each pick scored what it did."""
     told = matching.explained(catalogue.picked(spark, d).withColumnRenamed("total", "match").withColumnRenamed("energy", "energy_match"))
     return told.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), F.col("reasons")[0].alias("move"), F.col("reasons")[1].alias("tempo_reason"), F.col("reasons")[2].alias("key_reason"), "share_tempo", "share_key", "share_energy")
+
+
+#: Samples a second of the sets that are rendered, and their minutes.
+RATE, SHORT = 16, 10.0
+
+
+def set_audio(spark, d):
+    """Each section's sound is its embedding, again and again, a sample each sixteenth of a second."""
+    s = views.sections(spark, d).withColumns({"first": F.ceil(F.col("start") * RATE).cast("long"), "until": F.ceil(F.col("end") * RATE).cast("long")}).filter("until > first")
+    e = views.table(spark, d, "embeddings").select("vec_id", "embedding")
+    x = F.transform(F.sequence(F.lit(0).cast("long"), F.col("until") - F.col("first") - 1), lambda i: F.get("embedding", (i % F.size("embedding")).cast("int")).cast("double"))
+    return s.join(e, "vec_id").select("track_id", "first", x.alias("x"))
+
+
+PLACED = LAID.replace("30.0 * 60", f"{SHORT} * 60") + f""", g0 AS (SELECT *, floor(round(seconds, 9) * {RATE})::BIGINT AS n, floor(round(overlap, 9) * {RATE})::BIGINT AS m FROM laid),
+g1 AS (SELECT *, CASE WHEN lag(slot) OVER w IS NULL THEN 0 ELSE least(m, n) END AS wish FROM g0 WHERE n > 0 WINDOW w AS (PARTITION BY set_id ORDER BY slot)),
+g2 AS (SELECT *, greatest(0, least(wish, coalesce(lag(n - wish) OVER w, 0))) AS head FROM g1 WINDOW w AS (PARTITION BY set_id ORDER BY slot)),
+g3 AS (SELECT *, coalesce(lag(n) OVER w - head, 0) AS step, n - coalesce(lead(head) OVER w, 0) AS keep FROM g2 WINDOW w AS (PARTITION BY set_id ORDER BY slot))"""
+
+
+def mix_clips(spark, d):
+    rows = laid(spark, d, SHORT).withColumns({"seconds": F.round("seconds", 9), "overlap": F.round("overlap", 9)})
+    return mix.placed(rows, RATE)
+
+
+@query(recursive(v(f", {PLACED} SELECT set_id, slot, track_id, sum(step) OVER (PARTITION BY set_id ORDER BY slot)::BIGINT AS first, n, head::BIGINT AS head, keep::BIGINT AS keep FROM g3")))
+def set_mix_clips(spark, d):
+    """Where each clip of each set begins and ends in samples, and what it shares with the one before."""
+    return mix_clips(spark, d).select("set_id", "slot", "track_id", "first", "n", "head", "keep")
+
+
+def set_mixes(spark, d):
+    return mix.mixed(mix_clips(spark, d), set_audio(spark, d), RATE, options={"bass_swap": {"crossover_hz": 2.0}})
+
+
+@query()
+def set_mix(spark, d):
+    """Every set as samples: cut, trimmed, joined, summed, mastered."""
+    return mix.mastered(set_mixes(spark, d), RATE)[0].select("set_id", "i", F.round("v", 9).alias("v"))
+
+
+@query()
+def set_mix_report(spark, d):
+    """What the master of every set did."""
+    return mix.mastered(set_mixes(spark, d), RATE)[1]
+
+
+#: The create flow: the tracks that a sample of the charts resolves to are one set.
+CREATED = f"""{catalogue.MERGED}, {catalogue.LIB}, hits AS (SELECT * FROM (SELECT merged.*, lib.track_id, row_number() OVER (PARTITION BY lib.track_id ORDER BY merged.rank, key) AS k FROM merged JOIN lib USING (key)) WHERE k = 1),
+draws AS (SELECT key, region, score, track_id, round(ln((('0x' || substr(md5('7:' || key), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / greatest(score, 1e-6), 6) AS draw FROM hits),
+cut_ AS (SELECT track_id, region, row_number() OVER (PARTITION BY region ORDER BY draw DESC, key) AS k FROM draws),
+h AS (SELECT count(*) FILTER (region = 'IL') AS il, count(*) FILTER (region = 'global') AS gl FROM hits),
+w0 AS (SELECT least(il, round_even(16 * 0.7, 0)::INT) AS wi, least(gl, 16 - least(il, round_even(16 * 0.7, 0)::INT)) AS wg, il, gl FROM h),
+w1 AS (SELECT CASE WHEN il > wi THEN least(il, wi + 16 - wi - wg) ELSE wi END AS ti, CASE WHEN il > wi OR gl <= wg THEN wg ELSE least(gl, wg + 16 - wi - wg) END AS tg FROM w0),
+picked AS (SELECT track_id AS pt FROM cut_, w1 WHERE k <= CASE WHEN region = 'IL' THEN ti ELSE tg END)"""
+ONE_SET = LAID.replace("(track_id - 1) // 20 AS set_id, bpm, CASE", "0 AS set_id, bpm, CASE").replace("AS f FROM tracks)", "AS f FROM tracks JOIN picked ON pt = track_id)").replace("(track_id - 1) // 20 AS set_id, list(", "0 AS set_id, list(").replace("scored AS", "scored_ AS")
+
+
+def created(spark, d):
+    t, s, c = catalogue.music_tables(spark, d)
+    length = s.groupBy("track_id").agg(F.max("end").alias("duration"))
+    grids = t.select("track_id", "bpm").join(length, "track_id").select("track_id", counted_grid(F.col("bpm"), F.col("duration")).alias("grid"), "duration")
+    return create.create_set(views.charts(spark, d), t, s, c, grids, MINUTES, 8)
+
+
+@query(recursive(v(f", {CREATED}, {ONE_SET} SELECT slot, track_id, round(start, 4) AS start, round(seconds, 4) AS seconds, round(overlap, 4) AS overlap, round(rate, 6) AS rate, shift, bars::INT AS bars FROM laid")))
+def create_set(spark, d):
+    """From the charts to the clips of one set."""
+    rounded = [F.round(x, 4).alias(x) for x in ("start", "seconds", "overlap")]
+    return created(spark, d)["clips"].select("slot", "track_id", *rounded, F.round("rate", 6).alias("rate"), "shift", "bars")
