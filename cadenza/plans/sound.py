@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import music
-from cadenza.operators import analysis, levels, matching, sound
+from cadenza.operators import analysis, levels, matching, sound, spectra
 from cadenza.plans.registry import query, v
 from cadenza.sources import views, wav
 from cadenza.streaming import jobs
@@ -148,3 +148,28 @@ def rendered_clips(spark, d):
     s = views.samples(spark, d)
     clips = s.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).withColumns({"fade_in": F.lit(8), "fade_out": F.lit(16), "gain_db": (F.col("clip_id") % 7 - 3).cast("double")})
     return sound.rendered(s, clips).select("clip_id", "i", (F.round("v", 9) + 0.0).alias("v"))
+
+
+@query(v(""", f AS (SELECT clip_id, unnest(range(count(*) // 4 + 1)) AS k FROM samples GROUP BY 1), b AS (SELECT unnest(range(3)) AS b),
+t AS (SELECT f.clip_id, k, b, sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (i - k * 4 + 8) / 16)) * cos(2 * pi() * b * (i - k * 4 + 8) / 16)) AS re, sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (i - k * 4 + 8) / 16)) * sin(2 * pi() * b * (i - k * 4 + 8) / 16)) AS im
+  FROM f JOIN samples s ON s.clip_id = f.clip_id AND i >= k * 4 - 8 AND i < k * 4 + 8, b GROUP BY ALL)
+SELECT clip_id, k, round(sum(sqrt(re * re + im * im)), 6) AS energy FROM t GROUP BY 1, 2"""))
+def low_band_energy(spark, d):
+    """Magnitudes of the lowest three bins of frames of sixteen samples."""
+    return spectra.band_energy(views.samples(spark, d), 64.0, 4, 16, 0.0, 8.0).select("clip_id", "k", F.round("energy", 6).alias("energy"))
+
+
+def resampled_sql(a: int, b: int, zeros: int) -> str:
+    step, scale = f"({a}.0::DOUBLE / {b})", min(1.0, b / a)
+    half = -(-zeros * max(a, b) // b)
+    x = f"(m * {step} - floor(m * {step}) - o)"
+    weight = f"CASE WHEN {x} = 0 THEN 1.0::DOUBLE ELSE sin(pi() * {scale!r}::DOUBLE * {x}) / (pi() * {scale!r}::DOUBLE * {x}) END * (0.42::DOUBLE + 0.5::DOUBLE * cos(pi() * greatest(-1, least(1, {x} / {half}))) + 0.08::DOUBLE * cos(2 * pi() * greatest(-1, least(1, {x} / {half}))))"
+    return f""", c AS (SELECT clip_id, count(*) AS n FROM samples GROUP BY 1), m AS (SELECT clip_id, unnest(range(ceil(n * {b} / {a}.0::DOUBLE)::BIGINT)) AS m FROM c), o AS (SELECT unnest(range(-{half}, {half} + 1)) AS o),
+w AS (SELECT clip_id, m, floor(m * {step})::BIGINT + o AS i, {weight} AS w FROM m, o)
+SELECT clip_id, m AS i, round(sum(coalesce(v, 0) * w) / sum(w), 6) + 0.0::DOUBLE AS v FROM w LEFT JOIN samples USING (clip_id, i) GROUP BY 1, 2"""
+
+
+@query(v(resampled_sql(3, 2, 8)))
+def resampled_clips(spark, d):
+    """Clips at two thirds of their rate."""
+    return spectra.resampled(views.samples(spark, d), 48_000, 32_000, 8).select("clip_id", "i", (F.round("v", 6) + 0.0).alias("v"))
