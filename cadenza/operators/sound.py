@@ -32,7 +32,8 @@ def decoded(files: DataFrame, mono: bool = False) -> DataFrame:
                 if source.getsampwidth() != 2:
                     continue
                 while raw := source.readframes(FRAMES_A_BATCH):
-                    x = np.frombuffer(raw, "<i2").reshape(-1, channels) / 32767.0
+                    # A file that was cut off may end within a frame.
+                    x = np.frombuffer(raw[: len(raw) // (2 * channels) * 2 * channels], "<i2").reshape(-1, channels) / 32767.0
                     x = x.mean(axis=1, keepdims=True) if mono else x
                     frames = np.repeat(np.arange(at, at + len(x)), x.shape[1])
                     yield pd.DataFrame({"path": path, "rate": rate, "ch": np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)), "i": frames, "v": x.ravel()})
