@@ -286,10 +286,11 @@ def plan_set(spark, d):
     return got.select("set_id", "slot", F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), F.coalesce("intent", F.lit("")).alias("intent"), F.coalesce("a_idx", F.lit(-1)).alias("a_idx"), F.coalesce("b_idx", F.lit(-1)).alias("b_idx"), F.coalesce(F.round("total", 6), F.lit(0.0)).alias("score"), "hard_cut")
 
 
-@query("SELECT i, n, round(CASE WHEN n <= 1 THEN 0.6 WHEN i / (n - 1)::DOUBLE <= 0.75 THEN 0.45 + i / (n - 1)::DOUBLE / 0.75 * 0.5 ELSE 0.95 - (i / (n - 1)::DOUBLE - 0.75) / 0.25 * 0.35 END, 6) AS target FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT unnest(range(1, 17)) AS n))")
+@query("SELECT id, i, n, round(CASE WHEN n <= 1 THEN 0.6 WHEN i / (n - 1)::DOUBLE <= 0.75 THEN 0.45 + i / (n - 1)::DOUBLE / 0.75 * 0.5 ELSE 0.95 - (i / (n - 1)::DOUBLE - 0.75) / 0.25 * 0.35 END, 6) AS target FROM (SELECT o_orderkey AS id, o_custkey % 16 + 1 AS n, o_orderkey % (o_custkey % 16 + 1) AS i FROM orders)")
 def energy_arc(spark, d):
-    n = spark.range(1, 17).select(F.col("id").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return n.select("i", "n", F.round(music.arc(F.col("i").cast("double"), F.col("n").cast("double")), 6).alias("target"))
+    """Where the arc stands at a place of each set of one to sixteen tracks."""
+    n = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 16 + 1).alias("n")).withColumn("i", F.col("id") % F.col("n"))
+    return n.select("id", "i", "n", F.round(music.arc(F.col("i").cast("double"), F.col("n").cast("double")), 6).alias("target"))
 
 
 @query(v("SELECT track_id, phase, accent FROM (SELECT track_id, i % 4 AS phase, round(avg(accent), 9) AS accent, row_number() OVER (PARTITION BY track_id ORDER BY round(avg(accent), 9) DESC, i % 4) AS n FROM beats GROUP BY track_id, i % 4) WHERE n = 1"))
