@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cadenza.functions import text
+from cadenza.operators.store import kept
 
 # Names of the pitch classes.
 PITCH_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
@@ -43,20 +44,22 @@ def listing(tracks: DataFrame, analyses: DataFrame, version: int) -> DataFrame:
     return tracks.join(now, "file_hash", "left").withColumn("analyzed", F.coalesce("_there", F.lit(False))).drop("_there")
 
 
-def placed(df: DataFrame, first: str, rest: list[Column], out: str = "place") -> DataFrame:
-    """``out``: the place from 1 in the order of ``first``, then ``rest``, without one task for all rows.
+def placed(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """``out``: the place from 1 in ``order``, without one task for all rows.
 
-    A group is the rows of one ``first``; groups are counted and summed in two
-    levels, by their first two characters and inside these.
+    Rows go to ranges between sampled bounds, are sorted there and numbered; a
+    range begins after the rows of those before it. The ranges are written
+    once, so counts and places are of the same ones. ``order`` should end in a
+    key of the rows: then any number of rows may share its first columns, while
+    rows that are equal in all of it lie in one range.
     """
-    head = F.substring(first, 1, 2)
-    counts = df.groupBy(F.col(first), head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-    until = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = counts.groupBy("_head").agg(F.sum("_n").alias("_n"))
-    base = heads.withColumn("_base", until(Window.orderBy("_head"))).drop("_n")
-    offsets = counts.withColumn("_own", until(Window.partitionBy("_head").orderBy(first))).join(base, "_head").select(first, (F.col("_base") + F.col("_own")).alias("_offset"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    return df.join(offsets, first).withColumn(out, F.col("_offset") + own).drop("_offset")
+    row = (1 << 33) - 1
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    spread = ranged.withColumn("_range", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a range.
+    offsets = spread.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))
+    return spread.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit(row)) + 1).drop("_at", "_range", "_before")
 
 
 def provider_report(attempts: DataFrame, charts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from cadenza.functions import music, text
-from cadenza.operators import analysis, charts, fuzzy, joins, library, store
+from cadenza.operators import analysis, charts, fuzzy, joins, keyed, library, store
 from cadenza.plans.registry import query, v
 from cadenza.sources import views
 
@@ -116,23 +116,36 @@ def upsert_override(spark, d):
     return library.upsert_keeping(o, ["file_hash"], ["at", "seq"], ["created"], ["pitch_class"])
 
 
+@query("""WITH last AS (SELECT o_custkey AS id, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS seq, max(o_orderdate)::DATE::VARCHAR AS day FROM orders GROUP BY 1)
+SELECT id, seq, day FROM last WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def keyed_writes(spark, d):
+    """Orders written by their status, one write after another, into a keyed table; customers in debt are deleted last."""
+    o = views.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("date").cast("string").alias("day"), F.col("o_orderdate").cast("string").alias("at"), F.col("o_orderstatus").alias("_status"))
+    path = store.shared_path(spark)
+    rows = o.drop("_status")
+    for part in (F.col("_status") == "F", F.col("_status") == "O", ~F.col("_status").isin("F", "O")):
+        keyed.merge(path, o.filter(F.coalesce(part, F.lit(False))).drop("_status"), ["id"], ["at", "seq"], buckets=16)
+    debt = views.table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("day"), F.lit("9999").alias("at"))
+    keyed.merge(path, debt, ["id"], ["at", "seq"], gone=True)
+    return keyed.state(spark, path, rows.schema).select("id", "seq", "day")
+
+
 @query("SELECT o_orderkey AS mix_id, row_number() OVER (ORDER BY o_orderdate::DATE DESC, o_orderkey) AS place FROM orders")
 def mix_history(spark, d):
-    """Newest first; days are numbered so that the newest comes first as text."""
-    days = F.lpad(F.datediff(F.lit("2100-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("string"), 6, "0")
-    o = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("mix_id"), F.reverse(days).alias("_r"), days.alias("day"))
-    return library.placed(o, "day", [F.col("mix_id")]).select("mix_id", "place")
+    """Newest first."""
+    o = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("mix_id"), F.col("o_orderdate").cast("date").alias("day"))
+    return library.placed(o, [F.desc("day"), F.col("mix_id")]).select("mix_id", "place")
 
 
 @query(v("SELECT track_id, row_number() OVER (ORDER BY artist, title, track_id) AS place FROM tracks"), name="list_tracks")
 def list_tracks(spark, d):
-    return library.placed(views.tracks(spark, d), "artist", [F.col("title"), F.col("track_id")]).select("track_id", "place")
+    return library.placed(views.tracks(spark, d), [F.col("artist"), F.col("title"), F.col("track_id")]).select("track_id", "place")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events")
 def jobs_newest_first(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return views.table(spark, d, "events").select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    """All jobs' events, whoever's they are."""
+    return library.placed(views.table(spark, d, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")]).select("event_id", "place")
 
 
 KIND_SQL = "CASE WHEN s LIKE '%riser%' THEN 'riser' WHEN s LIKE '%impact%' THEN 'impact' WHEN s LIKE '%airhorn%' THEN 'airhorn' WHEN s LIKE '%shout%' THEN 'shout' WHEN s LIKE '%sweep%' THEN 'sweep' WHEN s LIKE '%build%' OR s LIKE '%up%' THEN 'riser' WHEN s LIKE '%hit%' OR s LIKE '%boom%' THEN 'impact' WHEN s LIKE '%downlifter%' THEN 'sweep' WHEN s LIKE '%horn%' THEN 'airhorn' WHEN s LIKE '%vox%' OR s LIKE '%voice%' THEN 'shout' END"

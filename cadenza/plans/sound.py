@@ -8,7 +8,7 @@ from cadenza.functions import music
 from cadenza.operators import analysis, levels, matching, sound, spectra
 from cadenza.plans.registry import query, v
 from cadenza.sources import views, wav
-from cadenza.streaming import jobs
+from cadenza.streaming import jobs, tail
 
 
 @query(v("SELECT clip_id, round(max(abs(v)), 9) AS peak, round(20 * log10(max(abs(v))), 6) AS peak_db FROM samples GROUP BY 1"))
@@ -93,6 +93,17 @@ def event_frames(spark, d):
     return frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("frames"), F.bool_and("ok").alias("framed"))
 
 
+@query("""WITH e AS (SELECT user_id AS job_id, event_type AS stage, greatest(0.0, least(1.0, value / 500)) AS progress, row_number() OVER w AS n, coalesce(bool_or(event_type IN ('purchase', 'error', 'cancel')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT job_id, n, stage, round(progress, 6) AS progress FROM e WHERE NOT ended""")
+def followed_jobs(spark, d):
+    """What one who follows all jobs is sent, each up to its end."""
+    e = views.table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    sent = jobs.run_through(tail.frames(stream, None), "append")
+    told = F.from_json(F.regexp_extract("frame", r"(?s)^data: (.*)\n\n$", 1), "stage string, progress double")
+    return sent.select("job_id", "n", told.alias("t")).select("job_id", "n", "t.stage", F.round("t.progress", 6).alias("progress"))
+
+
 @query("SELECT user_id AS job_id, CASE WHEN status = 'done' THEN 'r' || user_id ELSE '' END AS result, progress FROM (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, round(round(greatest(0, least(1, value / 500)), 6), 4) AS progress, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def shown_jobs(spark, d):
     """A job's result shows once it is done."""
@@ -117,14 +128,16 @@ def bar_phase(spark, d):
     return analysis.downbeats(analysis.accents(b, {"onset": 1.0, "low": 1.0, "change": 2.0}))
 
 
-@query(v(""", fr AS (SELECT track_id, start AS t, chroma FROM sections JOIN chroma USING (vec_id) WHERE start < 400), se AS (SELECT track_id, k AS idx, k * 90.0::DOUBLE AS lo, (k + 1) * 90.0::DOUBLE AS hi FROM (SELECT DISTINCT track_id FROM sections), (SELECT unnest(range(6)) AS k)),
-lg AS (SELECT se.track_id, idx, unnest(range(12)) AS p, unnest(chroma) AS c FROM se JOIN fr ON fr.track_id = se.track_id AND t >= lo AND t < hi), m AS (SELECT track_id, idx, p, avg(c) AS c FROM lg GROUP BY ALL), n AS (SELECT track_id, idx, p, c / sum(c) OVER (PARTITION BY track_id, idx) AS c FROM m)
-SELECT se.track_id, se.idx, p.p AS pitch, round(coalesce(n.c, 1 / 12.0::DOUBLE), 6) AS share FROM se CROSS JOIN (SELECT unnest(range(12)) AS p) p LEFT JOIN n ON n.track_id = se.track_id AND n.idx = se.idx AND n.p = p.p"""))
+@query(v(""", fr AS (SELECT track_id, floor(start / 90)::BIGINT AS idx, chroma FROM sections JOIN chroma USING (vec_id)), se AS (SELECT track_id, unnest(range(floor(max(start) / 90)::BIGINT + 2)) AS idx FROM sections GROUP BY 1),
+lg AS (SELECT track_id, idx, unnest(range(12)) AS pitch, unnest(chroma) AS c FROM fr), m AS (SELECT track_id, idx, pitch, avg(c) AS c FROM lg GROUP BY ALL), n AS (SELECT track_id, idx, pitch, c / sum(c) OVER (PARTITION BY track_id, idx) AS c FROM m),
+al AS (SELECT track_id, idx, unnest(range(12)) AS pitch FROM se)
+SELECT track_id, idx, pitch, round(coalesce(n.c, 1 / 12.0::DOUBLE), 6) AS share FROM al LEFT JOIN n USING (track_id, idx, pitch)"""))
 def section_chroma_means(spark, d):
-    """Mean chroma of each ninety seconds of a track; the last ones have no frames."""
-    frames = views.sections(spark, d).join(views.chroma(spark, d), "vec_id").filter("start < 400").select("track_id", F.col("start").alias("t"), "chroma")
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
-    spans = views.sections(spark, d).select("track_id").distinct().withColumn("idx", k).withColumns({"start": F.col("idx") * 90.0, "end": (F.col("idx") + 1) * 90.0})
+    """Mean chroma of each ninety seconds of a track, to its end; the last ones have no frames."""
+    s = views.sections(spark, d)
+    frames = s.join(views.chroma(spark, d), "vec_id").select("track_id", F.col("start").alias("t"), "chroma")
+    last = F.floor(F.max("start") / 90).cast("long") + 1
+    spans = s.groupBy("track_id").agg(F.sequence(F.lit(0).cast("long"), last).alias("k")).select("track_id", F.explode("k").alias("idx")).withColumns({"start": F.col("idx") * 90.0, "end": (F.col("idx") + 1) * 90.0})
     got = analysis.mean_chroma(spans, frames, 90.0)
     return got.select("track_id", "idx", F.posexplode("chroma").alias("pitch", "v")).select("track_id", "idx", F.col("pitch").cast("long").alias("pitch"), F.round("v", 6).alias("share"))
 

@@ -129,10 +129,28 @@ def test_stems_and_rows(spark):
 
 def test_places_without_one_task(spark):
     rng = random.Random(1)
-    rows = [(i, rng.choice(["ab", "abc", "b", "", "aa", "z"]), rng.randint(0, 9)) for i in range(200)]
+    rows = [(i, rng.choice(["ab", "abc", "b", "", "aa", "z", None]), rng.randint(0, 9)) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, g string, x int").repartition(6)
-    got = {r["id"]: r["place"] for r in library.placed(df, "g", [F.col("x"), F.col("id")]).collect()}
-    assert [i for i, _ in sorted(got.items(), key=lambda kv: kv[1])] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[2], r[0]))]
+    got = {r["id"]: r["place"] for r in library.placed(df, [F.col("g"), F.desc("x"), F.col("id")]).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda kv: kv[1])] == [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", -r[2], r[0]))]
+    assert sorted(got.values()) == list(range(1, 201)) and library.placed(df.limit(0), [F.col("id")]).count() == 0
+
+
+@pytest.mark.parametrize("keys", ["prefix", "one"])
+def test_places_of_hot_keys_are_spread(spark, keys, monkeypatch):
+    from cadenza.operators import store
+
+    n, written = 40_000, []
+    monkeypatch.setattr(library, "kept", lambda df: written.append(store.kept(df)) or written[-1])
+    g = F.concat(F.lit("Brand"), F.col("id") % 977) if keys == "prefix" else F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = library.placed(spark.range(n).select("id", g.alias("g")), [F.col("g"), F.col("id")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    assert df.select(F.countDistinct("place").alias("d"), F.min("place").alias("a"), F.max("place").alias("b")).first()[:] == (n, 1, n)
 
 
 def test_routes(spark):
