@@ -43,6 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before them until none is a column already; case tells no columns apart."""
+    held = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounded Arrow batches; every operator sets the same, so the order of building plans does not matter."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cadenza.llm.common import released, small_batches
 
 BUCKETS = 1 << 13
-#: Labelled texts of one language that a fit may read, about; the commonest languages that it learns, at most.
-SAMPLE, MOST_LANGS = 1_000, 64
+#: Labelled texts of one language that a fit may read, about.
+SAMPLE = 1_000
 #: Families of common languages; any other language is a family by itself.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -146,21 +146,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``doc_id, text, lang`` rows; rows without a language, or a letter in the text, teach nothing.
 
     About ``sample`` rows a language are read, those with the smallest hashes
-    of their id and text, for the ``MOST_LANGS`` commonest languages. With one
+    of their id and text. Every language with a text is learned; machines grow
+    with the square of the families' number, 32 KB of weights each. With one
     language there is nothing to tell apart.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    counts = {r["lang"]: r["n"] for r in common.collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     langs = sorted(counts)
     names = machines(langs)
     if not names:
         return Model(langs, [], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])[F.col("lang")]
     chosen = rows.filter(unit < share).select("text", "lang")
 
     def roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

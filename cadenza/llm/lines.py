@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import spare, stored
 
 NOISE, GUARANTEE = 25, 50
 
@@ -99,11 +99,12 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE)
     repeated row loses no line to its copy. Ties of hashes go to the smaller
     document and line. Columns named like those added are replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "key", "dropped")])
-    gone = repeated_runs(docs, noise, guarantee)
-    keyed = docs.withColumn("key", F.unhex(F.md5("text"))).join(gone, ["doc_id", "key"], "left")
-    told = keyed.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0))})
-    done = told.withColumn("text", F.when(F.col("n_dropped") > 0, without("text", "dropped")).otherwise(F.col("text")))
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
+    key, dropped = spare(docs.columns, "key", "dropped")
+    gone = repeated_runs(docs, noise, guarantee).withColumnsRenamed({"key": key, "dropped": dropped})
+    keyed = docs.withColumn(key, F.unhex(F.md5("text"))).join(gone, ["doc_id", key], "left")
+    told = keyed.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_dropped": F.coalesce(F.size(dropped), F.lit(0))})
+    done = told.withColumn("text", F.when(F.col("n_dropped") > 0, without("text", dropped)).otherwise(F.col("text")))
     return done.select(*docs.columns, F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
 

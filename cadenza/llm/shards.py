@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cadenza.llm.common import running_offsets, small_batches
+from cadenza.llm.common import running_offsets, small_batches, spare
 
 BUCKET_BYTES, SHARDS, SEED = 8 << 20, 8, 20_260_101
 
@@ -30,26 +30,26 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     Columns named like those added are replaced.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("shard", "slot", "_bucket", "_key", "_first")]
-    docs = docs.select(*keep)
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    own, bucket, first = spare(docs.columns, "_key", "_bucket", "_first")
     totals = docs.agg(F.sum(size_of()).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     n_rows, n_buckets = totals["n"], max(1, -(-(totals["bytes"] or 0) // bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    scattered = docs.withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(n_buckets)))
-    offsets = running_offsets(scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "_bucket")
+    scattered = docs.withColumn(own, key).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), own), F.lit(n_buckets)))
+    offsets = running_offsets(scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), bucket)
     edges = np.array([n_rows * k // shards for k in range(shards + 1)])
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
-    def fisher_yates(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("_key", kind="stable")
-        order = np.random.default_rng([seed, int(bucket["_bucket"].iloc[0])]).permutation(len(bucket))
-        mixed = bucket.iloc[order]
-        place = int(bucket["_first"].iloc[0]) + np.arange(len(mixed))
+    def fisher_yates(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(own, kind="stable")
+        order = np.random.default_rng([seed, int(held[bucket].iloc[0])]).permutation(len(held))
+        mixed = held.iloc[order]
+        place = int(held[first].iloc[0]) + np.arange(len(mixed))
         shard = np.searchsorted(edges, place, side="right") - 1
-        return mixed.drop(columns=["_key", "_bucket", "_first"]).assign(shard=shard, slot=place - edges[shard])
+        return mixed.drop(columns=[own, bucket, first]).assign(shard=shard, slot=place - edges[shard])
 
-    placed = scattered.join(offsets.withColumnRenamed("offset", "_first"), "_bucket")
-    return placed.groupBy("_bucket").applyInPandas(fisher_yates, schema)
+    placed = scattered.join(offsets.withColumnRenamed("offset", first), bucket)
+    return placed.groupBy(bucket).applyInPandas(fisher_yates, schema)
 
 
 def write(shuffled: DataFrame, path: str) -> None:

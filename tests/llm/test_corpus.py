@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -186,6 +187,54 @@ def test_language_of_letterless_labels(spark):
     assert {r["lang_pred"] for r in got} == {*LANGS, "und"} and sum(r["lang_pred"] == "und" for r in got) == 30
 
 
+def test_more_languages_than_families_know(spark):
+    # Seventy languages, each of words from its own few letters.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(70)
+    own = {f"q{i:02d}": rng.sample(letters, 4) for i in range(70)}
+    word = lambda lang: "".join(rng.choice(own[lang]) for _ in range(5))
+    data = [(None, " ".join(word(x) for _ in range(40)), x, None, None) for x in own for _ in range(4)]
+    df = spark.createDataFrame(data, DOCS)
+    got = language.predict(df, language.fit(df)).select("lang", "lang_pred").collect()
+    assert {r["lang_pred"] for r in got} == set(own) and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+
+
+def test_votes_and_scores_like_loops(docs):
+    model = language.fit(docs.filter("doc_id < 160"))
+    # Machines of one level and of two: a family of one language, and one of two.
+    assert {m[0] for m in model.names} == {"", "germanic", "romance"}
+    texts = [r[1] for r in rows()]
+    langs, scores = model.predict(texts)
+
+    def margin(j, text):
+        # A text stands between two blanks before it and four after it.
+        data = b"  " + text.lower().encode().translate(language.BLANK) + b"    "
+        total = 0.0
+        for k in range(len(data) - 2):
+            h = (data[k] * 0x9E3779B1 ^ data[k + 1] * 0x85EBCA77 ^ data[k + 2] * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 19
+            total += float(model.weights[j][h])
+        return total / (len(data) - 2) + model.biases[j]
+
+    def level(text, at, classes):
+        chances = {(a, b): 1 / (1 + math.exp(-max(-50, min(50, 2 * margin(j, text))))) for j, (x, a, b) in enumerate(model.names) if x == at}
+        votes, sure = dict.fromkeys(classes, 0.0), dict.fromkeys(classes, 1.0)
+        for (a, b), p in chances.items():
+            for one, q, won in ((a, p, p >= 0.5), (b, 1 - p, p < 0.5)):
+                votes[one] += won + q / 1000
+                sure[one] = min(sure[one], q)
+        best = max(classes, key=lambda c: votes[c])
+        return best, sure[best]
+
+    for text, lang, score in list(zip(texts, langs, scores, strict=True))[::7] + [(t, x, s) for t, x, s in zip(texts, langs, scores, strict=True) if not t or len(t) < 20]:
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0)
+            continue
+        top, first = level(text, "", sorted({language.family(x) for x in model.langs}))
+        best, second = level(text, top, sorted(x for x in model.langs if language.family(x) == top))
+        assert lang == best and score == pytest.approx(first * second, abs=1e-4)
+
+
 def test_machine_reaches_the_optimum():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 12)) * (rng.random((60, 12)) < 0.5)
@@ -377,6 +426,20 @@ def test_lines(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_helper_columns_do_not_clash(docs):
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("key", "Dropped", "_key", "_bucket", "_first", "__key", "c", "i", "g", "pos")})
+    names = [c for c in odd.columns if c not in ("n_lines", "shard")]
+    got = lines.dedup_lines(odd)
+    plain = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in lines.dedup_lines(docs.select("doc_id", "text")).collect()}
+    rows_ = got.collect()
+    assert set(names) < set(got.columns) and all(r[c] == f"{c}{r['doc_id']}" for r in rows_ for c in ("key", "Dropped", "_key", "c"))
+    assert {r["doc_id"]: (r["n_dropped"], r["text"]) for r in rows_} == plain
+    mixed = shards.shuffle(odd, bucket_bytes=4000)
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in mixed.collect() for c in ("key", "Dropped", "_key", "_bucket", "_first", "__key"))
+    place = lambda df: sorted(map(str, df.select("doc_id", "shard", "slot").collect()))
+    assert place(mixed) == place(shards.shuffle(docs.select("doc_id", "text"), bucket_bytes=4000))
+
+
 def test_lines_of_a_longer_earlier_run(spark):
     # The first document holds only the middle of a passage that the second one has whole.
     said = [" ".join(f"p{i}x{j}" for j in range(10)) for i in range(6)]
