@@ -69,34 +69,63 @@ def mashup_pick(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma
 # How ratios, steps on the wheel and terms are put in words.
 RATIOS = ((1.0, "same tempo"), (2.0, "double-time"), (0.5, "half-time"), (1.5, "3:2 polyrhythm"), (2 / 3, "2:3 polyrhythm"))
 STEPS = ((0, "same key"), (1, "harmonically compatible"))
-FAR, SHIFTED = "%d steps apart on the wheel", ", shift %+d semitone%s"
-TEMPO_SAID, CHROMA_SAID, ENERGY_SAID = "tempo: %s, stretch %+.1f%%", "chroma similarity %.2f at %+d semitones", "energy match %+.2f"
-TOO_LOW = "score %.3f below minimum %.2f"
+FAR, SHIFTED, UNSURE = "%d steps apart on the wheel", ", shift %+d semitone%s", " (low key confidence, de-weighted)"
+MOVE_SAID = "%s -> %s"
+TEMPO_SAID = "tempo: %s, stretch %+.1f%% to %.1f BPM (score %.2f, contributes %.3f)"
+KEY_SAID = "key: %s vs %s -> %s, %s (score %.2f, contributes %.3f)"
+CHROMA_SAID = "chroma similarity %.2f at %+d semitones (contributes %.3f)"
+ENERGY_SAID = "energy %s %+.2f (score %.2f, contributes %.3f)"
+TOO_LOW, TOO_FAR = "score %.3f below minimum %.2f", "tempo incompatible: %.1f vs %.1f BPM exceeds +/-%.0f%% at every metrical level tried"
+REJECTED = "REJECTED: %s"
 
 
-def explained(pairs: DataFrame, tuning: Tuning = DEFAULT) -> DataFrame:
-    """``pairs`` with each term's share of ``match`` and the sentences that say why.
+def explained(pairs: DataFrame, tracks: DataFrame, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
+    """``pairs`` with each term's share of ``intent``, ``rejected`` and the sentences (``reasons``) that say why.
 
-    ``pairs`` come from ``section_pairs`` with both tracks' ``label`` and ``bpm``.
+    ``pairs`` come from ``section_pairs`` with both sections' ``label``. A pair
+    below the least score is told as rejected in a last sentence.
     """
     w = tuning.weights.normalized()
     c = F.col
+    scores = {"tempo": c("tempo"), "key": c("key"), "chroma": c("chroma"), "energy": c(f"energy_{intent}")}
+    part = {x: getattr(w, x) * score for x, score in scores.items()}
     ratio, steps = F.lit(RATIOS[0][1]), F.format_string(FAR, "distance")
     for value, said in RATIOS[1:]:
         ratio = F.when(F.abs(c("ratio") - value) < 1e-9, said).otherwise(ratio)
     for value, said in STEPS:
         steps = F.when(c("distance") == value, said).otherwise(steps)
     shifted = F.when(c("shift") == 0, "").otherwise(F.format_string(SHIFTED, "shift", F.when(F.abs("shift") == 1, "").otherwise("s")))
-    shares = {f"share_{x}": F.round(getattr(w, x) * c("energy_match" if x == "energy" else x), 4) for x in ("tempo", "key", "chroma", "energy")}
-    reasons = F.array(
-        F.concat_ws(" -> ", "a_label", "b_label"),
-        F.format_string(TEMPO_SAID, ratio, (c("stretch") - 1) * 100),
-        F.concat(F.lit("key: "), steps, shifted),
-        F.format_string(CHROMA_SAID, "chroma", "shift"),
-        F.format_string(ENERGY_SAID, c("b_energy") - c("a_energy")),
-    )
-    low = F.when(F.col("match") < tuning.min_score, F.format_string(TOO_LOW, "match", F.lit(tuning.min_score)))
-    return pairs.withColumns({**shares, "reasons": reasons, "rejected": low})
+    unsure = F.when(F.least("_a_confidence", "_b_confidence") < tuning.key_floor, UNSURE).otherwise("")
+    code = lambda x, turn=0: music.camelot(F.pmod(c(f"_{x}_pitch_class") + turn, F.lit(12)), c(f"_{x}_minor"))
+    reasons = [
+        F.format_string(MOVE_SAID, "a_label", "b_label"),
+        F.format_string(TEMPO_SAID, ratio, (c("stretch") - 1) * 100, "_a_bpm", scores["tempo"], part["tempo"]),
+        F.format_string(KEY_SAID, code("a"), code("b"), code("b", c("shift")), F.concat(steps, shifted, unsure), scores["key"], part["key"]),
+        F.format_string(CHROMA_SAID, "chroma", "shift", part["chroma"]),
+        F.format_string(ENERGY_SAID, F.lit(intent), c("b_energy") - c("a_energy"), scores["energy"], part["energy"]),
+    ]
+    low = F.when(c(intent) < tuning.min_score, F.format_string(TOO_LOW, intent, F.lit(tuning.min_score)))
+    own = lambda x: tracks.select(F.col("track_id").alias(f"{x}_track_id"), *[F.col(y).alias(f"_{x}_{y}") for y in ("bpm", "pitch_class", "minor", "confidence")])
+    both = pairs.join(own("a"), "a_track_id").join(own("b"), "b_track_id")
+    told = both.withColumns({**{f"share_{x}": F.round(y, 4) for x, y in part.items()}, "reasons": F.array(*reasons), "rejected": low})
+    said = F.when(c("rejected").isNull(), c("reasons")).otherwise(F.concat("reasons", F.array(F.format_string(REJECTED, "rejected"))))
+    return told.withColumn("reasons", said).select(*pairs.columns, *[f"share_{x}" for x in part], "reasons", "rejected")
+
+
+def refusals(pairs: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: DataFrame, intent: str = "match", tuning: Tuning = DEFAULT) -> DataFrame:
+    """``a_track_id, b_track_id, best, rejected``: the track pairs without a viable pair of sections, and why.
+
+    Tempi too far apart come first; then the best section pair's score, which
+    is too low. Both are null where a track has no section that is long enough.
+    """
+    two = pairs.select("a_track_id", "b_track_id").distinct()
+    t = tracks.select("track_id", "bpm")
+    tempi = two.join(side(t, "a"), "a_track_id").join(side(t, "b"), "b_track_id").withColumn("_score", music.tempo(F.col("a_bpm"), F.col("b_bpm"), tuning.tempo_tolerance)["score"])
+    best = section_pairs(two, tracks, sections, chroma, tuning=tuning).groupBy("a_track_id", "b_track_id").agg(F.max(intent).alias("best"))
+    far = F.when(F.col("_score") <= 0, F.format_string(TOO_FAR, "a_bpm", "b_bpm", F.lit(tuning.tempo_tolerance * 100)))
+    low = F.when(F.col("best").isNotNull(), F.format_string(TOO_LOW, "best", F.lit(tuning.min_score)))
+    refused = tempi.join(best, ["a_track_id", "b_track_id"], "left").filter(F.coalesce(F.col("best") < tuning.min_score, F.lit(True)))
+    return refused.select("a_track_id", "b_track_id", "best", F.coalesce(far, low).alias("rejected"))
 
 
 #: Folded tempi lie in one octave, so there are some 8,200 buckets of this width; any beyond the octave share bucket -1.

@@ -177,13 +177,33 @@ def best_pair_per_track(spark, d):
     return matching.best_of(pairs, "match").select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), "a_idx", "b_idx", F.round("match", 6).alias("total"))
 
 
-@query(v(f""", {catalogue.PICKED} SELECT a, b, a_label || ' -> ' || b_label AS move, 'tempo: ' || CASE ratio WHEN 2.0 THEN 'double-time' WHEN 0.5 THEN 'half-time' ELSE 'same tempo' END || printf(', stretch %+.1f%%', (stretch - 1) * 100) AS tempo_reason,
-'key: ' || CASE distance WHEN 0 THEN 'same key' WHEN 1 THEN 'harmonically compatible' ELSE distance || ' steps apart on the wheel' END || CASE WHEN shift = 0 THEN '' ELSE printf(', shift %+d semitone', shift) || CASE WHEN abs(shift) = 1 THEN '' ELSE 's' END END AS key_reason,
-round(0.30::DOUBLE * tempo, 4) AS share_tempo, round(0.25::DOUBLE * key, 4) AS share_key, round(0.15::DOUBLE * em, 4) AS share_energy FROM mp"""))
+CODE = "((((CASE WHEN {m} THEN {p} + 3 ELSE {p} END) % 12 + 12) % 12 * 7 % 12 + 7) % 12 + 1)::INT || CASE WHEN {m} THEN 'A' ELSE 'B' END"
+
+
+def code_sql(pitch: str, minor: str) -> str:
+    return CODE.replace("{p}", pitch).replace("{m}", minor)
+
+
+@query(v(f""", {catalogue.PICKED}, w AS (SELECT mp.*, x.bpm AS x_bpm, {code_sql('x.pitch_class', 'x.minor')} AS ca, {code_sql('y.pitch_class', 'y.minor')} AS cb, {code_sql('(y.pitch_class + shift)', 'y.minor')} AS cs, least(x.confidence, y.confidence) < 0.11::DOUBLE AS unsure FROM mp JOIN tracks x ON x.track_id = a JOIN tracks y ON y.track_id = b)
+SELECT a, b, a_label || ' -> ' || b_label AS move, 'tempo: ' || CASE ratio WHEN 2.0 THEN 'double-time' WHEN 0.5 THEN 'half-time' ELSE 'same tempo' END || printf(', stretch %+.1f%% to %.1f BPM (score %.2f, contributes %.3f)', (stretch - 1) * 100, x_bpm::DOUBLE, tempo, 0.30::DOUBLE * tempo) AS tempo_reason,
+'key: ' || ca || ' vs ' || cb || ' -> ' || cs || ', ' || CASE distance WHEN 0 THEN 'same key' WHEN 1 THEN 'harmonically compatible' ELSE distance || ' steps apart on the wheel' END || CASE WHEN shift = 0 THEN '' ELSE printf(', shift %+d semitone', shift) || CASE WHEN abs(shift) = 1 THEN '' ELSE 's' END END
+  || CASE WHEN unsure THEN ' (low key confidence, de-weighted)' ELSE '' END || printf(' (score %.2f, contributes %.3f)', key, 0.25::DOUBLE * key) AS key_reason,
+printf('chroma similarity %.2f at %+d semitones (contributes %.3f)', chroma, shift, 0.30::DOUBLE * chroma) AS chroma_reason, printf('energy match %+.2f (score %.2f, contributes %.3f)', eb - ea, em, 0.15::DOUBLE * em) AS energy_reason,
+round(0.30::DOUBLE * tempo, 4) AS share_tempo, round(0.25::DOUBLE * key, 4) AS share_key, round(0.15::DOUBLE * em, 4) AS share_energy FROM w"""))
 def pair_explanations(spark, d):
     """Why each pick scored what it did."""
-    told = matching.explained(catalogue.picked(spark, d).withColumnRenamed("total", "match").withColumnRenamed("energy", "energy_match"))
-    return told.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), F.col("reasons")[0].alias("move"), F.col("reasons")[1].alias("tempo_reason"), F.col("reasons")[2].alias("key_reason"), "share_tempo", "share_key", "share_energy")
+    told = matching.explained(catalogue.picked(spark, d).withColumnsRenamed({"total": "match", "energy": "energy_match"}), views.tracks(spark, d))
+    said = [F.col("reasons")[i].alias(x) for i, x in enumerate(("move", "tempo_reason", "key_reason", "chroma_reason", "energy_reason"))]
+    return told.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), *said, "share_tempo", "share_key", "share_energy")
+
+
+@query(v(f""", {catalogue.NEXT}, {catalogue.scored_sql('nx')}, best AS (SELECT a, b, max(match) AS best FROM sp GROUP BY 1, 2)
+SELECT nx.a, nx.b, round(coalesce(best, 0), 6) AS best, CASE WHEN tk.a IS NULL THEN printf('tempo incompatible: %.1f vs %.1f BPM exceeds +/-8%% at every metrical level tried', x.bpm::DOUBLE, y.bpm::DOUBLE) WHEN best IS NOT NULL THEN printf('score %.3f below minimum 0.45', best) ELSE '' END AS rejected
+FROM (SELECT DISTINCT a, b FROM nx) nx JOIN tracks x ON x.track_id = nx.a JOIN tracks y ON y.track_id = nx.b LEFT JOIN tk ON tk.a = nx.a AND tk.b = nx.b LEFT JOIN best ON best.a = nx.a AND best.b = nx.b WHERE best IS NULL OR best < 0.45"""))
+def pair_refusals(spark, d):
+    """Neighbours that cannot follow each other, and why."""
+    told = matching.refusals(catalogue.neighbours(spark, d), *catalogue.music_tables(spark, d))
+    return told.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"), F.coalesce("rejected", F.lit("")).alias("rejected"))
 
 
 #: Samples a second of the sets that are rendered, and their minutes.
