@@ -18,13 +18,13 @@ from cadenza.operators.store import kept
 BUCKETS = 64
 
 
-def commits(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete commits, in order."""
+def commits(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """Numbers of the complete commits, in order; with those that were broken off, if not ``whole``."""
     Path = spark._jvm.org.apache.hadoop.fs.Path
     place = Path(f"{path}/commits")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     held = fs.listStatus(place) if fs.exists(place) else []
-    return sorted(int(x.getPath().getName()) for x in held if fs.exists(Path(x.getPath(), "_SUCCESS")))
+    return sorted(int(x.getPath().getName()) for x in held if not whole or fs.exists(Path(x.getPath(), "_SUCCESS")))
 
 
 def folders(spark: SparkSession, path: str) -> dict[int, str]:
@@ -71,4 +71,4 @@ def merge(path: str, batch: DataFrame, key: list[str], at: list[str], gone: bool
     both.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows/{write}")
     held |= {b: f"{write}/bucket={b}" for b in touched}
     listed = spark.createDataFrame([(b, f, buckets) for b, f in sorted(held.items())], "bucket int, folder string, buckets int")
-    listed.coalesce(1).write.parquet(f"{path}/commits/{(numbers or [0])[-1] + 1}")
+    listed.coalesce(1).write.parquet(f"{path}/commits/{max(commits(spark, path, whole=False), default=0) + 1}")

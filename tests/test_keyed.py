@@ -46,6 +46,9 @@ def test_a_killed_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
     keyed.merge(path, spark.createDataFrame([(1, 2, "b")], SCHEMA), ["id"], ["at"])
     os.remove(f"{path}/commits/2/_SUCCESS")
     assert rows(spark, path) == {1: (1, "a"), 2: (1, "a")}
+    # The next write goes past it.
+    keyed.merge(path, spark.createDataFrame([(2, 3, "c")], SCHEMA), ["id"], ["at"])
+    assert keyed.commits(spark, path) == [1, 3] and rows(spark, path) == {1: (1, "a"), 2: (3, "c")}
 
 
 def test_writes_in_any_order_against_a_dict(spark, tmp_path):
