@@ -40,7 +40,7 @@ def set_of(picked: DataFrame, tracks: DataFrame, sections: DataFrame, chroma: Da
     energies = matching.track_energy(sections)
     order = stored(matching.running_order(playing.select(group, "track_id", "bpm"), energies, group, tuning))
     joins = matching.plan_set(order, tracks, sections, chroma, group, tuning)
-    starts = sets.default_start(sections.join(analysis.label_sections(sections), ["track_id", "idx"]))
+    starts = sets.default_start(analysis.labelled(sections))
     rows = order.join(playing, [group, "track_id"]).join(grids, "track_id")
     return {"kept": kept, "order": order, "joins": joins, "clips": sets.layout(rows, joins, starts, minutes, group, tuning)}
 
