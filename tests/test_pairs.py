@@ -109,3 +109,13 @@ def test_a_tracks_sections_move_once(spark):
     assert exchanges(matching.track_energy(s)) == 1
     assert exchanges(analysis.labelled(s)) == 1
     assert exchanges(matching.packed(s, views.chroma(spark, d))) == 1
+
+
+def test_mean_chroma_moves_sections_once(spark):
+    d = "/root/testdata/sf0.001"
+    mean = analysis.section_chroma(views.sections(spark, d), views.chroma(spark, d))
+    assert exchanges(mean) == 1 and exchanges(analysis.key_estimate(mean)) == 1
+    s = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 2)], "track_id long, vec_id long")
+    c = spark.createDataFrame([(0, [1.0] + [0.0] * 11), (1, [0.0, 1.0] + [0.0] * 10), (2, [0.25] * 4 + [0.0] * 8)], "vec_id long, chroma array<double>")
+    got = {(r["track_id"], r["pitch"]): r["v"] for r in analysis.section_chroma(s, c).collect()}
+    assert len(got) == 24 and got[2, 3] == 0.25 and got[1, 0] == pytest.approx(1.25 / 3, abs=1e-9) and got[1, 11] == 0.0
