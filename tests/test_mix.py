@@ -236,3 +236,14 @@ def test_trims_and_master(spark):
     told = report.first()
     assert told["set_id"] == 1 and told["peak_db"] <= -3.0 + 0.01
     assert done.agg(F.max(F.abs("v"))).first()[0] <= 10 ** (-3 / 20) + 1e-12
+
+
+def test_a_mix_is_dense_and_moves_in_blocks(spark):
+    """What no part of a track holds is silence, and a set at this rate is one block."""
+    audio = spark.createDataFrame([(10, 0, [0.5] * 4000), (12, 0, [0.25] * 3300)], "track_id long, first long, x array<double>")
+    clips_ = mix.placed(spark.createDataFrame(LAYOUT, CLIP), RATE)
+    rows = mix.mixed_blocks(clips_, audio, RATE, target=None)
+    length = {r["set_id"]: r["n"] for r in clips_.groupBy("set_id").agg(F.max(F.col("first") + F.col("n")).alias("n")).collect()}
+    got = {r["set_id"]: r["x"] for r in rows.collect()}
+    assert {k: len(x) for k, x in got.items()} == length and not any(math.isnan(v) for x in got.values() for v in x)
+    assert got[2][-1] == 0.0
