@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cadenza.operators import blocks
+
 #: Frames, or samples made, of a block.
 FRAMES, MADE = 256, 1 << 14
 #: Zero crossings of the resampling kernel on each side.
@@ -29,6 +30,17 @@ def lengths(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip_id").agg((F.max("i") + 1).alias("_n"))
 
 
+def made(near: DataFrame, samples: DataFrame, least: Column, at: str, out: str, make) -> DataFrame:
+    """``clip_id``, ``at`` (a long) and ``out``: ``make(block, i, v, n)`` of each row of ``near``'s blocks, ``n`` results of a clip being as many as ``least`` says of its ``_n`` samples.
+
+    A clip's block is a row, so a task goes through many short clips at a time; no result beyond a clip's end is worked out.
+    """
+    rows = near.groupBy("block", "clip_id").agg(F.collect_list(F.struct("i", "v")).alias("z")).join(lengths(samples).select("clip_id", least.cast("long").alias("_made")), "clip_id")
+    flat = rows.select("clip_id", "block", "_made", F.col("z.i").alias("i"), F.col("z.v").alias("v"))
+    done = blocks.by_row(flat, {"_x": "array<double>", "_from": "long"}, lambda row: make(row.block, row.i, row.v, row[2]), ("block", "_made", "i", "v"))
+    return done.select("clip_id", "_from", F.posexplode("_x").alias("_i", out)).select("clip_id", (F.col("_from") + F.col("_i")).alias(at), out)
+
+
 def hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
@@ -44,17 +56,14 @@ def band_energy(samples: DataFrame, rate: float, hop: int = 512, size: int = 204
     window = hann(size)
     near = dealt(samples, F.ceil((F.col("i") - size + half + 1) / hop), F.floor((F.col("i") + half) / hop), FRAMES)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block, clip = key
-        first = block * FRAMES * hop - half
+    def make(block, i, v, n):
+        first, count = block * FRAMES * hop - half, max(0, min(FRAMES, n - block * FRAMES))
         x = np.zeros((FRAMES - 1) * hop + size)
-        x[frame["i"].to_numpy() - first] = frame["v"].to_numpy()
-        cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-        told = np.abs(np.fft.rfft(cut * window, axis=1))[:, bins].sum(axis=1)
-        return pd.DataFrame({"clip_id": clip, "k": block * FRAMES + np.arange(FRAMES), "energy": told})
+        x[i - first] = v
+        cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:count]
+        return np.abs(np.fft.rfft(cut * window, axis=1))[:, bins].sum(axis=1), block * FRAMES
 
-    schema = f"clip_id {samples.schema['clip_id'].dataType.simpleString()}, k long, energy double"
-    return near.groupBy("block", "clip_id").applyInPandas(run, schema).join(lengths(samples), "clip_id").filter(F.col("k") <= F.floor(F.col("_n") / hop)).drop("_n")
+    return made(near, samples, F.floor(F.col("_n") / hop) + 1, "k", "energy", make)
 
 
 def at_beats(frames: DataFrame, beats: DataFrame, rate: float, hop: int, out: str = "low") -> DataFrame:
@@ -82,20 +91,18 @@ def resampled(samples: DataFrame, rate_in: float, rate_out: float, zeros: int =
     near = dealt(samples, F.ceil((F.col("i") - half) / step), F.floor((F.col("i") + half) / step), MADE)
     reach = np.arange(-half, half + 1)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block, clip = key
-        first = math.floor(block * MADE * step) - half - 1
-        x = np.zeros(math.ceil(MADE * step) + 2 * half + 4)
-        at = frame["i"].to_numpy() - first
+    def make(block, i, v, n):
+        first, count = math.floor(block * MADE * step) - half - 1, max(0, min(MADE, n - block * MADE))
+        x = np.zeros(math.ceil(count * step) + 2 * half + 4)
+        at = i - first
         inside = (at >= 0) & (at < len(x))
-        x[at[inside]] = frame["v"].to_numpy()[inside]
-        made = np.empty(MADE)
-        for a in range(0, MADE, 1024):
-            place = (block * MADE + np.arange(a, a + 1024)) * step
+        x[at[inside]] = v[inside]
+        out = np.empty(count)
+        for a in range(0, count, 1024):
+            place = (block * MADE + np.arange(a, min(a + 1024, count))) * step
             whole = np.floor(place).astype(np.int64)
             weights = kernel((place - whole)[:, None] - reach, scale, half)
-            made[a : a + 1024] = (x[whole[:, None] - first + reach] * weights).sum(axis=1) / weights.sum(axis=1)
-        return pd.DataFrame({"clip_id": clip, "i": block * MADE + np.arange(MADE), "v": made})
+            out[a : a + 1024] = (x[whole[:, None] - first + reach] * weights).sum(axis=1) / weights.sum(axis=1)
+        return out, block * MADE
 
-    schema = f"clip_id {samples.schema['clip_id'].dataType.simpleString()}, i long, v double"
-    return near.groupBy("block", "clip_id").applyInPandas(run, schema).join(lengths(samples), "clip_id").filter(F.col("i") < F.ceil(F.col("_n") * rate_out / rate_in)).drop("_n")
+    return made(near, samples, F.ceil(F.col("_n") * rate_out / rate_in), "i", "v", make)

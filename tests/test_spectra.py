@@ -66,3 +66,20 @@ def test_little(spark):
     assert [tuple(r) for r in spectra.resampled(one, 100, 100).collect()] == [("a", 0, 2.0)]
     assert spectra.resampled(one, 100, 50).count() == 1 and spectra.resampled(one, 100, 300).count() == 3
     assert spectra.resampled(one.limit(0), 100, 50).collect() == [] and spectra.band_energy(one.limit(0), 100.0).collect() == []
+
+
+def test_nothing_is_made_beyond_a_clip_s_end(spark, monkeypatch):
+    """A short clip costs its own results, not a whole block of them."""
+    made = []
+    kernel = spectra.kernel
+    monkeypatch.setattr(spectra, "kernel", lambda x, scale, half: made.append(len(x)) or kernel(x, scale, half))
+    by_row = spectra.blocks.by_row
+
+    def here(df, out, make, drop=()):
+        for row in df.toPandas().itertuples(index=False):
+            make(row)
+        return by_row(df, out, make, drop)
+
+    monkeypatch.setattr(spectra.blocks, "by_row", here)
+    got = spectra.resampled(clips(spark, {1: np.ones(64), 2: np.ones(3)}), 48_000, 32_000, 8)
+    assert sorted(made) == [2, 43] and got.schema.names == ["clip_id", "i", "v"]
