@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cadenza.operators import blocks
 from cadenza.operators.joins import nearest
 
 
@@ -67,12 +67,11 @@ def n_segments(duration: Column) -> Column:
 def boundaries(beats: DataFrame) -> DataFrame:
     """``track_id, t`` where a cluster starts; ``beats`` has ``track_id, i, t, features, k``. A track's beats are one group."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        starts = cluster_starts(np.stack(frame["features"].to_numpy()), int(frame["k"].iloc[0]))
-        return pd.DataFrame({"track_id": frame["track_id"].iloc[0], "t": frame["t"].to_numpy()[starts[1:]]})
-
-    return beats.groupBy("track_id").applyInPandas(run, "track_id long, t double")
+    met = beats.groupBy("track_id", "k").agg(F.array_sort(F.collect_list(F.struct("i", "t", F.col("features").cast("array<double>").alias("f")))).alias("z"))
+    rows = met.select("track_id", "k", F.col("z.t").cast("array<double>").alias("t"), F.size(F.col("z.f")[0]).alias("width"), F.flatten("z.f").alias("f"))
+    # A row a track, so that a task goes through many tracks at a time.
+    found = blocks.by_row(rows, {"t": "array<double>"}, lambda row: (row.t[cluster_starts(row.f.reshape(-1, row.width), int(row.k))[1:]],), ("k", "width", "f"))
+    return found.select("track_id", F.explode("t").alias("t"))
 
 
 def least_length(edges: Column, least: Column) -> Column:

@@ -255,3 +255,13 @@ def test_job_machine_forgets_and_cancels(spark, tmp_path):
     assert got[8] == ("cancel", "cancelled", 1) and got[9] == ("start", "running", 1)
     # Events after the end are refused; a run after retention starts at one again.
     assert got[7] == ("again", "running", 1)
+
+
+def test_tracks_are_segmented_as_rows_of_a_batch(spark):
+    """No call of Python for each track, and the beats' order does not matter."""
+    from cadenza.operators import segments
+
+    rows = [(t, i, float(i), [float(i >= 5 + t), 0.0], 2) for t in (1, 2) for i in reversed(range(10))]
+    found = segments.boundaries(spark.createDataFrame(rows, "track_id long, i long, t double, features array<double>, k int").repartition(3))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, 6.0), (2, 7.0)}
