@@ -72,3 +72,10 @@ def test_least_length(spark):
 def test_diacritics_and_names(spark):
     r = spark.createDataFrame([("Café Zoë", "a/b:c"), (None, None), ("שָׁלוֹם", "  ")], "a string, b string").select(text.strip_diacritics(F.col("a")).alias("a"), text.safe_name(F.col("b")).alias("b")).collect()
     assert [tuple(x) for x in r] == [("Cafe Zoe", "a_b_c"), (None, "track"), ("שלום", "track")]
+
+
+def test_short_clips_are_not_groups_of_python(spark):
+    """Clips are rows of a batch: loudness and the master start no call of Python for each of them."""
+    df = spark.range(64).select((F.col("id") % 4).alias("clip_id"), F.expr("id div 4").alias("i"), F.lit(0.5).alias("v"))
+    plans = [x._jdf.queryExecution().toString() for x in (levels.loudness(df, 160), levels.mastered(df, 160, -14.0, -1.0)[1])]
+    assert not any("FlatMapGroups" in p for p in plans) and all("MapInPandas" in p for p in plans)
