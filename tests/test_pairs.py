@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,35 @@ def test_mean_chroma_moves_sections_once(spark):
     c = spark.createDataFrame([(0, [1.0] + [0.0] * 11), (1, [0.0, 1.0] + [0.0] * 10), (2, [0.25] * 4 + [0.0] * 8)], "vec_id long, chroma array<double>")
     got = {(r["track_id"], r["pitch"]): r["v"] for r in analysis.section_chroma(s, c).collect()}
     assert len(got) == 24 and got[2, 3] == 0.25 and got[1, 0] == pytest.approx(1.25 / 3, abs=1e-9) and got[1, 11] == 0.0
+
+
+def test_vectors_move_once_to_their_pair(spark, library):
+    tables = library[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = matching.section_pairs(spark.createDataFrame(PAIRS, "a_track_id long, b_track_id long"), *tables, by=("match",), n=1)
+        plan = pairs._jdf.queryExecution().explainString(pairs._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The vectors' own way to the sections, and one way from there to the pairs.
+    assert len(re.findall(r"Exchange\nInput \[\d+\]: \[[^\]]*units#", plan)) == 2
+
+
+def test_a_pair_is_whole_whatever_the_batches(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    sizes = {(1, 2): (9, 5), (2, 1): (0, 3), (2, 3): (1, 1), (3, 3): (4, 0), (4, 1): (4, 8)}
+    rows = [{"a_track_id": a, "b_track_id": b, "first": f, "idx": i, "start": 0.0, "end": 9.0, "energy": 0.5, "bonus": 0.0, "units": [float(i)] * 12, "label": f"{a}{b}{f}{i}", "tempo": 1.0} for (a, b), n in sizes.items() for f, m in zip((True, False), n, strict=True) for i in range(m)]
+    whole = pa.RecordBatch.from_pylist(rows)
+    for _ in range(5):
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(6))})
+        parts = [whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = [r for batch in matching.whole_pairs(iter([whole.slice(0, 0), *parts])) for met in matching.blocks_met(batch, ["a_track_id", "b_track_id", "tempo"], ("label",)) for r in met.to_pylist()]
+        assert max(len(r[f"{p}_idx"]) for r in got for p in "ab") == 4
+        pairs = sorted((r["a_track_id"], r["b_track_id"], i, j) for r in got for i in r["a_idx"] for j in r["b_idx"])
+        assert pairs == sorted((a, b, i, j) for (a, b), (m, n) in sizes.items() for i in range(m) for j in range(n))
+        for r in got:
+            for p, f in (("a", True), ("b", False)):
+                assert r[f"{p}_units"] == [float(i) for i in r[f"{p}_idx"] for _ in range(12)]
+                assert r[f"{p}_label"] == [f"{r['a_track_id']}{r['b_track_id']}{f}{i}" for i in r[f"{p}_idx"]]
