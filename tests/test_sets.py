@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import statistics
 
 import pytest
@@ -265,3 +266,13 @@ def test_tracks_are_segmented_as_rows_of_a_batch(spark):
     found = segments.boundaries(spark.createDataFrame(rows, "track_id long, i long, t double, features array<double>, k int").repartition(3))
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
     assert {tuple(r) for r in found.collect()} == {(1, 6.0), (2, 7.0)}
+
+
+def test_a_sets_clips_are_made_once(spark):
+    from cadenza.plans import catalogue
+
+    plan = catalogue.QUERIES["tracklist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Sections are read for the cues alone: the clips, which three kinds of events need, are stored.
+    assert len(re.findall(r"Scan parquet \[[^\]]*l_partkey", plan)) == 1
+    told = spark.createDataFrame([(1, 0, 0.0, 9.0, "verse"), (1, 1, 9.0, 20.0, "drop"), (1, 2, 20.0, 31.0, "chorus"), (2, 0, 0.0, 7.0, "intro")], "track_id int, idx int, start double, end double, label string")
+    assert sorted(map(tuple, sets.starts_and_ends(told).collect())) == [(1, 20.0, 31.0), (2, 0.0, 7.0)]
