@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.config import DEFAULT
 from cadenza.functions import music
 from cadenza.operators import analysis, matching
+from cadenza.plans import catalogue
 from cadenza.sources import views
 
 
@@ -152,3 +153,14 @@ def test_a_pair_is_whole_whatever_the_batches(monkeypatch):
             for p, f in (("a", True), ("b", False)):
                 assert r[f"{p}_units"] == [float(i) for i in r[f"{p}_idx"] for _ in range(12)]
                 assert r[f"{p}_label"] == [f"{r['a_track_id']}{r['b_track_id']}{f}{i}" for i in r[f"{p}_idx"]]
+
+
+def test_set_pairs_are_dealt(spark):
+    """However small the file of tracks is, its pairs are not one task's."""
+    pairs = catalogue.set_pairs(spark, "/root/testdata/sf0.001")
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tracks = [r["track_id"] for r in views.tracks(spark, "/root/testdata/sf0.001").collect()]
+    sets = {}
+    for k in tracks:
+        sets.setdefault(int((k - 1) / 20), []).append(k)
+    assert pairs.count() == sum(len(s) * (len(s) - 1) for s in sets.values())
