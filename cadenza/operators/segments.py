@@ -2,21 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadenza.operators import blocks
 from cadenza.operators.joins import nearest
 
 
+#: Sections of a track that are compared in one place, at most about so many, and those that meet them at a time.
+ALIKE, MEET = 4096, 1024
+
+
 def recurrence(sections: DataFrame, chroma: DataFrame, near: float = 0.92) -> DataFrame:
-    """How many other sections of its track each section resembles; sections of one track join, never tracks."""
-    from cadenza.functions.music import turned_dot, unit
+    """How many other sections of its track each section resembles; sections of one track meet, never tracks.
 
-    s = sections.select("track_id", "idx", "vec_id").join(chroma.select("vec_id", unit(F.col("chroma")).alias("unit")), "vec_id").select("track_id", "idx", "unit")
-    o = s.select("track_id", F.col("idx").alias("_idx"), F.col("unit").alias("_unit"))
-    alike = s.join(o, "track_id").filter(F.col("idx") != F.col("_idx")).filter(F.round(turned_dot(F.col("unit"), F.col("_unit"), F.lit(0)), 9) > near)
-    return s.select("track_id", "idx").join(alike.groupBy("track_id", "idx").agg(F.count(F.lit(1)).alias("n")), ["track_id", "idx"], "left").select("track_id", "idx", F.coalesce("n", F.lit(0)).alias("n"))
+    A place of a track is a part of its sections (all, if there are few), and
+    what it is compared with passes by, so a task holds one part, no pairs.
+    """
+    from cadenza.functions.music import unit
+
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("track_id")) / ALIKE).cast("int")
+    units = chroma.select("vec_id", F.coalesce(unit(F.col("chroma")), F.array(*[F.lit(0.0)] * 12)).alias("unit"))
+    s = sections.select("track_id", "idx", "vec_id", parts.alias("_n")).join(units, "vec_id").withColumn("_of", F.pmod(F.xxhash64("idx"), F.col("_n")).cast("int"))
+    dealt = s.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = dealt.select("track_id", "idx", "_at", (F.col("_at") != F.col("_of")).alias("_other"), "unit").repartition("track_id", "_at").sortWithinPartitions("track_id", "_at", "_other")
+    out = s.select("track_id", "idx", F.lit(0).cast("long").alias("n")).schema
+    return rows.mapInArrow(lambda batches: alike(batches, near), out)
+
+
+def alike(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
+    """``track_id, idx, n`` of each place's own sections; these come first, then the others that they meet."""
+    place: Place | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        track, idx, at, other, unit = batch.columns
+        units = unit.flatten().to_numpy(zero_copy_only=False).reshape(-1, 12)
+        numbers, at, other = idx.to_numpy(zero_copy_only=False), at.to_numpy(zero_copy_only=False), other.to_numpy(zero_copy_only=False)
+        fresh = np.ones(batch.num_rows, dtype=bool)
+        # A track without a name is none: each of its sections stands alone.
+        fresh[1:] = pc.fill_null(pc.not_equal(track[1:], track[:-1]), True).to_numpy(zero_copy_only=False) | (at[1:] != at[:-1])
+        turns = fresh.copy()
+        turns[1:] |= other[1:] != other[:-1]
+        bounds = [*np.flatnonzero(turns).tolist(), batch.num_rows]
+        done = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            name = (track[lo].as_py(), at[lo]) if lo == 0 else None
+            if fresh[lo] and (lo or place is None or name[0] is None or place.name != name):
+                if place is not None and place.parts:
+                    done.append(place.told())
+                place = Place(near)
+            if other[lo]:
+                place.meet(units[lo:hi])
+            else:
+                place.add(track.slice(lo, hi - lo), idx.slice(lo, hi - lo), numbers[lo:hi], units[lo:hi])
+        place.name = (track[lo].as_py(), at[lo])
+        if done:
+            yield batch_of(done)
+    if place is not None and place.parts:
+        yield batch_of([place.told()])
+
+
+def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+    track, idx, n = zip(*parts, strict=True)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(track), pa.concat_arrays(idx), pa.array(np.concatenate(n))], names=["track_id", "idx", "n"])
+
+
+class Place:
+    """A part of a track's sections, with how many others each of them resembles."""
+
+    def __init__(self, near: float):
+        self.near, self.name, self.parts, self.n = near, None, [], None
+
+    def add(self, *part) -> None:
+        self.parts.append(part)
+
+    def close(self, units: np.ndarray) -> np.ndarray:
+        return np.round(np.clip(np.nan_to_num(self.units @ units.T, nan=1.0), 0.0, 1.0), 9) > self.near
+
+    def settle(self) -> None:
+        """All own sections are there: they meet each other."""
+        track, idx, numbers, units = zip(*self.parts, strict=True)
+        one = len(track) == 1
+        self.track, self.idx = (track[0], idx[0]) if one else (pa.concat_arrays(track), pa.concat_arrays(idx))
+        self.numbers, self.units = (numbers[0], units[0]) if one else (np.concatenate(numbers), np.concatenate(units))
+        self.n = np.zeros(len(self.units), dtype=np.int64)
+        for lo in range(0, len(self.units), MEET):
+            other = self.numbers[:, None] != self.numbers[None, lo : lo + MEET]
+            self.n += (self.close(self.units[lo : lo + MEET]) & other).sum(axis=1)
+
+    def meet(self, units: np.ndarray) -> None:
+        if not self.parts:
+            return
+        if self.n is None:
+            self.settle()
+        for lo in range(0, len(units), MEET):
+            self.n += self.close(units[lo : lo + MEET]).sum(axis=1)
+
+    def told(self) -> tuple:
+        """A section that occurs twice is one, with what all its rows resemble."""
+        if self.n is None:
+            self.settle()
+        numbers, first, back = np.unique(self.numbers, return_index=True, return_inverse=True)
+        if len(numbers) == len(self.n) or self.track[0].as_py() is None:
+            return self.track, self.idx, self.n
+        return self.track.take(pa.array(first)), self.idx.take(pa.array(first)), np.bincount(back, self.n).astype(np.int64)
 
 
 def novelty(beats: DataFrame, group: str = "track_id", i: str = "i", vector: str = "chroma") -> DataFrame:
