@@ -53,6 +53,9 @@ def create_set(listed: DataFrame, tracks: DataFrame, sections: DataFrame, chroma
     merged = stored(charts.merge_trends(listed, tuning))
     found = stored(resolved(merged, tracks, tuning))
     picked = stored(chosen(merged, found, wanted, ratio, seed).select(F.lit(0).alias("set_id"), "track_id"))
+    # A set's tracks, ``SPARE * wanted`` at most, are named, so that readers leave all others before sections are ordered.
+    ids = [r["track_id"] for r in picked.select("track_id").collect()]
+    tracks, sections, grids = (x.filter(F.col("track_id").isin(ids)) for x in (tracks, sections, grids))
     told = set_of(picked, tracks, sections, chroma, grids, minutes, wanted, tuning=tuning)
     enough = F.broadcast(picked.agg((F.count(F.lit(1)) >= 2).alias("_enough")).filter("_enough"))  # one row or none
     return {"merged": merged, "found": found, "picked": picked, **told, "clips": told["clips"].join(enough, F.lit(True), "left_semi")}
