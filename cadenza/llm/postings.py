@@ -4,7 +4,9 @@
 words: the terms, and for each its sorted positions. A segment holds whole
 documents with one unused position between them, so no phrase crosses two. It
 is named by its partition and its number there, which is stable once the index
-is stored, so equal documents in two segments stay two.
+is stored, so equal documents in two segments stay two. Stored, a few segments
+lie in a row group, so no more of them are written or read at a time, whatever
+a partition holds.
 ``search`` takes phrases in blocks of bounded size. In each segment a phrase
 starts from the list of its rarest term there; every further list, rarest
 first, keeps the candidates that it also holds at the term's offset. Segments
@@ -30,11 +32,14 @@ from cadenza.llm.common import released, small_batches, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-SEGMENT_WORDS = 500_000
+#: The same words in UTF-8: A-Z become a-z, 0-9 and all beyond ASCII stay, the rest is space.
+SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Words of a segment at least, and segments of a row group at most.
+SEGMENT_WORDS, GROUP_ROWS = 100_000, 8
 PHRASE = 10
 #: Phrases in one block that is sent to all tasks, and candidates that are checked at a time.
 BLOCK_PHRASES, CHUNK = 50_000, 1_000_000
-INDEX = "segment string, doc_ids array<long>, keys array<binary>, lengths array<int>, terms array<string>, starts binary, positions binary"
+INDEX = "segment string, doc_ids array<long>, keys array<binary>, lengths array<int>, terms array<binary>, starts binary, positions binary"
 HITS = "segment string, ordinal int, doc_id long, text_key binary, n_words long, spans array<array<int>>, items array<string>"
 
 
@@ -42,6 +47,10 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(LOWER)) if text else []
 
 
+def utf8_words(text: bytes | None) -> list[bytes]:
+    return text.translate(SPACED).split() if text else []
+
+
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Segments of postings over all words of ``docs(doc_id, text)``; a null text has no words."""
 
@@ -63,7 +72,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
 
         for batch in batches:
             for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
-                found = words(text)
+                found = utf8_words(text)
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 texts.append(key)
                 parts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
@@ -76,7 +85,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
 
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), text.alias("text")).mapInPandas(lambda b: released(segments(b)), INDEX)
+    return docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), text.cast("binary").alias("text")).mapInPandas(lambda b: released(segments(b)), INDEX)
 
 
 def text_key(text) -> Column:
@@ -163,7 +172,7 @@ def lookup(sent, slop: int, every: bool):
         grid = np.full((len(phrases), width), -1, dtype=np.int64)
         for i, p in enumerate(phrases):
             grid[i, : len(p)] = [number[w] for w in p]
-        names = np.array(items, dtype=object)
+        names, sought = np.array(items, dtype=object), pa.array([w.encode() for w in asked], pa.binary())
         for batch in batches:
             for row in batch.itertuples():
                 starts, positions = np.frombuffer(row.starts, np.int32), np.frombuffer(row.positions, np.int32)
@@ -173,7 +182,7 @@ def lookup(sent, slop: int, every: bool):
                 if len(positions) and len(phrases):
                     span = int(first[-1]) + width + slop + 1
                     keys = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) * span + positions
-                    here = pc.index_in(pa.array(asked, pa.string()), value_set=pa.array(list(row.terms), pa.string()))
+                    here = pc.index_in(sought, value_set=pa.array(list(row.terms), pa.binary()))
                     here = np.append(here.fill_null(-2).to_numpy().astype(np.int64), -1)
                     local = here[grid]
                     some = np.flatnonzero((local != -2).all(axis=1))
@@ -209,7 +218,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     an empty benchmark leaves all clean. Other columns of ``docs`` play no part
     and are not returned. ``text_key`` tells texts of one ``doc_id`` apart.
     """
-    index = stored(build_index(docs))
+    index = stored(build_index(docs), GROUP_ROWS)
     found = search(index, windows(items, n))
     # Spans of several blocks may overlap, so they are merged once more.
     merged = F.aggregate(
